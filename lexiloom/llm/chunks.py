@@ -3,18 +3,18 @@
 A chunk starts at a word whose preceding ``WINDOW`` bytes have a gear hash with
 ``CUT_BITS`` zero bits on top (so inserted text moves no later cut), and at
 every ``MAX_WORDS``-th word of a chunk that grew so long. Chunks are
-deduplicated by a 128-bit digest. A run of neighbouring chunks that all occur
+deduplicated by a 64-bit digest (a run needs several, so a chance collision makes none). A run of neighbouring chunks that all occur
 elsewhere is a repeated passage if it covers ``MIN_WORDS`` words: a passage of
 50 words loses up to a window and a chunk at either end. Of the copies
 of a chunk the one in the least id, and there the first, is kept.
 
-How it is spread: chunking is narrow; its rows (two digest halves, id, place)
-are written once, summed by digest with map-side partial sums, and joined with
-the digests that repeat (the sides of the join can be split where a digest is hot).
-Only repeated chunks are gathered by document.
+How it is spread: chunking is narrow and cheap, so it runs twice rather than being
+kept: once for the sums by digest (least and largest id, with map-side partial
+sums), once to be joined with the digests that repeat (the join's sides can be
+split where a digest is hot). Only repeated chunks are gathered by document.
 
-Edge cases: null and empty texts have no chunks; rows that agree in id and text
-are one document; ids may be null (a null id keeps no copy while a number has one).
+Edge cases: null and empty texts have no chunks; rows that share an id are one
+document, so what only they share is not repeated; rows without an id take no part and stay as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, materialize, mix64, slices, utf8
+from .common import U64, Words, mix64, slices, utf8
 
 WINDOW, CUT_BITS, MAX_WORDS, MIN_WORDS = 16, 2, 16, 22
 BATCH_BYTES = 2 << 20
@@ -61,7 +61,8 @@ def chunk(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k (id), t (text digest), d1, d2 (chunk digest), place (number of the chunk), start, end (bytes), words, again (the text has it before)."""
+    """k (id), t (text digest), d (chunk digest), span (first byte and end byte, 32 bits each), nth (number of the chunk, its words, and
+    whether the text has it before: place * 64 + words * 2 + again). Rows without an id have no chunks."""
 
     def run(batches):
         for pdf in batches:
@@ -69,48 +70,44 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for part in slices(pdf, [len(x) for x in texts], BATCH_BYTES):
                 own = texts[part]
                 doc, start, end, words = chunk(own)
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(own[i][a:b]) for i, a, b in zip(doc.tolist(), start.tolist(), end.tolist())), np.int64).reshape(-1, 2)
-                first = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1]).astype(np.int64) if len(doc) else np.zeros(0, np.int64)
-                place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-                again = np.ones(len(doc), bool)
-                if len(doc):
-                    order = np.lexsort((place, digests[:, 1], digests[:, 0], doc))
-                    o = np.stack([doc[order], digests[order, 0], digests[order, 1]])
-                    again[order[np.concatenate([[True], (o[:, 1:] != o[:, :-1]).any(0)])]] = False
+                digest = np.array([xxhash.xxh3_64_intdigest(own[i][a:b]) for i, a, b in zip(doc.tolist(), start.tolist(), end.tolist())], U64).view(np.int64)
+                n = np.bincount(doc, minlength=len(own))
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                order = np.lexsort((place, digest, doc))
+                again = np.zeros(len(doc), bool)
+                again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
                 rows = pdf.iloc[part]
-                yield pd.DataFrame({"k": rows["k"].array[doc], "t": rows["t"].array[doc], "d1": digests[:, 0], "d2": digests[:, 1], "place": place, "start": start, "end": end, "words": words, "again": again})
+                yield pd.DataFrame({"k": rows["k"].array[doc], "t": rows["t"].array[doc], "d": digest, "span": start << 32 | end, "nth": place * 64 + words * 2 + again})
 
-    kept = docs.select(F.col(id_col).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
-    kind = dict(kept.dtypes)["k"]
-    return kept.mapInPandas(run, f"k {kind}, t long, d1 long, d2 long, place int, start int, end int, words int, again boolean")
+    kept = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
+    return kept.mapInPandas(run, f"k {dict(kept.dtypes)['k']}, t long, d long, span long, nth long")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document with a repeated passage: k, t and ``runs``, an array of struct(start, end, words, kept, with): bytes of the
     passage's covered part, whether this is its kept copy, and the id that has the kept copy of its first chunk. A run ends where "kept" changes."""
-    chunks = materialize(chunk_table(docs, id_col, text_col), "chunks")
-    key = F.coalesce(F.col("k").cast("string"), F.lit(""))
+    again = F.col("nth").bitwiseAND(1)
     repeats = (
-        chunks.groupBy("d1", "d2")
-        .agg(F.count("*").alias("n"), F.min("k").alias("least"), F.min("t").alias("t1"), F.max("t").alias("t2"), F.max("again").alias("again"), F.max(F.xxhash64(key)).alias("k1"), F.min(F.xxhash64(key)).alias("k2"))
-        .where((F.col("n") > 1) & (F.col("again") | (F.col("t1") != F.col("t2")) | (F.col("k1") != F.col("k2"))))
-        .select("d1", "d2", "least")
+        chunk_table(docs, id_col, text_col).groupBy("d")
+        .agg(F.min("k").alias("least"), F.max("k").alias("most"), F.max(again).alias("again"))
+        .where((F.col("least") != F.col("most")) | (F.col("again") == 1)).select("d", "least")
     )
-    found = chunks.join(repeats, ["d1", "d2"]).select("k", "t", F.struct("place", "start", "end", "words", (F.col("k").eqNullSafe(F.col("least")) & ~F.col("again")).alias("kept"), "least").alias("c"))
+    found = chunk_table(docs, id_col, text_col).join(repeats, "d").select("k", "t", F.struct("nth", "span", ((F.col("k") == F.col("least")) & (again == 0)).alias("kept"), "least").alias("c"))
 
     def runs(batches):
         for pdf in batches:
             out = []
             for cs in pdf["cs"]:
-                rows, last = [], None
+                rows, place, kept = [], -2, None
                 for c in cs:
-                    if last is not None and c["place"] == last["place"]:
+                    nth, span = c["nth"], c["span"]
+                    if nth >> 6 == place:
                         continue  # the same row twice
-                    if last is None or c["place"] != last["place"] + 1 or c["kept"] != last["kept"]:
-                        rows.append({"start": c["start"], "end": c["end"], "words": 0, "kept": c["kept"], "with": c["least"]})
-                    rows[-1]["end"] = c["end"]
-                    rows[-1]["words"] += c["words"]
-                    last = c
+                    if nth >> 6 != place + 1 or c["kept"] != kept:
+                        rows.append({"start": span >> 32, "end": 0, "words": 0, "kept": c["kept"], "with": c["least"]})
+                    rows[-1]["end"] = span & 0xFFFFFFFF
+                    rows[-1]["words"] += (nth & 63) >> 1
+                    place, kept = nth >> 6, c["kept"]
                 out.append([r for r in rows if r["words"] >= min_words])
             yield pd.DataFrame({"k": pdf["k"], "t": pdf["t"], "runs": out})
 
