@@ -14,10 +14,12 @@ coordinates are joined; a pair of similarity 0.8 is missed once in 40,000.
 From bands to classes, without all pairs of a band:
 
 1. exact copies are one node (a 128-bit digest of the text),
-2. in two rounds, each node of a bucket is compared with the bucket's one hub (the least by a
-   hash of that round; the exact weighted Jaccard similarity of the shingles decides),
+2. nodes are dropped whose similarity to any other can't reach the threshold: a shingle cell that no other
+   node of any bucket has is in no intersection, which bounds the similarity of a node and of a pair exactly,
+3. in two rounds, each node of a bucket is compared with the bucket's one hub (first the node that
+   shares buckets with most others, then one picked by a hash; the exact weighted Jaccard similarity of the shingles decides),
    and nodes that agree become a class (connected components),
-3. buckets that still hold several classes get each node outside the largest class
+4. buckets that still hold several classes get each node outside the largest class
    compared with all nodes of other classes. Pairs within a class need no more
    comparison, so no link between classes is lost and none is capped.
 
@@ -167,15 +169,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """``id_col``, node, class_id (the least id of the class) and class_size (rows) for every row."""
     signed = materialize(sign(docs, id_col, text_col), "signed")
     nodes = materialize(signed.groupBy("node").agg(F.min("k").alias("k"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    in_band = nodes.select("node", "n", F.explode("bands").alias("band"))
+    in_band = nodes.select("node", F.explode("bands").alias("band"))
     busy = in_band.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    members = materialize(in_band.join(busy, "band"), "members")
+    members = materialize(in_band.join(busy, "band").select("node", "band"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "k"), "node")
     text = docs.select(F.col(id_col).alias("k"), text_key(text_col).alias("node"), F.col(text_col).alias("t"))
     with_text = text.join(wanted.select(F.col("k").alias("k2"), F.col("node").alias("node2")), F.col("k").eqNullSafe(F.col("k2")) & (F.col("node") == F.col("node2"))).select("node", "t")
     sets = materialize(shingle_sets(with_text).dropDuplicates(["node"]), "sets")
+    own = sets.select(F.xxhash64("node").alias("id"), F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count("*").alias("own"))
+    size = sets.select("node", F.xxhash64("node").alias("id"), F.size(F.array_distinct("cells")).alias("n")).join(own, "id", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+    size = size.where(F.col("shared") >= similarity * F.col("n") - 1e-9)
+    crowd = members.groupBy("band").agg(F.count("*").alias("m"))
+    members = materialize(members.select("node", "band").join(size, "node").join(crowd, "band"), "members")
+    crowd = members.groupBy("node").agg(F.sum("m").alias("m"))
+    members = members.drop("m").join(crowd, "node")
     labels = members.select("node", F.col("node").alias("label")).distinct()
 
+    def possible(shared, n, other_shared, other_n):
+        """Whether a pair's similarity can reach the threshold, by the cells that other nodes have at all."""
+        common = F.least(shared, other_shared)
+        return common >= similarity * (n + other_n - common) - 1e-9
+
     def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
         """Labels after joining the classes that ``links`` connects."""
         of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
@@ -185,8 +199,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     for r in range(rounds):
         placed = materialize(members.join(labels, "node"), "placed")
-        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "label", "n")).alias("hub")).where("lo <> hi").select("band", "hub")
-        pairs = placed.join(mixed, "band").where(F.col("label") != F.col("hub.label")).where(F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n") - 1e-9)
+        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(-F.col("m") if r == 0 else F.xxhash64("node", F.lit(r)), "node", "label", "n", "shared")).alias("hub")).where("lo <> hi").select("band", "hub")
+        pairs = placed.join(mixed, "band").where(F.col("label") != F.col("hub.label")).where(possible(F.col("shared"), F.col("n"), F.col("hub.shared"), F.col("hub.n")))
         pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         labels = merge(labels, materialize(verify(pairs, sets, similarity), "links"))
 
@@ -194,8 +208,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     mixed = materialize(placed.join(mixed, "band"), "mixed")
     largest = mixed.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "label")).alias("top"))
-    outside = mixed.join(largest, "band").where(F.col("label") != F.col("top.label")).select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("na"))
-    rest = outside.join(mixed, "band").where("label <> label_a").where(F.least("n", "na") >= similarity * F.greatest("n", "na") - 1e-9)
+    outside = mixed.join(largest, "band").where(F.col("label") != F.col("top.label")).select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
+    rest = outside.join(mixed, "band").where("label <> label_a").where(possible(F.col("shared"), F.col("n"), F.col("sa"), F.col("na")))
     rest = rest.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     labels = merge(labels, materialize(verify(rest, sets, similarity), "links"))
 
