@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, remainder, utf8
 
-ORDER = 5
-BLOCK_BYTES = 8 << 20
+ORDER = 4
+BLOCK_BYTES = 16 << 20
 END = b"\n"
 
 
