@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from math import log10
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,32 @@ def steps(token: bytes) -> list[bytes]:
     return [s[max(0, i - ORDER) : i + 1] for i in range(1, len(s))]
 
 
+def codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``steps`` of many distinct tokens at once: numbers that stand for keys (the bytes, and their number above them), and the place of each one's token."""
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.int64)
+    of = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = (np.minimum(place, ORDER) + 1) << (8 * (ORDER + 1))
+    for j in range(ORDER + 1):
+        older = np.zeros_like(data)
+        older[j:] = data[: len(data) - j]
+        out |= np.where(place >= j, older, 0) << (8 * j)
+    keep = place > 0
+    if END in words:
+        keep &= (of != words.index(END)) | (place == 1)
+    return out[keep], of[keep]
+
+
+def code_of(key: bytes) -> int:
+    return int.from_bytes(key, "big") | len(key) << (8 * (ORDER + 1))
+
+
+def key_of(code: int) -> bytes:
+    n = code >> (8 * (ORDER + 1))
+    return (code & ((1 << (8 * n)) - 1)).to_bytes(n, "big")
+
+
 def suffixes(counts: dict[bytes, int], longest: int, shortest: int = 0) -> dict[bytes, dict[int, int]]:
     """A trie as context -> byte -> count, for the suffixes of ``shortest`` to ``longest`` bytes of each counted context."""
     trie: dict[bytes, dict[int, int]] = {}
@@ -97,11 +124,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 words.update(tokens(text))
             else:
                 words.update(dict.fromkeys(set(tokens(text)) - words.keys(), 0))
-        pairs: Counter = Counter()
-        for w, n in words.items():
-            for key in steps(w):
-                pairs[key] += n
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "pair": [False] * len(words) + [True] * len(pairs), "key": [*words, *pairs], "n": [*words.values(), *pairs.values()]})
+        code, of = codes(list(words))
+        code, at = np.unique(code, return_inverse=True)
+        n = np.bincount(at, np.array(list(words.values()), float)[of], len(code)).astype(np.int64)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "pair": np.repeat([False, True], [len(words), len(code)]), "key": [*words, *map(key_of, code.tolist())], "n": np.concatenate([np.array(list(words.values()), np.int64), n])})
 
     asked = materialize(df.select("block", "t", "train").groupBy("block").applyInPandas(count, "block int, pair boolean, key binary, n long"), "ppm-asked")
     known = materialize(asked.groupBy("pair", "key").agg(F.sum("n").alias("n")), "ppm-known")
@@ -128,10 +154,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     def total(pdf, values):
         pair = values["pair"].to_numpy(bool)
-        logs = dict(zip(map(bytes, values["key"][pair]), values["value"][pair]))
-        by_word = {}
-        for w, c in zip(map(bytes, values["key"][~pair]), values["value"][~pair]):
-            by_word[w] = (log10((c + 0.5) / base_c), sum(logs[k] for k in steps(w)), c > 0)
+        code = np.array([code_of(k) for k in values["key"][pair]], np.int64)
+        order = np.argsort(code)
+        words, c = [bytes(w) for w in values["key"][~pair]], values["value"][~pair].to_numpy(float)
+        asked, of = codes(words)
+        logs = values["value"][pair].to_numpy(float)[order[np.searchsorted(code[order], asked)]]
+        by_word = dict(zip(words, zip(np.log10((c + 0.5) / base_c).tolist(), np.bincount(of, logs, len(words)).tolist(), (c > 0).tolist())))
         rows = []
         for text in pdf["t"]:
             of = [by_word[w] for w in tokens(text)]
