@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import lexiloom.plans.speech  # noqa: F401
 from lexiloom.functions import align
 from lexiloom.plans import catalogue
 
