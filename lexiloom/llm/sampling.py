@@ -44,16 +44,15 @@ class Lattice:
         self.pieces = pieces
         self.index: dict[str, int] = {"": 0}
         self.beta = [0.0]
-        self.first, self.n_arcs = [0], [0]
         self.piece: list[tuple[int, ...]] = []
-        self.next: list[int] = []
-        self.log: list[float] = []
-        self.until: list[float] = []
+        self.new: dict[str, list] = {"first": [0], "n": [0], "next": [], "log": [], "until": [], "single": []}
+        self.room = {name: np.zeros(1024, np.float64 if name in ("log", "until") else np.int64) for name in self.new}
+        self.size = dict.fromkeys(self.new, 0)
         self.arrays()
 
     def add(self, word: str) -> int:
         """The state of a pre-token; those of its rests come with it."""
-        index, of, longest = self.index, self.pieces.of, self.pieces.longest
+        index, of, longest, new = self.index, self.pieces.of, self.pieces.longest, self.new
         if word in index:
             return index[word]
         for i in range(len(word) - 1, -1, -1):
@@ -75,24 +74,32 @@ class Lattice:
             shares = [2.718281828459045 ** (x - top) for x in logs]
             mass = sum(shares)
             log_mass = top + float(np.log(mass))
-            self.first.append(len(self.next))
-            self.n_arcs.append(len(ids))
+            new["first"].append(len(self.piece))
+            new["n"].append(len(ids))
+            new["single"] += [p[0] if len(p) == 1 else -1 for p in ids]
             self.piece += ids
-            self.next += to
+            new["next"] += to
             total = 0.0
             state = len(self.beta)
             for x, s in zip(logs, shares):
                 total += s / mass
-                self.log.append(min(0.0, x - log_mass))
-                self.until.append(state + min(total, 1.0))
-            self.until[-1] = state + 1.0
+                new["log"].append(min(0.0, x - log_mass))
+                new["until"].append(state + min(total, 1.0))
+            new["until"][-1] = state + 1.0
             index[rest] = state
             self.beta.append(log_mass)
         return index[word]
 
     def arrays(self) -> None:
-        self.a_first, self.a_n = np.array(self.first), np.array(self.n_arcs)
-        self.a_next, self.a_log, self.a_until = np.array(self.next, np.int64), np.array(self.log), np.array(self.until)
+        """Move what was added since the last call to the arrays, whose room doubles: each state is converted once."""
+        for name, values in self.new.items():
+            size, room = self.size[name], self.room[name]
+            if size + len(values) > len(room):
+                self.room[name] = room = np.concatenate([room, np.zeros(len(room) + len(values), room.dtype)])
+            room[size : size + len(values)] = values
+            self.size[name] = size + len(values)
+            self.new[name] = []
+            setattr(self, f"a_{name}", room[: self.size[name]])
 
     def draw(self, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each start state, the arcs to the end of its pre-token: number of the start, arc; in order."""
@@ -221,12 +228,11 @@ def sample(docs: DataFrame, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_
                     lattice = Lattice(pieces)
                 states = [np.array([lattice.add(w) for w in pretokens(t)], np.int64) for t in texts[part]]
                 lattice.arrays()
-                single = np.array([p[0] if len(p) == 1 else -1 for p in lattice.piece], np.int64)
                 keys = np.array([xxhash.xxh64_intdigest(f"{i}|{t}", seed) for i, t in zip(pdf["id"].iloc[part], texts[part])], U64)
                 rows = []
                 for i, found in zip(pdf["id"].iloc[part], top_k(lattice, states, keys, k)):
                     for n, f in enumerate(found):
-                        ids = single[f["arcs"]]
+                        ids = lattice.a_single[f["arcs"]]
                         rows.append((i, n + 1, (ids if (ids >= 0).all() else ids_of(lattice, f["arcs"])).astype(np.int32), f["log_p"], f["score"], f["inclusion"]))
                 out = pd.DataFrame(rows, columns=["id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
                 yield out
