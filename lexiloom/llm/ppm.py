@@ -12,7 +12,8 @@ log10 probabilities of its bytes.
 How it is spread: documents fall into blocks of about ``BLOCK_BYTES`` by a hash. A
 block's distinct tokens and distinct (context, byte) pairs are counted in one
 task; sums by key give the corpus counts, the shorter contexts' probabilities
-follow per last three bytes of the context, and each block gets back just the
+follow per last three bytes of the context (contexts that end alike share a task, many
+of them at a time), and each block gets back just the
 keys that it asked for. A key is asked for once by a block, so no key is hot.
 Statistics of contexts of two bytes or fewer (2**24 entries at the very most) go to all tasks.
 
@@ -35,6 +36,7 @@ from .common import materialize, remainder, utf8
 
 ORDER = 4
 BLOCK_BYTES = 16 << 20
+GROUP_KEYS = 100_000
 END = b"\n"
 
 
@@ -147,7 +149,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         return pd.DataFrame({"key": list(counts), "value": [log10_p(k, look, memo) for k in counts]})
 
     last = F.expr("substring(key, greatest(1, length(key) - 3), least(3, length(key) - 1))")
-    weighed = pairs.select("key", "n", last.alias("last")).groupBy("last").applyInPandas(lambda pdf: weigh(pdf), "key binary, value double")
+    groups = max(1, -(-pairs.count() // GROUP_KEYS))
+    weighed = pairs.select("key", "n", F.pmod(F.xxhash64(last), F.lit(groups)).alias("group")).groupBy("group").applyInPandas(lambda pdf: weigh(pdf), "key binary, value double")
     answers = weighed.select(F.lit(True).alias("pair"), "key", "value").unionByName(known.where(~F.col("pair")).select("pair", "key", F.col("n").cast("double").alias("value")))
     got = asked.select("block", "pair", "key").join(answers.hint("shuffle_hash"), ["pair", "key"])
     base_c = n_train + 0.5 * (n_distinct + 1)
@@ -159,12 +162,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         words, c = [bytes(w) for w in values["key"][~pair]], values["value"][~pair].to_numpy(float)
         asked, of = codes(words)
         logs = values["value"][pair].to_numpy(float)[order[np.searchsorted(code[order], asked)]]
-        by_word = dict(zip(words, zip(np.log10((c + 0.5) / base_c).tolist(), np.bincount(of, logs, len(words)).tolist(), (c > 0).tolist())))
+        of_word = np.stack([(c > 0).astype(float), np.log10((c + 0.5) / base_c), np.bincount(of, logs, len(words))])
+        place = {w: i for i, w in enumerate(words)}
         rows = []
         for text in pdf["t"]:
-            of = [by_word[w] for w in tokens(text)]
-            rows.append((len(of), sum(x[2] for x in of), sum(x[0] for x in of), sum(x[1] for x in of)))
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"])
+            at = np.array([place[w] for w in tokens(text)])
+            rows.append((len(at), *of_word[:, at].sum(1).tolist()))
+        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"]).astype({"n_known": "int64"})
         out["k"], out["held_out"], out["train_tokens"] = pdf["k"].array, pdf["held_out"].array, n_train
         return out
 
