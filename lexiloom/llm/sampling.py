@@ -11,8 +11,8 @@ largest bound holds the next segmentation, which is then drawn in it. The (k+1)-
 kappa gives each one's inclusion score, 1 - exp(-exp(log p - kappa)).
 
 The lattice of a text is a chain of pre-tokens; what a piece may be depends on
-the rest of its pre-token alone, so states are such rests, shared by all words
-that end alike, with their backward masses computed once. Draws are hashes of (row key,
+the rest of its pre-token alone, so states are such rests, shared by all places where
+a pre-token occurs, with their backward masses computed once, for all new pre-tokens of a batch together. Draws are hashes of (row key,
 text, sample, place, step), so a row gives the same samples wherever it runs.
 
 One narrow pass, no shuffle; a task keeps ``STATES`` states at most before it starts anew.
@@ -33,73 +33,103 @@ from pyspark.sql import functions as F
 from .common import U64, mix64, slices, unit
 from .pieces import Pieces, pretokens
 
-SAMPLES, STATES = 3, 400_000
+SAMPLES, STATES = 3, 1_000_000
 BATCH_CHARS = 1 << 20
 
 
 class Lattice:
-    """States (rests of pre-tokens) and their arcs (pieces) as flat arrays, grown on demand."""
+    """States (rests of pre-tokens) and their arcs (pieces) as flat arrays, grown on demand. State 0 is the end of a pre-token."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.index: dict[str, int] = {"": 0}
-        self.beta = [0.0]
-        self.piece: list[tuple[int, ...]] = []
-        self.new: dict[str, list] = {"first": [0], "n": [0], "next": [], "log": [], "until": [], "single": []}
-        self.room = {name: np.zeros(1024, np.float64 if name in ("log", "until") else np.int64) for name in self.new}
-        self.size = dict.fromkeys(self.new, 0)
-        self.arrays()
-
-    def add(self, word: str) -> int:
-        """The state of a pre-token; those of its rests come with it."""
-        index, of, longest, new = self.index, self.pieces.of, self.pieces.longest, self.new
-        if word in index:
-            return index[word]
-        for i in range(len(word) - 1, -1, -1):
-            rest = word[i:]
-            if rest in index:
-                continue
-            ids, to, logs = [], [], []
-            for j in range(1, min(longest, len(rest)) + 1):
-                if (piece := of.get(rest[:j])) is not None:
-                    ids.append((piece[0],))
-                    to.append(state := index[rest[j:]])
-                    logs.append(piece[1] + self.beta[state])
-            if rest[0] not in of:
-                parts, p = self.pieces.whole(rest[0])
-                ids.append(parts)
-                to.append(state := index[rest[1:]])
-                logs.append(p + self.beta[state])
-            top = max(logs)
-            shares = [2.718281828459045 ** (x - top) for x in logs]
-            mass = sum(shares)
-            log_mass = top + float(np.log(mass))
-            new["first"].append(len(self.piece))
-            new["n"].append(len(ids))
-            new["single"] += [p[0] if len(p) == 1 else -1 for p in ids]
-            self.piece += ids
-            new["next"] += to
-            total = 0.0
-            state = len(self.beta)
-            for x, s in zip(logs, shares):
-                total += s / mass
-                new["log"].append(min(0.0, x - log_mass))
-                new["until"].append(state + min(total, 1.0))
-            new["until"][-1] = state + 1.0
-            index[rest] = state
-            self.beta.append(log_mass)
-        return index[word]
-
-    def arrays(self) -> None:
-        """Move what was added since the last call to the arrays, whose room doubles: each state is converted once."""
-        for name, values in self.new.items():
-            size, room = self.size[name], self.room[name]
+        nodes, ids, logs = {}, [-1], [0.0]  # a trie of the pieces: (node, character) -> node
+        for text, (piece, log) in pieces.of.items():
+            node = 0
+            for c in text:
+                if (to := nodes.get(key := node << 21 | ord(c))) is None:
+                    to = nodes[key] = len(ids)
+                    ids.append(-1)
+                    logs.append(0.0)
+                node = to
+            ids[node], logs[node] = piece, log
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.child = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        self.node_id, self.node_log = np.array(ids), np.array(logs)
+        self.byte_log = next(iter(pieces.byte.values()))[1]
+        kinds = {"beta": float, "first": np.int64, "n": np.int64, "next": np.int64, "log": float, "until": float, "piece": np.int64}
+        self.room = {name: np.zeros(1024, kind) for name, kind in kinds.items()}
+        self.n_states = self.n_arcs = 0
+        self.extend(np.zeros(1), np.zeros(1, np.int64), {})
+
+    def extend(self, beta: np.ndarray, n: np.ndarray, arcs: dict[str, np.ndarray]) -> None:
+        """Append states and their arcs; the arrays' room doubles, so each is copied a few times at most."""
+        more = {"beta": beta, "first": self.n_arcs + np.cumsum(n) - n, "n": n, **arcs}
+        for name, room in self.room.items():
+            values = more.get(name, room[:0])
+            size = self.n_states if name in ("beta", "first", "n") else self.n_arcs
             if size + len(values) > len(room):
-                self.room[name] = room = np.concatenate([room, np.zeros(len(room) + len(values), room.dtype)])
+                self.room[name] = room = np.concatenate([room[:size], np.zeros(size + len(values), room.dtype)])
             room[size : size + len(values)] = values
-            self.size[name] = size + len(values)
-            self.new[name] = []
-            setattr(self, f"a_{name}", room[: self.size[name]])
+            setattr(self, f"a_{name}", room[: size + len(values)])
+        self.n_states += len(n)
+        self.n_arcs += len(arcs.get("next", ()))
+
+    def match(self, chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in the words: start, length, id (of a character in bytes: -1 less its code point), log probability; by start, then length."""
+        live, node, size, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0, []
+        while len(live):
+            key = node << 21 | chars[live + size]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[at] == key
+            live, node, size = live[there], self.child[at[there]], size + 1
+            piece = self.node_id[node] >= 0
+            if size == 1:
+                spelled = np.ones(len(chars), bool)
+                spelled[live[piece]] = False
+                lost = np.flatnonzero(spelled)
+                c = chars[lost]
+                n_bytes = np.where((c >= 0xD800) & (c < 0xE000), 1, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+                found.append((lost, np.ones(len(lost), np.int64), -1 - c, n_bytes * self.byte_log))
+            found.append((live[piece], np.full(int(piece.sum()), size), self.node_id[node[piece]], self.node_log[node[piece]]))
+            more = live + size < ends[live]
+            live, node = live[more], node[more]
+        start, length, ids, logs = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((length, start))
+        return start[order], length[order], ids[order], logs[order]
+
+    def add(self, words: list[str]) -> None:
+        """States of the pre-tokens that are new: one for each place in them, with the log mass (beta) of all ways from there to the end."""
+        words = [w for w in dict.fromkeys(words) if w not in self.index]
+        if not words:
+            return
+        sizes = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        start, length, ids, logs = self.match(chars, ends)
+        base = self.n_states
+        self.index |= zip(words, (base + np.cumsum(sizes) - sizes).tolist())
+        n = np.bincount(start, minlength=len(chars))
+        first = np.cumsum(n) - n
+        to = start + length
+        to = np.where(to < ends[start], to, len(chars))  # the last place stands for the end
+        beta = np.zeros(len(chars) + 1)
+        left = ends - np.arange(len(chars))
+        by_left = np.argsort(left, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(left)[1:])])
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            at = by_left[lo:hi]
+            many = n[at]
+            begin = np.cumsum(many) - many
+            arc = np.arange(int(many.sum())) + np.repeat(first[at] - begin, many)
+            x = logs[arc] + beta[to[arc]]
+            top = np.maximum.reduceat(x, begin)
+            beta[at] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), begin))
+        log = np.minimum(0.0, logs + beta[to] - beta[start])
+        total = np.cumsum(np.exp(log))
+        until = base + start + np.clip(total - np.repeat(np.concatenate([[0.0], total])[first], n), 0.0, 1.0)
+        until[first + n - 1] = base + np.arange(len(chars)) + 1.0
+        self.extend(beta[:-1], n, {"next": np.where(to < len(chars), base + to, 0), "log": log, "until": until, "piece": ids})
 
     def draw(self, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each start state, the arcs to the end of its pre-token: number of the start, arc; in order."""
@@ -212,7 +242,11 @@ def top_k(lattice: Lattice, texts: list[np.ndarray], keys: np.ndarray, k: int) -
 
 
 def ids_of(lattice: Lattice, arcs: np.ndarray) -> np.ndarray:
-    return np.array([i for a in arcs for i in lattice.piece[a]], "<u4")
+    """Piece ids along the arcs; a character that no piece has gives its bytes' pieces."""
+    ids = lattice.a_piece[arcs]
+    if len(ids) and ids.min() < 0:
+        ids = np.array([i for x in ids.tolist() for i in ((x,) if x >= 0 else lattice.pieces.whole(chr(-1 - x))[0])])
+    return ids.astype("<u4")
 
 
 def sample(docs: DataFrame, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
@@ -224,16 +258,16 @@ def sample(docs: DataFrame, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_
         for pdf in batches:
             texts = list(pdf["t"])
             for part in slices(pdf, [len(t) if isinstance(t, str) else 0 for t in texts], BATCH_CHARS):
-                if len(lattice.index) > STATES:
+                if lattice.n_states > STATES:
                     lattice = Lattice(pieces)
-                states = [np.array([lattice.add(w) for w in pretokens(t)], np.int64) for t in texts[part]]
-                lattice.arrays()
+                split = [pretokens(t) for t in texts[part]]
+                lattice.add([w for s in split for w in s])
+                states = [np.array([lattice.index[w] for w in s], np.int64) for s in split]
                 keys = np.array([xxhash.xxh64_intdigest(f"{i}|{t}", seed) for i, t in zip(pdf["id"].iloc[part], texts[part])], U64)
                 rows = []
                 for i, found in zip(pdf["id"].iloc[part], top_k(lattice, states, keys, k)):
                     for n, f in enumerate(found):
-                        ids = lattice.a_single[f["arcs"]]
-                        rows.append((i, n + 1, (ids if (ids >= 0).all() else ids_of(lattice, f["arcs"])).astype(np.int32), f["log_p"], f["score"], f["inclusion"]))
+                        rows.append((i, n + 1, ids_of(lattice, f["arcs"]).astype(np.int32), f["log_p"], f["score"], f["inclusion"]))
                 out = pd.DataFrame(rows, columns=["id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
                 yield out
 

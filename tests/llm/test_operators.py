@@ -227,8 +227,8 @@ def test_signatures_estimate_similarity():
 def test_sampling_is_without_replacement_and_in_proportion():
     pieces = Pieces()
     lattice = sampling.Lattice(pieces)
-    states = np.array([lattice.add(w) for w in pretokens("ab th")])
-    lattice.arrays()
+    lattice.add(pretokens("ab th"))
+    states = np.array([lattice.index[w] for w in pretokens("ab th")])
     n = 4000
     found = sampling.top_k(lattice, [states] * n, np.random.default_rng(0).integers(0, 2**63, n).astype(np.uint64), 3)
     first = Counter(tuple(f[0]["arcs"]) for f in found)
