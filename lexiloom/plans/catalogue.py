@@ -56,6 +56,12 @@ def stream(spark, sf_dir):
     return corpus.word_stream(table(spark, sf_dir, "documents"))
 
 
+@query(f"WITH {TOK} SELECT doc_id, CAST(pos AS BIGINT) AS pos, tok, run_type FROM runs")
+def token_runs(spark, sf_dir):
+    """Every token with its place and class."""
+    return corpus.token_runs(table(spark, sf_dir, "documents")).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query(f"WITH {TOK} SELECT doc_id, run_type, count(*) AS n, CAST(sum(length(tok)) AS BIGINT) AS chars FROM runs GROUP BY ALL")
 def token_class_counts(spark, sf_dir):
     """Tokens and characters by document and class."""
