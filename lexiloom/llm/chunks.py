@@ -2,27 +2,30 @@
 
 A chunk starts at a word whose preceding ``WINDOW`` bytes have a gear hash with
 ``CUT_BITS`` zero bits on top (so inserted text moves no later cut), and at
-every ``MAX_WORDS``-th word of a chunk that grew so long. Chunks are
-deduplicated by a 64-bit digest (a run needs several, so a chance collision makes none). A run of neighbouring chunks that all occur
-elsewhere is a repeated passage if it covers ``MIN_WORDS`` words: a passage of
-50 words loses up to a window and a chunk at either end. Of the copies
-of a chunk the one in the least id, and there the first, is kept.
+every ``MAX_WORDS``-th word of a chunk that grew so long. A single chunk is too short to be evidence, so what is
+compared is, from each chunk on, the fewest chunks that cover ``MIN_WORDS`` words, as one string of bytes (a window,
+by its 64-bit digest): one match is a passage that the other document has word for word. A passage of
+50 words loses up to ``WINDOW`` bytes and a chunk at either end. Of the copies of a window the one in
+the least id (null ids come first), there in the least text digest, and there the first, is kept. A run is
+neighbouring windows whose kept copies are neighbours in one document too, so that document has the
+whole run in succession, and no run is shorter than ``MIN_WORDS`` words. Runs of different sources may overlap; what a
+kept window covers is never cut, so every kept copy stays whole.
 
 How it is spread: chunking is narrow and cheap, so it runs twice rather than being
-kept: once for the sums by digest (least and largest id, with map-side partial
+kept: once for the sums by digest (kept copy, and whether there is another, with map-side partial
 sums), once to be joined with the digests that repeat (the join's sides can be
-split where a digest is hot). Only repeated chunks are gathered by document.
+split where a digest is hot). Only repeated windows are gathered by document.
 
-Edge cases: null and empty texts have no chunks; rows that share an id are one
-document, so what only they share is not repeated; rows without an id take no part and stay as they are.
+Edge cases: null and empty texts have no chunks; rows that agree in id and text are one
+document, so what only they share is not repeated; rows that share an id or have none take part by id and text.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, mix64, slices, utf8
@@ -50,6 +53,7 @@ def chunk(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return (np.zeros(0, np.int64),) * 4
     h = gear(w.data)
     cut = (h[np.maximum(w.starts - 1, 0)] >> np.uint16(16 - CUT_BITS)) == 0
+    cut &= w.starts - w.offsets[w.doc] >= WINDOW  # or the text before it in the batch would count
     place = np.arange(len(w.starts)) - w.first[w.doc]
     cut |= place == 0
     lead = np.maximum.accumulate(np.where(cut, np.arange(len(cut)), 0))
@@ -60,74 +64,109 @@ def chunk(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc, w.starts[at] - w.offsets[doc], w.ends[last] - w.offsets[doc], last - at + 1
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k (id), t (text digest), d (chunk digest), span (first byte and end byte, 32 bits each), nth (number of the chunk, its words, and
-    whether the text has it before: place * 64 + words * 2 + again). Rows without an id have no chunks."""
+def windows(texts: list[bytes], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """From each chunk on, the fewest chunks of its text that cover ``min_words`` words: text, first byte, end byte, number of the chunk, its words, words of all."""
+    doc, start, end, words = chunk(texts)
+    n = np.bincount(doc, minlength=len(texts))
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    upto = np.cumsum(words)
+    last = np.searchsorted(upto, upto - words + min_words)
+    whole = np.flatnonzero(last < len(doc))
+    whole = whole[doc[last[whole]] == doc[whole]]
+    last = last[whole]
+    return doc[whole], start[whole], end[last], place[whole], words[whole], upto[last] - upto[whole] + words[whole]
+
+
+def window_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """k (id), t (digest of id and text), d (digest of the window), span (first byte and end byte, 32 bits each), nth (number of the first chunk,
+    its words, and the window's: place << 24 | chunk << 16 | words)."""
 
     def run(batches):
-        for pdf in batches:
-            texts = [utf8(x) for x in pdf["text"]]
-            for part in slices(pdf, [len(x) for x in texts], BATCH_BYTES):
+        for batch in batches:
+            texts = [utf8(x) for x in batch.column("text").to_pylist()]
+            for part in slices(texts, [len(x) for x in texts], BATCH_BYTES):
                 own = texts[part]
-                doc, start, end, words = chunk(own)
+                doc, start, end, place, first, words = windows(own, min_words)
                 digest = np.array([xxhash.xxh3_64_intdigest(own[i][a:b]) for i, a, b in zip(doc.tolist(), start.tolist(), end.tolist())], U64).view(np.int64)
-                n = np.bincount(doc, minlength=len(own))
-                place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-                order = np.lexsort((place, digest, doc))
-                again = np.zeros(len(doc), bool)
-                again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (digest[order[1:]] == digest[order[:-1]])
-                rows = pdf.iloc[part]
-                yield pd.DataFrame({"k": rows["k"].array[doc], "t": rows["t"].array[doc], "d": digest, "span": start << 32 | end, "nth": place * 64 + words * 2 + again})
+                at = pa.array(doc + part.start)
+                columns = [batch.column("k").take(at), batch.column("t").take(at), *map(pa.array, (digest, start << 32 | end, place << 24 | first << 16 | words))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "t", "d", "span", "nth"])
+
+    named = docs.select(F.col(id_col).alias("k"), document(id_col, text_col).alias("t"), F.col(text_col).alias("text"))
+    return named.mapInArrow(run, f"k {dict(named.dtypes)['k']}, t long, d long, span long, nth long")
+
 
-    kept = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
-    return kept.mapInPandas(run, f"k {dict(kept.dtypes)['k']}, t long, d long, span long, nth long")
+def document(id_col: str, text_col: str) -> Column:
+    """64 bits that stand for a document: its id and its text (null: the empty text)."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each document with a repeated passage: k, t and ``runs``, an array of struct(start, end, words, kept, with): bytes of the
-    passage's covered part, whether this is its kept copy, and the id that has the kept copy of its first chunk. A run ends where "kept" changes."""
-    again = F.col("nth").bitwiseAND(1)
+    """One row for each document with a repeated passage: k, t, ``runs``, an array of struct(start, end, words, kept, with): bytes of the
+    passage's covered part, whether this is its kept copy, and the id of the document that has the kept copy; and ``cuts``, an array of struct(start, end):
+    bytes that windows kept elsewhere cover, and none that is kept here."""
+    table = window_table(docs, id_col, text_col, min_words)
+    other = F.hash("t", "nth")  # the same for the same row twice
     repeats = (
-        chunk_table(docs, id_col, text_col).groupBy("d")
-        .agg(F.min("k").alias("least"), F.max("k").alias("most"), F.max(again).alias("again"))
-        .where((F.col("least") != F.col("most")) | (F.col("again") == 1)).select("d", "least")
+        table.groupBy("d").agg(F.min(F.struct("k", "t", "nth")).alias("least"), F.min(other).alias("lo"), F.max(other).alias("hi"))
+        .where("lo <> hi").select("d", F.col("least.k").alias("lk"), F.col("least.t").alias("lt"), F.col("least.nth").alias("ln"))
     )
-    found = chunk_table(docs, id_col, text_col).join(repeats, "d").select("k", "t", F.struct("nth", "span", ((F.col("k") == F.col("least")) & (again == 0)).alias("kept"), "least").alias("c"))
+    found = window_table(docs, id_col, text_col, min_words).join(repeats, "d").select("k", "t", F.struct("nth", "span", "lt", "ln", "lk").alias("c"))
 
     def runs(batches):
-        for pdf in batches:
-            out = []
-            for cs in pdf["cs"]:
-                rows, place, kept = [], -2, None
+        for batch in batches:
+            kind = batch.schema.field("k").type
+            out, cuts = [], []
+            for t, cs in zip(batch.column("t").to_pylist(), batch.column("cs").to_pylist()):
+                rows, before = [], None
                 for c in cs:
-                    nth, span = c["nth"], c["span"]
-                    if nth >> 6 == place:
-                        continue  # the same row twice
-                    if nth >> 6 != place + 1 or c["kept"] != kept:
-                        rows.append({"start": span >> 32, "end": 0, "words": 0, "kept": c["kept"], "with": c["least"]})
-                    rows[-1]["end"] = span & 0xFFFFFFFF
-                    rows[-1]["words"] += (nth & 63) >> 1
-                    place, kept = nth >> 6, c["kept"]
-                out.append([r for r in rows if r["words"] >= min_words])
-            yield pd.DataFrame({"k": pdf["k"], "t": pdf["t"], "runs": out})
+                    place, source = c["nth"] >> 24, (c["lt"], c["ln"] >> 24)
+                    if before != (place - 1, source[0], source[1] - 1):
+                        rows.append({"start": c["span"] >> 32, "end": 0, "words": 0, "kept": source == (t, place), "with": c["lk"]})
+                        words = 0
+                    rows[-1]["end"], rows[-1]["words"] = c["span"] & 0xFFFFFFFF, words + (c["nth"] & 0xFFFF)
+                    words += c["nth"] >> 16 & 0xFF
+                    before = (place, *source)
+                out.append(rows)
+                cuts.append(_outside([(r["start"], r["end"]) for r in rows if not r["kept"]], [(r["start"], r["end"]) for r in rows if r["kept"]]))
+            run = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("kept", pa.bool_()), ("with", kind)])
+            span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("t"), pa.array(out, pa.list_(run)), pa.array(cuts, pa.list_(span))], names=["k", "t", "runs", "cuts"])
 
     kind = dict(docs.dtypes)[id_col]
-    gathered = found.groupBy("k", "t").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    return gathered.mapInPandas(runs, f"k {kind}, t long, runs array<struct<start:int,end:int,words:int,kept:boolean,with:{kind}>>").where(F.size("runs") > 0)
+    gathered = found.groupBy("k", "t").agg(F.array_sort(F.collect_set("c")).alias("cs"))
+    return gathered.mapInArrow(runs, f"k {kind}, t long, runs array<struct<start:int,end:int,words:int,kept:boolean,with:{kind}>>, cuts array<struct<start:int,end:int>>")
+
+
+def _outside(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """What ``spans`` cover and ``kept`` doesn't, as disjoint spans in order. Both are in order of their starts."""
+    out: list[dict[str, int]] = []
+    at = i = 0
+    for start, end in spans:
+        at = max(at, start)
+        while i < len(kept) and kept[i][1] <= at:
+            i += 1
+        j = i
+        while at < end:
+            stop = min(end, kept[j][0]) if j < len(kept) else end
+            if at < stop:
+                out.append({"start": at, "end": stop})
+            at = max(stop, min(end, kept[j][1])) if j < len(kept) else end
+            j += 1
+    return out
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the copies of repeated passages that aren't the kept ones; ``n_chars`` is counted anew where it is a column; no row goes."""
-    spans = repeated(docs, id_col, text_col, min_words).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.filter("runs", lambda r: ~r["kept"]).alias("__runs")).where(F.size("__runs") > 0)
-    whole = F.coalesce(F.col(text_col), F.lit(""))
-    data = whole.cast("binary")
+    spans = repeated(docs, id_col, text_col, min_words).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("cuts").alias("__runs")).where(F.size("__runs") > 0)
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     cut = F.aggregate(
         "__runs",
         F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
         lambda a, r: F.struct((r["end"] + 1).alias("at"), F.concat(a["out"], F.substring(data, a["at"], r["start"] + 1 - a["at"]).cast("string")).alias("out")),
         lambda a: F.concat(a["out"], F.substring(data, a["at"], F.length(data)).cast("string")),
     )
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__k")) & (F.xxhash64(whole) == F.col("__t")), "left")
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__k")) & (document(id_col, text_col) == F.col("__t")), "left")
     out = joined.select(*[c for c in docs.columns if c != text_col], F.when(F.col("__runs").isNotNull(), cut).otherwise(F.col(text_col)).alias(text_col))
     return out.select(*[F.length(text_col).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -257,3 +257,50 @@ def test_pipeline_keeps_columns(spark):
         docs = corpus_pipeline.materialize(stage(spark, docs, "/root/testdata/sf0.001"), name)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, None).select("doc_id").distinct().count() == docs.count() > 100
+
+
+def test_chunks_need_a_common_source(spark):
+    """Clean text of phrases that all occur elsewhere, but never 22 words of it in one place, is not a passage."""
+    r = random.Random(11)
+    phrases = [" ".join(r.choice(["sun", "moon", "tree", "lake", "hill", "road", "bird", "wind"]) + str(r.randrange(9)) for _ in range(5)) for _ in range(40)]
+    texts = [" ".join(r.choice(phrases) for _ in range(30)) for _ in range(40)]
+    seen = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for a in range(len(w) - 21):
+            seen.setdefault(tuple(w[a : a + 22]), set()).add(i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shared = {i for ids in seen.values() if len(ids) > 1 for i in ids}
+    assert {r["k"] for r in chunks.repeated(docs).collect()} <= shared
+    assert all(t == texts[i] for i, t in chunks.remove(docs).collect() if i not in shared)
+
+
+def test_chunks_choose_one_source_for_a_run(spark):
+    """Every run is in the document that it names, a kept one in its own; words of the passage in lesser ids don't split the first copy."""
+    words = PASSAGE.split()
+    texts = [" ".join(words[i : i + 20]) for i in range(0, 50, 5)] + [f"head {PASSAGE} tail", f"other {PASSAGE} end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["k"]: r["runs"] for r in chunks.repeated(docs).collect()}
+    assert {k: [(x["kept"], x["with"]) for x in runs] for k, runs in got.items()} == {10: [(True, 10)], 11: [(False, 10)]}
+    for k, (run,) in got.items():
+        part = utf8(texts[k])[run["start"] : run["end"]]
+        assert part in utf8(texts[10]) and run["words"] == len(part.split()) >= 22
+    cut = dict(chunks.remove(docs).collect())
+    assert cut[10] == texts[10] and len(cut[11]) < len(texts[11]) - 200
+
+
+def test_chunks_keep_kept_windows_whole():
+    assert chunks._outside([(0, 50), (60, 90)], [(30, 70), (80, 85)]) == [{"start": 0, "end": 30}, {"start": 70, "end": 80}, {"start": 85, "end": 90}]
+    assert chunks._outside([(0, 10), (5, 20)], []) == [{"start": 0, "end": 10}, {"start": 10, "end": 20}]
+
+
+def test_chunks_of_rows_without_or_with_shared_ids(spark):
+    big = 2**60 + 1
+    texts = [f"a{i} b{i} {PASSAGE} c{i} d{i}" for i in range(4)]
+    for ids in ([None] * 4, [big] * 4, [big, None, big, None]):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        got = [(r["k"], x["kept"]) for r in chunks.repeated(docs).collect() for x in r["runs"]]
+        assert sorted(k or 0 for k, _ in got) == sorted(k or 0 for k in ids) and sum(kept for _, kept in got) == 1
+        assert sorted("passage30 " in r["text"] for r in chunks.remove(docs).collect()) == [False] * 3 + [True]
+    same = spark.createDataFrame([(None, texts[0])] * 3 + [(5, texts[1].replace("passage", "word"))] * 2, "doc_id long, text string")
+    assert chunks.repeated(same).count() == 0
