@@ -12,9 +12,9 @@ whole run in succession, and no run is shorter than ``MIN_WORDS`` words. Runs of
 kept window covers is never cut, so every kept copy stays whole.
 
 How it is spread: chunking is narrow and cheap, so it runs twice rather than being
-kept: once for the sums by digest (kept copy, and whether there is another, with map-side partial
-sums), once to be joined with the digests that repeat (the join's sides can be
-split where a digest is hot). Only repeated windows are gathered by document.
+kept: once to see which digests repeat (least and largest hash of the place, 32 bits, with map-side partial
+sums; two copies are missed once in 4 billion), once to be joined with these. A digest's copies meet in
+one task, that picks the kept one. Only repeated windows are gathered by document.
 
 Edge cases: null and empty texts have no chunks; rows that agree in id and text are one
 document, so what only they share is not repeated; rows that share an id or have none take part by id and text.
@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, mix64, slices, utf8
@@ -107,11 +107,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     bytes that windows kept elsewhere cover, and none that is kept here."""
     table = window_table(docs, id_col, text_col, min_words)
     other = F.hash("t", "nth")  # the same for the same row twice
-    repeats = (
-        table.groupBy("d").agg(F.min(F.struct("k", "t", "nth")).alias("least"), F.min(other).alias("lo"), F.max(other).alias("hi"))
-        .where("lo <> hi").select("d", F.col("least.k").alias("lk"), F.col("least.t").alias("lt"), F.col("least.nth").alias("ln"))
-    )
-    found = window_table(docs, id_col, text_col, min_words).join(repeats, "d").select("k", "t", F.struct("nth", "span", "lt", "ln", "lk").alias("c"))
+    repeats = table.groupBy("d").agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo <> hi").select("d")
+    found = window_table(docs, id_col, text_col, min_words).join(repeats, "d")
+    least = F.min(F.struct("k", "t", "nth")).over(Window.partitionBy("d"))
+    found = found.withColumn("least", least).select("k", "t", F.struct("nth", "span", F.col("least.t").alias("lt"), F.col("least.nth").alias("ln"), F.col("least.k").alias("lk")).alias("c"))
 
     def runs(batches):
         for batch in batches:
