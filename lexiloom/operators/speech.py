@@ -10,14 +10,32 @@ from pyspark.sql import functions as F
 from lexiloom.functions import signal
 
 
-def segments(points: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
-    """key, segment, samples: each key's values in order, cut into arrays of ``size`` values at most, so that no row grows with the data."""
+def segments(points: DataFrame, key: str, order: list[str], value: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """key, segment, samples: each key's values in order, cut into arrays of ``size`` values at most, so that no row grows with the data.
+    Each array also has up to ``before`` values ahead of it and ``after`` values behind it."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    cut = points.select(key, F.col(value).alias("x"), n.alias("i")).withColumn("segment", F.floor(F.col("i") / size))
+    cut = points.select(key, F.col(value).alias("x"), n.alias("i"))
+    if before or after:
+        first, last = F.floor(F.greatest(F.lit(0), F.col("i") - after) / size), F.floor((F.col("i") + before) / size)
+        cut = cut.withColumn("segment", F.explode(F.sequence(first, last)))
+    else:
+        cut = cut.withColumn("segment", F.floor(F.col("i") / size))
     ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
     return cut.groupBy(key, "segment").agg(F.transform(ordered, lambda s: s["x"]).alias("samples"))
 
 
+def cepstra(points: DataFrame, key: str, order: list[str], value: str, rate: float, size: int, shift: int, frames: int = 256) -> DataFrame:
+    """key, segment, frame, features: every frame of each key once, by its number within the key. Segments of ``frames`` frames overlap by
+    a frame and by the four frames that changes of changes reach either way, so a seam leaves no trace."""
+    reach = 4
+    if frames < reach:
+        raise ValueError("a segment has to be as long as what changes reach")
+    cut = segments(points, key, order, value, frames * shift, reach * shift, reach * shift + max(0, size - shift))
+    rows = cut.select(key, "segment", F.posexplode(signal.mfcc(F.col("samples"), rate, size, shift)).alias("frame", "features"))
+    own = F.col("frame") - F.when(F.col("segment") > 0, reach).otherwise(0)
+    return rows.withColumn("own", own).where((F.col("own") >= 0) & (F.col("own") < frames)).select(key, "segment", (F.col("own") + F.col("segment") * frames).alias("frame"), "features")
+
+
 def align_levels(samples: Column, levels: list[float]) -> Column:
     """struct(score, starts): the best left-to-right path of states whose emission is minus the squared distance to a level."""
     means = np.array(levels)[:, None]

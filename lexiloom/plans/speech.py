@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiloom.functions import numerals, phonetics, signal
+from lexiloom.functions import numerals, phonetics
 from lexiloom.functions import text as T
 from lexiloom.operators import corpus, speech
 from lexiloom.plans.catalogue import STREAM, query, stream, table
@@ -123,9 +123,8 @@ def gmm_classify(spark, sf_dir):
 
 @query()
 def mfcc(spark, sf_dir):
-    """M1 to M8: cepstral features of each user's values, in frames of 32 every 16."""
-    cut = speech.segments(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 4096)
-    return cut.select("user_id", "segment", F.posexplode(signal.mfcc(F.col("samples"), 8000.0, 32, 16)).alias("frame", "features"))
+    """M1 to M8: cepstral features of each user's values, in frames of 32 every 16, numbered within the user."""
+    return speech.cepstra(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 8000.0, 32, 16)
 
 
 @query()

@@ -126,3 +126,15 @@ def test_binary_files(spark, tmp_path):
     assert (r.rate, r.channels, r.samples) == (8000, 1, [1, -2, 3])
     (tmp_path / "x.ridx").write_bytes(b"ab\0\0\0\0\1\0\0\1\0")
     assert [tuple(r) for r in files.star_index(spark, str(tmp_path / "x.ridx")).collect()] == [("ab", 1, 256)]
+
+
+def test_cepstra_have_no_seams(spark):
+    r = np.random.default_rng(4)
+    values = {1: r.normal(0, 50, 9000), 2: r.normal(0, 50, 4096), 3: r.normal(0, 50, 31), 4: r.normal(0, 50, 4110), 5: r.normal(0, 50, 8200)}
+    rows = [(u, i, float(v)) for u, x in values.items() for i, v in enumerate(x)]
+    got = speech.cepstra(spark.createDataFrame(rows, "u long, i long, v double"), "u", ["i"], "v", 8000.0, 32, 16).collect()
+    for u, x in values.items():
+        mine = {f["frame"]: f["features"] for f in got if f["u"] == u}
+        want = signal.mfcc_frames(x, 8000.0, 32, 16)
+        assert sorted(mine) == list(range(len(want))) and sum(f["u"] == u for f in got) == len(want)
+        assert all(np.allclose(mine[i], f) for i, f in enumerate(want))
