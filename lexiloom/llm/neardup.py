@@ -167,6 +167,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """``id_col``, node, class_id (the least id of the class) and class_size (rows) for every row."""
+    return labelled(docs, id_col, text_col, similarity, rounds).drop("label")
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+    """What ``classes`` returns, with label, which tells classes apart that share a class_id."""
     signed = materialize(sign(docs, id_col, text_col), "signed")
     nodes = materialize(signed.groupBy("node").agg(F.min("k").alias("k"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     in_band = nodes.select("node", F.explode("bands").alias("band"))
@@ -215,15 +220,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     of_node = nodes.select("node", "k", "rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = of_node.groupBy("label").agg(F.min("k").alias("class_id"), F.sum("rows").alias("class_size"))
-    of_node = of_node.join(named, "label").select("node", "class_id", "class_size")
-    return signed.select(F.col("k").alias(id_col), "node").join(of_node, "node").select(id_col, "node", "class_id", "class_size")
+    of_node = of_node.join(named, "label").select("node", "label", "class_id", "class_size")
+    return signed.select(F.col("k").alias(id_col), "node").join(of_node, "node").select(id_col, "node", "label", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id names their class, with the columns they came with: one of each class."""
-    found = classes(docs, id_col, text_col)
-    drop = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__k"), F.col("node").alias("__n")).distinct()
-    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("__k")) & (text_key(text_col) == F.col("__n")), "left_anti")
+    """One row of each class, with the columns it came with: the one with the least id (rows without an id come last) and, there, the least
+    text digest; of rows that agree in both, the one whose columns have the least hash."""
+    rows = labelled(docs, id_col, text_col).groupBy(F.col(id_col).alias("k"), "node", "label").agg(F.count("*").alias("n"))
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("no_id"), "k", "node", "n")).alias("best"))
+    best = materialize(best.select(F.col("best.k").alias("__k"), F.col("best.node").alias("__n"), F.col("best.n").alias("__rows")), "kept")
+    found = docs.join(best, F.col(id_col).eqNullSafe(F.col("__k")) & (text_key(text_col) == F.col("__n")))
+    row = F.struct(*docs.columns)
+    equal = found.where("__rows > 1").groupBy("__k", "__n").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
+    return found.where("__rows = 1").select(*docs.columns).unionByName(equal.select("__row.*"))
 
 
 def op9_minhash_near_dedup(spark, sf_dir):

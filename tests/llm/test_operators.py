@@ -304,3 +304,11 @@ def test_chunks_of_rows_without_or_with_shared_ids(spark):
         assert sorted("passage30 " in r["text"] for r in chunks.remove(docs).collect()) == [False] * 3 + [True]
     same = spark.createDataFrame([(None, texts[0])] * 3 + [(5, texts[1].replace("passage", "word"))] * 2, "doc_id long, text string")
     assert chunks.repeated(same).count() == 0
+
+
+def test_keep_one_keeps_one_row_of_each_class(spark):
+    base, other = [f"n{i}" for i in range(120)], " ".join(f"m{i}" for i in range(120))
+    near = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in (0, 119)]
+    rows = [(None, near[0], "a"), (None, near[1], "a"), (None, near[0], "a"), (7, other, "b"), (7, other, "b"), (7, other + " end", "b"), (9, other, "b"), (None, "alone here", "c"), (7, "alone too", "d")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted((r["lang"], r["doc_id"]) for r in got) == [("a", None), ("b", 7), ("c", None), ("d", 7)]
