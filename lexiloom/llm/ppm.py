@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, remainder, utf8
 
-ORDER = 4
+ORDER = 5
 BLOCK_BYTES = 16 << 20
 GROUP_KEYS = 100_000
 END = b"\n"

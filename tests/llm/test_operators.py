@@ -312,3 +312,9 @@ def test_keep_one_keeps_one_row_of_each_class(spark):
     rows = [(None, near[0], "a"), (None, near[1], "a"), (None, near[0], "a"), (7, other, "b"), (7, other, "b"), (7, other + " end", "b"), (9, other, "b"), (None, "alone here", "c"), (7, "alone too", "d")]
     got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert sorted((r["lang"], r["doc_id"]) for r in got) == [("a", None), ("b", 7), ("c", None), ("d", 7)]
+
+
+def test_ppm_contexts_have_five_bytes():
+    assert ppm.ORDER >= 5 and max(len(k) for k in ppm.steps(b"abcdefgh")) == ppm.ORDER + 1
+    code, _ = ppm.codes([b"abcdefgh"])
+    assert sorted(map(ppm.key_of, code.tolist())) == sorted(ppm.steps(b"abcdefgh")) and list(map(ppm.code_of, map(ppm.key_of, code.tolist()))) == code.tolist()
