@@ -223,8 +223,9 @@ def _powers(pieces: list[Piece], tokens: list[int], loss: list[int], limits: tup
         yield out
 
 
-def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS), window: int = WINDOW) -> DataFrame:
-    """``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece. Every token bears loss."""
+def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS), window: int = WINDOW, loss_col: str | None = None) -> DataFrame:
+    """``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece. ``loss_col`` gives the tokens of a row that bear
+    loss, which the third limit holds down by sequence (at least none, at most all of a row's); without it, and where it is null, every token does."""
 
     def run(batches):
         coder, closing = Tokens(tokenizer_path), np.array([CLOSING_ID], "<u4").tobytes()
@@ -236,7 +237,8 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = [x + closing for x in coder.encode([utf8(t) for t in part["t"]])]
                 sizes = [len(x) // 4 for x in ids]
                 keys, rows = part["k"].array, []
-                for seq in pack(sizes, sizes, limits):
+                loss = [n if pd.isna(x) else int(min(max(x, 0), n)) for n, x in zip(sizes, part["loss"])]
+                for seq in pack(sizes, loss, limits):
                     offset = 0
                     for i, at, n in seq:
                         rows.append((i, at, n, zlib.crc32(memoryview(ids[i])[4 * at : 4 * (at + n)]), sizes[i], base + n_seq, offset))
@@ -245,7 +247,7 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out = pd.DataFrame(rows, columns=["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
                 yield out.assign(k=keys[out["k"].to_numpy(np.int64)])
 
-    kept = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    kept = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), (F.col(loss_col) if loss_col else F.lit(None)).cast("long").alias("loss"))
     return kept.mapInPandas(run, f"k {dict(kept.dtypes)['k']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("k", id_col)
 
 

@@ -318,3 +318,12 @@ def test_ppm_contexts_have_five_bytes():
     assert ppm.ORDER >= 5 and max(len(k) for k in ppm.steps(b"abcdefgh")) == ppm.ORDER + 1
     code, _ = ppm.codes([b"abcdefgh"])
     assert sorted(map(ppm.key_of, code.tolist())) == sorted(ppm.steps(b"abcdefgh")) and list(map(ppm.code_of, map(ppm.key_of, code.tolist()))) == code.tolist()
+
+
+def test_packing_holds_down_loss_by_row(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six seven", [None, 0, 2, 99][i % 4]) for i in range(80)], "doc_id long, text string, answer int")
+    got = packing.pack_texts(docs.coalesce(1), limits=(64, 8, 20), loss_col="answer").toPandas()
+    share = got["doc_id"].map(lambda i: [8, 0, 2, 8][i % 4])
+    assert (got["doc_tokens"] == 8).all() and got["length"].sum() == 80 * 8
+    whole = got["length"] == 8
+    assert (share[whole].groupby(got["sequence_id"][whole]).sum() <= 20).all() and got.groupby("sequence_id")["length"].sum().max() > 20
