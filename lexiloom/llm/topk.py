@@ -1,22 +1,23 @@
 """Exact top-k search by MaxScore.
 
 Vectors are turned into integers, floor(64 x). A query's terms are its
-dimensions; the posting list of a dimension in a shard of candidates is its
-column, and a term's bound is the largest product that the column's extremes
-allow. Going through a shard block by block, terms sorted by bound are
-essential as long as the bounds of the rest together could still lift a
-candidate past the query's k-th score; essential postings are traversed for
-the whole block, the other terms are probed only for candidates that stay
-competitive. Shards' top k are merged by a ranking window, which ranks within
-shards before it shuffles.
+dimensions; the posting list of a dimension in a block of candidates is its
+column. What a set of terms can add to a score has two bounds: the sum of the largest products that the
+columns' extremes allow, and the product of the lengths (Cauchy and Schwarz). A query's terms are sorted by size;
+the essential ones are as few as leave the others together below its k-th score so far, so a candidate that has nothing in the
+essential postings can't get in. Essential postings are traversed for a block of candidates and many queries
+at once, the other terms are probed in steps, only for candidates that stay
+competitive. Candidates lie in the order of their lengths, so the first block gives good k-th scores and whole blocks fall away later.
+Shards' top k are merged by a ranking window, which ranks within shards before it shuffles.
 
 How it is spread: candidates are dealt to shards and queries to blocks by a hash
 (numbers of both follow from counts, so a task sees bounded ones); each pair of
 shard and query block is one group. The work, queries times candidates, is that of the contract.
 
 Edge cases: vectors that are null or hold null or non-finite components, and
-null ids, take no part; a row whose id is the query's own is no candidate;
-shorter vectors count as padded with zeros; equal scores rank by smaller id; an empty table gives an empty result.
+null ids, take no part; of rows that share an id the least vector counts; a row whose id is the query's own is no candidate;
+shorter vectors count as padded with zeros; equal scores rank by smaller id; an empty table gives an empty result. Products are summed in doubles where
+that is exact, and in whole numbers without a limit where components are too large for that; components and scores end at the limits of a long.
 """
 
 from __future__ import annotations
@@ -27,36 +28,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD, QUERIES, BLOCK = 8192, 4096, 1024
-
-
-def maxscore(query: np.ndarray, shard: np.ndarray, ids: np.ndarray, own: int, k: int, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows of ``shard`` (best first, ties by id) for one query; ``high`` and ``low`` are the columns' extremes."""
-    bound = np.maximum(query * high, query * low)
-    order = np.argsort(-np.abs(query) * (high - low), kind="stable")
-    rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1][1:], [0]])  # what the terms after each can add
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for lo in range(0, len(shard), BLOCK):
-        rows = np.arange(lo, min(lo + BLOCK, len(shard)))
-        least = best[-1] if len(best) >= k else None
-        if least is None:
-            score = shard[rows] @ query
-        else:
-            essential = int(np.searchsorted(-(np.cumsum(bound[order][::-1])[::-1]), -least, "right"))  # terms before it are needed to reach the k-th score
-            essential = min(len(order), max(essential, len(order) // 2))
-            terms = order[:essential]
-            score = shard[np.ix_(rows, terms)] @ query[terms]
-            at = essential
-            while at < len(order) and len(rows):
-                stay = score + rest[at - 1] >= least if at else np.ones(len(rows), bool)
-                rows, score = rows[stay], score[stay]
-                terms = order[at : at + 8]
-                score = score + shard[np.ix_(rows, terms)] @ query[terms]
-                at += 8
-        there = ids[rows] != own
-        all_ids, all_scores = np.concatenate([best_ids, ids[rows][there]]), np.concatenate([best, score[there]])
-        pick = np.lexsort((all_ids, -all_scores))[:k]
-        best_ids, best = all_ids[pick], all_scores[pick]
-    return best_ids, best
+STEP, SPARSE = 8, 0.02
+
+
+def maxscore(queries: np.ndarray, own: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, k) ids and scores of the k best rows of ``shard`` for each query, best first, ties by id; id -1 where there are fewer."""
+    length = np.sqrt((shard * shard).sum(1))
+    order = np.lexsort((ids, -length))
+    shard, ids, length = shard[order], ids[order], length[order]
+    n_q, n_terms = queries.shape
+    by_size = np.argsort(-np.abs(queries), 1, kind="stable")
+    place = np.argsort(by_size, 1, kind="stable")  # of each term in its query's order
+    tail = lambda x: np.hstack([np.cumsum(x[:, ::-1], 1)[:, ::-1], np.zeros((n_q, 1))])  # noqa: E731  of the terms from each place on
+    tail_length = np.sqrt(tail(np.take_along_axis(queries, by_size, 1) ** 2))
+    best, best_id = np.full((n_q, k), -np.inf), np.full((n_q, k), -1, np.int64)
+    slack = 1e-6  # what rounding may add to the lengths' products, times the products
+    for lo in range(0, len(shard), block):
+        rows, row_ids, row_length = shard[lo : lo + block], ids[lo : lo + block], length[lo : lo + block]
+        extremes = np.maximum(queries * rows.max(0), queries * rows.min(0))
+        by_column = tail(np.take_along_axis(extremes, by_size, 1))
+        bound = np.minimum(by_column, tail_length * row_length[0] * (1 + slack))
+        least = best[:, -1]
+        live = np.flatnonzero(bound[:, 0] >= least)
+        if not len(live):
+            continue
+        essential = np.minimum((bound[live] >= least[live, None]).sum(1), n_terms)
+        q_live, place_live, at = queries[live], place[live], essential
+        score = rows @ np.where(place_live < at[:, None], q_live, 0).T
+        while True:
+            rest = np.minimum(by_column[live, at][None, :], row_length[:, None] * (tail_length[live, at] * (1 + slack))[None, :])
+            stay = score + rest >= least[live][None, :]
+            if at.min() == n_terms or np.count_nonzero(stay) < SPARSE * stay.size:
+                break
+            more = np.minimum(at + STEP, n_terms)  # many are competitive: probe the next terms of all at once
+            score += rows @ np.where((place_live >= at[:, None]) & (place_live < more[:, None]), q_live, 0).T
+            at = more
+        row, col = np.nonzero(stay)
+        score, at = score[row, col], at[col]
+        while True:
+            q = live[col]
+            open_ = at < n_terms
+            if not open_.any():
+                break
+            for j in range(STEP):
+                term = by_size[q, np.minimum(at + j, n_terms - 1)]
+                score = score + np.where(at + j < n_terms, rows[row, term] * queries[q, term], 0)
+            at = np.minimum(at + STEP, n_terms)
+            stay = score + np.minimum(by_column[q, at], row_length[row] * tail_length[q, at] * (1 + slack)) >= least[q]
+            row, col, score, at = row[stay], col[stay], score[stay], at[stay]
+        q = live[col]
+        there = row_ids[row] != own[q]
+        q, found, score = q[there], row_ids[row[there]], score[there]
+        touched = np.unique(q)
+        all_q = np.concatenate([np.repeat(touched, k), q])
+        all_id = np.concatenate([best_id[touched].ravel(), found])
+        all_score = np.concatenate([best[touched].ravel(), score])
+        order = np.lexsort((all_id, -all_score, all_q))
+        first = np.searchsorted(all_q[order], touched)
+        pick = order[first[:, None] + np.arange(k)]
+        best[touched], best_id[touched] = all_score[pick], all_id[pick]
+    return best_id, best
+
+
+def by_products(query: np.ndarray, own: int, shard: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one query by whole numbers of any size, for components too large for exact sums of doubles."""
+    scores = shard.astype(object) @ query.astype(object)
+    order = sorted((i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-scores[i], ids[i]))[:k]
+    return ids[order], np.array([min(max(scores[i], -(2**63)), 2**63 - 1) for i in order], np.int64)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD, query_rows: int = QUERIES) -> DataFrame:
@@ -64,6 +102,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     x = F.transform(F.col(vector_col).cast("array<double>"), lambda v: F.floor(v * 64))
     bad = F.exists(F.col(vector_col).cast("array<double>"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.coalesce(bad, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+    rows = rows.groupBy("id").agg(F.min("x").alias("x"))
     n = rows.agg(F.count("*").alias("n"), F.sum((F.pmod("id", F.lit(every)) == 0).cast("long")).alias("q")).first()
     shards, blocks = max(1, -(-n["n"] // shard_rows)), max(1, -(-(n["q"] or 0) // query_rows))
     deal = lambda of: F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")
@@ -72,18 +111,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "x", both("s", shards), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
 
     def match(cs, qs):
-        out = []
-        if len(cs) and len(qs):
-            wide = max(map(len, [*cs["x"], *qs["x"]]))
-            table = lambda col: np.stack([np.pad(np.asarray(v, np.float64), (0, wide - len(v))) for v in col])
-            shard, ids = table(cs["x"]), cs["id"].to_numpy(np.int64)
-            order = np.argsort(ids, kind="stable")
-            shard, ids = shard[order], ids[order]
-            high, low = shard.max(0), shard.min(0)
-            for own, q in zip(qs["id"], table(qs["x"])):
-                found, score = maxscore(q, shard, ids, own, k, high, low)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": score.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        names = ["query_id", "vec_id", "score"]
+        if not len(cs) or not len(qs):
+            return pd.DataFrame({x: [] for x in names}, dtype="int64")
+        wide = max(1, *map(len, cs["x"]), *map(len, qs["x"]))
+        table = lambda col: np.stack([np.pad(np.asarray(v, np.int64), (0, wide - len(v))) for v in col])
+        shard, query, ids, own = table(cs["x"]), table(qs["x"]), cs["id"].to_numpy(np.int64), qs["id"].to_numpy(np.int64)
+        largest = max(int(np.abs(x.astype(float)).max()) for x in (shard, query))
+        if wide * largest * largest < 2**53:
+            found, score = maxscore(query.astype(float), own, shard.astype(float), ids, k)
+            there = np.isfinite(score)
+            return pd.DataFrame({"query_id": np.repeat(own, k)[there.ravel()], "vec_id": found[there], "score": score[there].astype(np.int64)})
+        each = [by_products(q, i, shard, ids, k) for q, i in zip(query, own)]
+        return pd.DataFrame({"query_id": np.repeat(own, [len(f) for f, _ in each]), "vec_id": np.concatenate([f for f, _ in each]), "score": np.concatenate([x for _, x in each])})
 
     found = candidates.groupBy("s", "b").cogroup(queries.groupBy("s", "b")).applyInPandas(match, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -97,8 +137,9 @@ def op7_topk_search(spark, sf_dir):
 
 #: The same by brute force.
 OP7_SQL = """
-WITH v AS (SELECT vec_id, [floor(CAST(x AS DOUBLE) * 64) for x in embedding] AS x FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+WITH v AS (SELECT vec_id, min([floor(CAST(x AS DOUBLE) * 64) for x in embedding]) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+           GROUP BY vec_id),
      s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
      r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)

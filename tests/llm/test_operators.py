@@ -164,6 +164,29 @@ def test_topk_against_brute_force(spark):
         assert list(zip(-mine["score"], mine["vec_id"])) == want
 
 
+def test_topk_of_repeated_ids_large_values_and_no_rows(spark):
+    schema = "vec_id long, embedding array<double>, score long, id string, x int"
+    rows = [(0, [1.0, 0.0], 1, "a", 1), (0, [1.0, 0.0], 1, "a", 1), (1, [0.5, 0.5], 2, "b", 2), (1, [0.5, 0.5], 2, "b", 2), (2, [0.25, 3.0], 3, None, 3), (2, [9.0, 3.0], 3, None, 3)]
+    got = topk.search(spark.createDataFrame(rows, schema), k=3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 2048), (0, 2, 2, 1024)]
+    large = [(0, [1e12, 3.0]), (1, [1e12, 1.0]), (2, [1e12, 2.0]), (3, [-1e30, 0.0])]
+    got = topk.search(spark.createDataFrame(large, "vec_id long, embedding array<double>"), k=3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3] and got[0]["score"] == 2**63 - 1 and got[2]["score"] == -(2**63)
+    assert topk.search(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_maxscore_on_many_shapes():
+    r = np.random.default_rng(5)
+    for n, d, k in [(1, 3, 2), (50, 1, 5), (700, 24, 20), (300, 40, 400)]:
+        x = np.floor(r.normal(0, 9, (n, d))) + (5 if d == 24 else 0)
+        ids, q = r.permutation(10 * n)[:n], x[:: max(1, n // 30)]
+        own = ids[:: max(1, n // 30)]
+        found, score = topk.maxscore(q, own, x, ids, k, block=64)
+        for i in range(len(q)):
+            want = sorted((-int(s), int(c)) for s, c in zip(x @ q[i], ids) if c != own[i])[:k]
+            assert [(-int(s), int(c)) for s, c in zip(score[i], found[i]) if c >= 0] == want
+
+
 def test_tokens_are_the_tokenizers():
     t = packing.Tokens()
     vocabulary = [t.whole.decode([i]) for i in range(0, 49406, 7)]
