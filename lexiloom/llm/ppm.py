@@ -1,182 +1,261 @@
 """LM scoring: prediction by partial matching over bytes.
 
 A text is the byte stream of its tokens (runs of bytes other than ASCII white
-space, A-Z lowered), each after one space, with a line end after the last. The
-context of a byte is what precedes it back to the last space, ``ORDER`` bytes at most.
+space, A-Z lowered), a space between two of them and a line end after the last. The
+context of a byte is the ``ORDER`` bytes before it, over spaces too; before a text there are line ends.
 Escapes are estimated by method D (each distinct symbol gives half a count to novel ones), symbols
 seen in a longer context are excluded in shorter ones, and below the empty
 context all remaining bytes are equally likely. The model is pretrained: counts
 come from the training rows alone, and a document's score is the sum of the
 log10 probabilities of its bytes.
 
-How it is spread: documents fall into blocks of about ``BLOCK_BYTES`` by a hash. A
-block's distinct tokens and distinct (context, byte) pairs are counted in one
-task; sums by key give the corpus counts, the shorter contexts' probabilities
-follow per last three bytes of the context (contexts that end alike share a task, many
-of them at a time), and each block gets back just the
-keys that it asked for. A key is asked for once by a block, so no key is hot.
+How it is spread: a document belongs to a block, a stretch of an input file (or, where the rows don't come from files, a hash). What a task reads is counted in
+arrays as it streams by: the distinct (context, byte) codes and words' hashes of each block, 64 bits each, are all that leaves it.
+Sums by key give the corpus counts; the trie's probabilities follow level by level, in sorted arrays, for the contexts that end in
+the same three bytes (many such groups in a task, of about ``GROUP_KEYS`` codes together); each block gets back the
+keys that it asked for, and documents are read past them in a stream. A key is asked for once by a block, so no key is hot.
 Statistics of contexts of two bytes or fewer (2**24 entries at the very most) go to all tasks.
 
 Edge cases: null and empty texts are one end token; a null id is neither held
 out nor used for training; without training rows all bytes are equally likely
-and c = N = V = 0; repeated rows score alike (each counts in training).
+and c = N = V = 0; repeated rows score alike (each counts in training). Words are told apart by 63-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from math import log10
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder, utf8
+from .common import U64, Words, materialize, remainder, slices, utf8
 
 ORDER = 5
-BLOCK_BYTES = 16 << 20
+LOW = 3  # codes of as many bytes, the last one's context has two, are known to all tasks
+BLOCK_BYTES = 64 << 20
 GROUP_KEYS = 100_000
-END = b"\n"
-
-
-def tokens(text: object) -> list[bytes]:
-    """Words and the end token."""
-    return [*utf8(text).lower().split(), END]
-
-
-def steps(token: bytes) -> list[bytes]:
-    """For each byte of a token (with the space that ends it; of the end token, itself), its context with the byte after it."""
-    s = b" " + END if token == END else b" " + token + b" "
-    return [s[max(0, i - ORDER) : i + 1] for i in range(1, len(s))]
-
-
-def codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """``steps`` of many distinct tokens at once: numbers that stand for keys (the bytes, and their number above them), and the place of each one's token."""
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
-    data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.int64)
-    of = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = (np.minimum(place, ORDER) + 1) << (8 * (ORDER + 1))
-    for j in range(ORDER + 1):
-        older = np.zeros_like(data)
-        older[j:] = data[: len(data) - j]
-        out |= np.where(place >= j, older, 0) << (8 * j)
-    keep = place > 0
-    if END in words:
-        keep &= (of != words.index(END)) | (place == 1)
-    return out[keep], of[keep]
-
-
-def code_of(key: bytes) -> int:
-    return int.from_bytes(key, "big") | len(key) << (8 * (ORDER + 1))
-
-
-def key_of(code: int) -> bytes:
-    n = code >> (8 * (ORDER + 1))
-    return (code & ((1 << (8 * n)) - 1)).to_bytes(n, "big")
-
-
-def suffixes(counts: dict[bytes, int], longest: int, shortest: int = 0) -> dict[bytes, dict[int, int]]:
-    """A trie as context -> byte -> count, for the suffixes of ``shortest`` to ``longest`` bytes of each counted context."""
-    trie: dict[bytes, dict[int, int]] = {}
-    for key, n in counts.items():
-        if n:
-            context, symbol = key[:-1], key[-1]
-            for k in range(shortest, min(longest, len(context)) + 1):
-                node = trie.setdefault(context[len(context) - k :], {})
-                node[symbol] = node.get(symbol, 0) + n
-    return trie
-
-
-def log10_p(key: bytes, look, memo: dict) -> float:
-    """log10 of the probability of a key's last byte after the others. ``look(context)`` gives the counts; ``memo`` keeps totals."""
-    context, symbol = key[:-1], key[-1]
-    total, longer, above = 0.0, None, b""
-    for k in range(len(context), -1, -1):
-        here = context[len(context) - k :]
-        node = look(here)
-        if not node:
-            continue
-        if (sums := memo.get((here, above))) is None:
-            seen = longer or ()
-            sums = memo[here, above] = (sum(node.values()) - sum(node[s] for s in seen), len(node) - len(seen))
-        n, q = sums
-        longer, above = node, here
-        if n == 0:
-            continue
-        if (c := node.get(symbol)) is not None:
-            return total + log10((c - 0.5) / n)
-        total += log10(0.5 * q / n)
-    return total - log10(256 - len(longer or ()))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score for every row."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("k"), t.alias("t"), F.coalesce(remainder(id_col) != held_out, F.lit(False)).alias("train"), F.coalesce(remainder(id_col) == held_out, F.lit(False)).alias("held_out"))
-    size = df.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = max(1, -(-int(size) // block_bytes))
-    df = df.withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(n_blocks)).cast("int"))
-
-    def count(pdf):
-        words: Counter = Counter()
-        for text, train in zip(pdf["t"], pdf["train"]):
-            if train:
-                words.update(tokens(text))
-            else:
-                words.update(dict.fromkeys(set(tokens(text)) - words.keys(), 0))
-        code, of = codes(list(words))
-        code, at = np.unique(code, return_inverse=True)
-        n = np.bincount(at, np.array(list(words.values()), float)[of], len(code)).astype(np.int64)
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "pair": np.repeat([False, True], [len(words), len(code)]), "key": [*words, *map(key_of, code.tolist())], "n": np.concatenate([np.array(list(words.values()), np.int64), n])})
-
-    asked = materialize(df.select("block", "t", "train").groupBy("block").applyInPandas(count, "block int, pair boolean, key binary, n long"), "ppm-asked")
-    known = materialize(asked.groupBy("pair", "key").agg(F.sum("n").alias("n")), "ppm-known")
-    words = known.where(~F.col("pair") & (F.col("n") > 0)).agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_train, n_distinct = words["n"] or 0, words["v"] or 0
-
-    pairs = known.where("pair")
-    size_of = F.length("key")
-    short = pairs.where("n > 0").groupBy(F.expr("substring(key, greatest(1, length(key) - 2), 3)").alias("key")).agg(F.sum("n").alias("n"))
-    low = suffixes({bytes(r["key"]): r["n"] for r in short.collect()}, 2)  # at most 2**24 entries by construction
-    low_all = df.sparkSession.sparkContext.broadcast(low)
-
-    def weigh(pdf):
-        counts = {bytes(k): n for k, n in zip(pdf["key"], pdf["n"])}
-        trie, low, memo = suffixes(counts, ORDER, 3), low_all.value, {}
-        look = lambda c: trie.get(c) if len(c) > 2 else low.get(c)
-        return pd.DataFrame({"key": list(counts), "value": [log10_p(k, look, memo) for k in counts]})
-
-    last = F.expr("substring(key, greatest(1, length(key) - 3), least(3, length(key) - 1))")
+BATCH_BYTES = 4 << 20
+MERGE_KEYS = 4 << 20
+END_KEY = -1
+
+
+def below(order: int) -> int:
+    """A mask of the last byte and a context of ``order`` bytes."""
+    return (1 << (8 * (order + 1))) - 1
+
+
+def stream(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, Words]:
+    """The code of each byte of the texts' streams (its context's bytes and itself, the latest lowest), where each text's codes begin, and the words."""
+    parts = [b" ".join(t.lower().split()) for t in texts]
+    gap = b"\n" * (order + 1)
+    d = np.frombuffer(gap[1:] + gap.join(parts) + b"\n", np.uint8).astype(np.int64)
+    code = d.copy()
+    for j in range(1, order + 1):
+        code[j:] |= d[:-j] << (8 * j)
+    sizes = np.array([len(p) + 1 for p in parts], np.int64)
+    begin = np.cumsum(sizes + order) - sizes
+    first = np.cumsum(sizes) - sizes
+    return code[np.arange(int(sizes.sum())) + np.repeat(begin - first, sizes)], first, Words(parts)
+
+
+def word_keys(words: Words) -> np.ndarray:
+    """Negative numbers that stand for words."""
+    return (words.hashes() | U64(1 << 63)).view(np.int64)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's counts."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[new], np.add.reduceat(n, new)
+
+
+class Counts:
+    """Counts by key, merged now and then."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, train: bool) -> None:
+        if len(keys):
+            own, n = np.unique(keys, return_counts=True)
+            self.parts.append((own, n if train else np.zeros_like(n)))
+            if len(self.parts) > 2 and sum(len(k) for k, _ in self.parts[1:]) > max(MERGE_KEYS, len(self.parts[0][0])):
+                self.parts = [self.all()]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(*(np.concatenate(x) for x in zip(*self.parts)))
+
+
+class Level:
+    """The contexts of one length: distinct codes with counts, and each context's total and number of distinct bytes."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        self.codes, self.n = codes, n
+        context = codes >> 8
+        new = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(codes) else np.zeros(0, np.int64)
+        self.contexts = context[new]
+        self.of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(codes))))
+        self.total = np.add.reduceat(n, new) if len(new) else n
+        self.distinct = np.bincount(self.of, minlength=len(new))
+
+
+def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number is in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
+
+
+def levels(codes: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> list[Level]:
+    """The trie by length of context, from codes with counts; lengths of two and less come from ``low``."""
+    seen = n > 0
+    codes, n, out = codes[seen], n[seen], []
+    for k in range(order, -1, -1):
+        if k == min(order, LOW - 1):
+            codes, n = low
+        codes, n = summed(codes & below(k), n)
+        out.append(Level(codes, n))
+    return out[::-1]
+
+
+def log10_p(codes: np.ndarray, trie: list[Level]) -> np.ndarray:
+    """log10 of the probability of each code's last byte after the others."""
+    out = np.zeros(len(codes))
+    open_, longer = np.ones(len(codes), bool), np.full(len(codes), -1)
+    above: Level | None = None
+    for k in range(len(trie) - 1, -1, -1):
+        level = trie[k]
+        if above is not None:  # counts here of the bytes that each longer context has seen
+            at, _ = find(level.codes, above.codes & below(k))
+            taken = np.bincount(above.of, level.n[at], len(above.contexts))
+        here, there = find(level.contexts, (codes & below(k)) >> 8)
+        total, novel = np.zeros(len(codes)), np.zeros(len(codes))
+        total[there], novel[there] = level.total[here[there]], level.distinct[here[there]]
+        some = longer >= 0
+        if above is not None and some.any():
+            total[some] -= taken[longer[some]]
+            novel[some] -= above.distinct[longer[some]]
+        at, known = find(level.codes, codes & below(k))
+        go = open_ & there & (total > 0)
+        hit, miss = go & known, go & ~known
+        out[hit] += np.log10((level.n[at[hit]] - 0.5) / total[hit])
+        out[miss] += np.log10(0.5 * novel[miss] / total[miss])
+        open_ &= ~hit
+        longer = np.where(there, here, -1)
+        above = level
+    rest = 256 - (len(trie[0].codes) if len(trie[0].codes) else 0)
+    out[open_] -= np.log10(rest) if rest else 0.0
+    return out
+
+
+def count(rows: DataFrame) -> DataFrame:
+    """block, key, n: the keys that each task sees of each block, with their counts in training rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, Counts] = {}
+        for batch in batches:
+            texts, train, block = [utf8(t) for t in batch.column("t").to_pylist()], batch.column("train").to_numpy(zero_copy_only=False).astype(bool), batch.column("block").to_numpy()
+            for part in slices(texts, [len(t) for t in texts], BATCH_BYTES):
+                for b in np.unique(block[part]).tolist():
+                    for side in (True, False):
+                        own = [t for t, x, y in zip(texts[part], train[part], block[part]) if x == side and y == b]
+                        if own:
+                            codes, _, words = stream(own)
+                            counts = kept.setdefault(b, Counts())
+                            counts.add(codes, side)
+                            counts.add(np.append(word_keys(words), np.full(len(own), END_KEY)), side)
+        for b, counts in kept.items():
+            keys, n = counts.all()
+            for lo in range(0, len(keys), 1 << 18):
+                part = slice(lo, lo + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), b)), pa.array(keys[part]), pa.array(n[part])], names=["block", "key", "n"])
+
+    return rows.select("block", "t", "train").mapInArrow(run, "block long, key long, n long")
+
+
+def weigh(pairs: DataFrame) -> DataFrame:
+    """key, value: log10 of the probability of each code, from key, n."""
+    low = pairs.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(below(LOW - 1))).alias("key")).agg(F.sum("n").alias("n")).toPandas()  # at most 2**24 rows by construction
+    low_all = pairs.sparkSession.sparkContext.broadcast(summed(low["key"].to_numpy(np.int64), low["n"].to_numpy(np.int64)))
+
+    def of_group(pdf):
+        codes, n = summed(pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64))
+        return pd.DataFrame({"key": codes, "value": log10_p(codes, levels(codes, n, low_all.value))})
+
     groups = max(1, -(-pairs.count() // GROUP_KEYS))
-    weighed = pairs.select("key", "n", F.pmod(F.xxhash64(last), F.lit(groups)).alias("group")).groupBy("group").applyInPandas(lambda pdf: weigh(pdf), "key binary, value double")
-    answers = weighed.select(F.lit(True).alias("pair"), "key", "value").unionByName(known.where(~F.col("pair")).select("pair", "key", F.col("n").cast("double").alias("value")))
-    got = asked.select("block", "pair", "key").join(answers.hint("shuffle_hash"), ["pair", "key"])
-    base_c = n_train + 0.5 * (n_distinct + 1)
-
-    def total(pdf, values):
-        pair = values["pair"].to_numpy(bool)
-        code = np.array([code_of(k) for k in values["key"][pair]], np.int64)
-        order = np.argsort(code)
-        words, c = [bytes(w) for w in values["key"][~pair]], values["value"][~pair].to_numpy(float)
-        asked, of = codes(words)
-        logs = values["value"][pair].to_numpy(float)[order[np.searchsorted(code[order], asked)]]
-        of_word = np.stack([(c > 0).astype(float), np.log10((c + 0.5) / base_c), np.bincount(of, logs, len(words))])
-        place = {w: i for i, w in enumerate(words)}
-        rows = []
-        for text in pdf["t"]:
-            at = np.array([place[w] for w in tokens(text)])
-            rows.append((len(at), *of_word[:, at].sum(1).tolist()))
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"]).astype({"n_known": "int64"})
-        out["k"], out["held_out"], out["train_tokens"] = pdf["k"].array, pdf["held_out"].array, n_train
-        return out
+    ending = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
+    return pairs.select("key", "n", F.pmod(F.xxhash64(ending), F.lit(groups)).alias("group")).groupBy("group").applyInPandas(lambda pdf: of_group(pdf), "key long, value double")
 
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, block_bytes: int = BLOCK_BYTES, file_rows: tuple[Column, Column] | None = None) -> DataFrame:
+    """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score for every row. ``file_rows`` names a row's file and its
+    number there, so that blocks are stretches of files; without it blocks are dealt by a hash, and tasks ask for more keys."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(t)).alias("size"), F.count("*").alias("n")).first()
+    n_blocks = max(1, -(-int(size["size"] or 0) // block_bytes))
+    if file_rows is None:
+        block = F.pmod(F.xxhash64(F.col(id_col), t), F.lit(n_blocks))
+    else:
+        block = F.xxhash64(file_rows[0], F.floor(file_rows[1] / F.lit(max(1, -(-size["n"] // n_blocks)))))
+    df = docs.select(F.col(id_col).alias("k"), t.alias("t"), F.coalesce(remainder(id_col) != held_out, F.lit(False)).alias("train"), F.coalesce(remainder(id_col) == held_out, F.lit(False)).alias("held_out"), block.alias("block"))
+
+    asked = materialize(count(df), "ppm-asked")
+    known = materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "ppm-known")
+    words = known.where("key < 0 and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    n_train, base_c = words["n"] or 0, (words["n"] or 0) + 0.5 * (words["v"] + 1)
+    answers = weigh(known.where("key >= 0")).unionByName(known.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
+    got = asked.select("block", "key").repartition("key").groupBy("key", "block").count().join(answers, "key")
     kind = dict(df.dtypes)["k"]
-    out = df.drop("train").groupBy("block").cogroup(got.groupBy("block")).applyInPandas(total, f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    none = lambda name, of: F.lit(None).cast(of).alias(name)
+    both = got.select("block", F.lit(0).alias("side"), "key", "value", none("k", kind), none("t", "string"), none("held_out", "boolean")).unionByName(
+        df.select("block", F.lit(1).alias("side"), none("key", "long"), none("value", "double"), "k", "t", "held_out")
+    )
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        keys, values, of, whole = np.zeros(0, np.int64), np.zeros(0), None, False
+        for batch in batches:
+            block, side = batch.column("block").to_numpy(), batch.column("side").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(block) != 0) | (np.diff(side) != 0)) + 1, [len(block)]])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if lo == hi:
+                    continue
+                if block[lo] != of:
+                    parts, of, whole = [], block[lo], False
+                rows = batch.slice(lo, hi - lo)
+                if side[lo] == 0:
+                    parts.append((rows.column("key").to_numpy(), rows.column("value").to_numpy()))
+                    continue
+                if not whole:
+                    keys, values = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(keys)
+                    keys, values, parts, whole = keys[order], values[order], [], True
+                texts = [utf8(t) for t in rows.column("t").to_pylist()]
+                for part in slices(texts, [len(t) for t in texts], BATCH_BYTES):
+                    codes, first, words = stream(texts[part])
+                    c = values[np.searchsorted(keys, word_keys(words))]
+                    end = values[np.searchsorted(keys, END_KEY)]
+                    n = len(first)
+                    known = np.bincount(words.doc[c > 0], minlength=n) + int(end > 0)
+                    base = np.bincount(words.doc, np.log10((c + 0.5) / base_c), n) + np.log10((end + 0.5) / base_c)
+                    logs = np.add.reduceat(values[np.searchsorted(keys, codes)], first)
+                    at = rows.slice(part.start, n)
+                    columns = [at.column("k"), at.column("held_out"), *map(pa.array, (words.counts + 1, known.astype(np.int64), np.full(n, n_train), base, logs))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = both.repartition("block").sortWithinPartitions("block", "side").mapInArrow(total, f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("k", id_col)
 
 
 def op3_lm_scoring(spark, sf_dir):
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return score(docs, file_rows=(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
