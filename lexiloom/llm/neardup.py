@@ -16,12 +16,14 @@ From bands to classes, without all pairs of a band:
 1. exact copies are one node (a 128-bit digest of the text),
 2. nodes are dropped whose similarity to any other can't reach the threshold: a shingle cell that no other
    node of any bucket has is in no intersection, which bounds the similarity of a node and of a pair exactly,
-3. in two rounds, each node of a bucket is compared with the bucket's one hub (first the node that
-   shares buckets with most others, then one picked by a hash; the exact weighted Jaccard similarity of the shingles decides),
+3. in two rounds, each node of a bucket is compared with the bucket's one hub (the node that
+   shares buckets with most others, then the one of those outside the first one's class; the exact weighted Jaccard similarity of the shingles decides),
    and nodes that agree become a class (connected components),
-4. buckets that still hold several classes get each node outside the largest class
-   compared with all nodes of other classes. Pairs within a class need no more
-   comparison, so no link between classes is lost and none is capped.
+4. in buckets that still hold several classes, each node is put as its difference from the hub: the cells that one of them has and the other has not.
+   Nodes a and b differ in |Da| + |Db| - 2 |Da and Db| cells, which similarity holds down to a share of their sizes, so a pair of which one has
+   no link to the hub must have cells of its differences in common, and one of these must be among the rarest half or so of each (a prefix filter on
+   differences, not on whole sets: what all of a group have in common never makes a pair). Pairs that have are compared. No link between classes is lost
+   and none is capped; pairs within a class need no more comparison.
 
 How it is spread: signatures are one narrow pass; buckets, pairs and labels are shuffled by
 hashes and kept in the shared folder; nothing is collected but counts of changes.
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, materialize, mix64, slices, text_key, unit, utf8
@@ -129,18 +131,18 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node, cells (sorted array of int) from node, t."""
+    """node, cells (sorted array of 64-bit hashes) from node, t."""
 
     def run(batches):
         for pdf in batches:
             raw = [utf8(t) for t in pdf["t"]]
             for part in slices(pdf, [len(t) for t in raw], BATCH_BYTES):
                 doc, cells = elements(raw[part])
-                small = (cells >> U64(32)).astype(np.uint32).view(np.int32)
+                small = cells.view(np.int64)
                 cut = np.searchsorted(doc, np.arange(1, part.stop - part.start))
                 yield pd.DataFrame({"node": pdf["node"].iloc[part], "cells": np.split(small, cut) if part.stop - part.start > 1 else [small]})
 
-    return texts.mapInPandas(run, "node binary, cells array<int>")
+    return texts.mapInPandas(run, "node binary, cells array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -152,6 +154,39 @@ def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.where(both / (F.size(F.array_distinct("ca")) + F.size(F.array_distinct("cb")) - both) >= least).select("a", "b")
 
 
+def differing(nodes: DataFrame, sets: DataFrame, least: float, possible) -> DataFrame:
+    """Candidate pairs (a, b) of different labels among the nodes of each hub: all that reach ``least`` and have not both a link to the hub. ``nodes`` has
+    hub, nh (the hub's cells), node, label, n, shared.
+
+    With c = (1 - least) / (1 + least), w = |D| - c n: a pair reaches ``least`` if |Da and Db| >= (wa + wb) / 2, and a node has a link to the hub if w <= c nh. One of
+    the pair has none, so (wa + wb) / 2 > (w + c nh) / 2 =: t for the other one, and one of the |D| - t rarest of its cells (rounded up) is the other's too."""
+    c = (1 - least) / (1 + least)
+    far = (
+        nodes.join(sets.select("node", "cells"), "node")
+        .join(sets.select(F.col("node").alias("hub"), F.col("cells").alias("of_hub")), "hub")
+        .withColumn("d", F.concat(F.array_except("cells", "of_hub"), F.array_except("of_hub", "cells")))
+        .select("hub", "nh", "node", "label", "n", "shared", F.size("d").alias("size"), "d").where("size > 0")
+    )
+    far = far.withColumn("w", F.col("size") - c * F.col("n")).withColumn("linked", F.col("w") <= c * F.col("nh"))
+    far = far.withColumn("prefix", F.col("size") - F.floor((F.col("w") + c * F.col("nh")) / 2 - 1e-9).cast("int"))
+    cells = materialize(far.select("hub", "node", "label", "n", "shared", "size", "w", "linked", "prefix", F.explode("d").alias("cell")), "cells")
+    seen = cells.groupBy("hub", "cell").agg(F.count("*").alias("seen"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("hub", "node").orderBy("seen", "cell"))
+    cells = materialize(cells.join(seen, ["hub", "cell"]).withColumn("place", place).where("lo <> hi").drop("seen", "lo", "hi"), "cells")
+    names = ["node", "label", "n", "shared", "size", "w", "linked", "prefix", "place"]
+    side = lambda mark: cells.select("hub", "cell", *[F.col(x).alias(x + mark) for x in names])
+    one, two = side("_a").where("not linked_a"), side("_b").where("place_b <= prefix_b")
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1  # cells in common at most, if this is the first
+    wanted = (
+        (F.col("label_a") != F.col("label_b"))
+        & (F.col("linked_b") | ((F.col("place_a") <= F.col("prefix_a")) & (F.col("node_a") < F.col("node_b"))))
+        & (left >= (F.col("w_a") + F.col("w_b")) / 2 - 1e-9)
+        & possible(F.col("shared_a"), F.col("n_a"), F.col("shared_b"), F.col("n_b"))
+    )
+    same = (one["hub"] == two["hub"]) & (one["cell"] == two["cell"])
+    return one.join(two, same & wanted).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component, for all nodes of the edges (a, b). Least-label rounds with shortcuts."""
     edges = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
@@ -202,20 +237,23 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         roots = components(apart).select(F.col("node").alias("label"), F.col("label").alias("root"))
         return materialize(labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "classes")
 
+    top = F.min(F.struct(-F.col("m"), "node", "label", "n", "shared"))
     for r in range(rounds):
         placed = materialize(members.join(labels, "node"), "placed")
-        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(-F.col("m") if r == 0 else F.xxhash64("node", F.lit(r)), "node", "label", "n", "shared")).alias("hub")).where("lo <> hi").select("band", "hub")
+        mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), top.alias("hub")).where("lo <> hi").select("band", "hub")
+        if r:
+            others = placed.join(mixed, "band").where(F.col("label") != F.col("hub.label")).drop("hub")
+            mixed = others.groupBy("band").agg(top.alias("hub"))
         pairs = placed.join(mixed, "band").where(F.col("label") != F.col("hub.label")).where(possible(F.col("shared"), F.col("n"), F.col("hub.shared"), F.col("hub.n")))
         pairs = pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         labels = merge(labels, materialize(verify(pairs, sets, similarity), "links"))
 
     placed = materialize(members.join(labels, "node"), "placed")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    mixed = materialize(placed.join(mixed, "band"), "mixed")
-    largest = mixed.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.max(F.struct("m", "label")).alias("top"))
-    outside = mixed.join(largest, "band").where(F.col("label") != F.col("top.label")).select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    rest = outside.join(mixed, "band").where("label <> label_a").where(possible(F.col("shared"), F.col("n"), F.col("sa"), F.col("na")))
-    rest = rest.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    mixed = placed.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), top.alias("hub")).where("lo <> hi and size > 2")
+    beside = placed.join(mixed.select("band", F.col("hub.node").alias("hub"), F.col("hub.n").alias("nh")), "band").where("node <> hub")
+    rest = beside.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    beside = beside.join(rest, "band", "left_semi").select("hub", "nh", "node", "label", "n", "shared").distinct()
+    rest = differing(beside, sets, similarity, possible)
     labels = merge(labels, materialize(verify(rest, sets, similarity), "links"))
 
     of_node = nodes.select("node", "k", "rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
