@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
+
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 
@@ -51,3 +53,65 @@ def pretokens(text: object) -> list[str]:
     if not isinstance(text, str) or not text:
         return []
     return [SPACE + w for w in text.split(" ")]
+
+
+class Table:
+    """Numbers by distinct keys, in arrays: open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        slot = self.slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            here = self.keys[slot] == keys
+            self.values[slot[here]] = values[here]
+            keys, values, slot = keys[~here], values[~here], (slot[~here] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values, -1 where there is none. Keys and values are 0 or more."""
+        slot = self.slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            slot_ = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            slot[todo] = slot_
+            there, wanted = self.keys[slot_], keys[todo]
+            hit = there == wanted
+            out[todo[hit]] = self.values[slot_[hit]]
+            todo = todo[~hit & (there >= 0)]
+        return out
+
+
+def n_bytes(char: np.ndarray) -> np.ndarray:
+    """Bytes of characters in UTF-8; one ('?') of a half of a surrogate pair."""
+    return np.where((char >= 0xD800) & (char < 0xE000), 1, 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000))
+
+
+class Trie:
+    """A trie of distinct, sorted, non-empty words. Node 0 is the root; nodes are numbered parents first, ``ends`` are the words' nodes."""
+
+    def __init__(self, words: list[str]):
+        sizes = np.array([len(w) for w in words])
+        begin = np.cumsum(sizes) - sizes
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(chars)) - begin[word]
+        there = (word > 0) & (place < sizes[word - 1])
+        same = there & (chars == chars[np.where(there, begin[word - 1] + place, 0)])
+        shared = np.minimum.reduceat(np.where(same, len(chars), place), begin)  # characters in common with the word before
+        new = place >= shared[word]
+        self.char, self.depth = np.append(0, chars[new]), np.append(0, place[new] + 1)
+        self.ends = np.cumsum(new)[begin + sizes - 1]
+        n = len(self.char)
+        self.by_depth = np.argsort(self.depth, kind="stable")
+        self.parent = np.arange(n) - 1
+        branch = np.flatnonzero(np.append(False, (place == shared[word])[new]))  # the parent is the latest node one level up
+        at = np.searchsorted(self.depth[self.by_depth] * n + self.by_depth, (self.depth[branch] - 1) * n + branch) - 1
+        self.parent[branch] = self.by_depth[at]
+        self.parent[0] = 0
