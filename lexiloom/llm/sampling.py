@@ -8,12 +8,13 @@ set of segmentations that follow a found one up to a decision and leave it there
 bound is the maximum of its perturbed log probabilities, drawn at once from its
 mass (a Gumbel truncated at its parent's bound), so the region with the
 largest bound holds the next segmentation, which is then drawn in it. The (k+1)-th bound
-kappa gives each one's inclusion score, 1 - exp(-exp(log p - kappa)).
+kappa gives each one's inclusion score, 1 - exp(-exp(log p - kappa)), and its logarithm, as the score itself is 0 in doubles for long texts.
 
 The lattice of a text is a chain of pre-tokens; what a piece may be depends on
 the rest of its pre-token alone, so states are such rests, shared by all places where
-a pre-token occurs, with their backward masses computed once, for all new pre-tokens of a batch together. Draws are hashes of (row key,
-text, sample, place, step), so a row gives the same samples wherever it runs.
+a pre-token occurs, with their backward masses computed once, for all new pre-tokens of a batch together. All texts of a batch are
+searched together, in flat arrays. Draws are hashes of (row key,
+text, sample, place, step), and what is summed along a text is in whole numbers, so a row gives the same samples wherever it runs.
 
 One narrow pass, no shuffle; a task keeps ``STATES`` states at most before it starts anew.
 Edge cases: null and empty texts have one segmentation, the empty one (score 1); where
@@ -22,27 +23,32 @@ fewer than k segmentations exist, all are emitted, with inclusion 1; rows that a
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix64, slices, unit
-from .pieces import Pieces, pretokens
+from .pieces import Pieces, Table, Trie, n_bytes, pretokens
 
-SAMPLES, STATES = 3, 1_000_000
-BATCH_CHARS = 1 << 20
+SAMPLES, STATES = 3, 1_500_000
+BATCH_CHARS = 2 << 20
+LOG_ONE, CUT_BITS = 2.0**32, 36  # logarithms and shares as whole numbers
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... of so many numbers each, in a row."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 class Lattice:
-    """States (rests of pre-tokens) and their arcs (pieces) as flat arrays, grown on demand. State 0 is the end of a pre-token."""
+    """States (rests of pre-tokens) and their arcs (pieces), the most probable first, as flat arrays, grown on demand. State 0 is the end of a pre-token."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.index: dict[str, int] = {"": 0}
         nodes, ids, logs = {}, [-1], [0.0]  # a trie of the pieces: (node, character) -> node
         for text, (piece, log) in pieces.of.items():
             node = 0
@@ -53,21 +59,24 @@ class Lattice:
                     logs.append(0.0)
                 node = to
             ids[node], logs[node] = piece, log
-        self.keys = np.array(sorted(nodes), np.int64)
-        self.child = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        self.child = Table(np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int64))
         self.node_id, self.node_log = np.array(ids), np.array(logs)
         self.byte_log = next(iter(pieces.byte.values()))[1]
-        kinds = {"beta": float, "first": np.int64, "n": np.int64, "next": np.int64, "log": float, "until": float, "piece": np.int64}
+        self.reset()
+
+    def reset(self) -> None:
+        self.index: dict[str, int] = {"": 0}
+        kinds = {"first": np.int64, "n": np.int64, "next": np.int64, "log": np.int64, "cut": np.int64, "piece": np.int64, "state": np.int64}
         self.room = {name: np.zeros(1024, kind) for name, kind in kinds.items()}
         self.n_states = self.n_arcs = 0
-        self.extend(np.zeros(1), np.zeros(1, np.int64), {})
+        self.extend(np.zeros(1, np.int64), {})
 
-    def extend(self, beta: np.ndarray, n: np.ndarray, arcs: dict[str, np.ndarray]) -> None:
+    def extend(self, n: np.ndarray, arcs: dict[str, np.ndarray]) -> None:
         """Append states and their arcs; the arrays' room doubles, so each is copied a few times at most."""
-        more = {"beta": beta, "first": self.n_arcs + np.cumsum(n) - n, "n": n, **arcs}
+        more = {"first": self.n_arcs + np.cumsum(n) - n, "n": n, **arcs}
         for name, room in self.room.items():
             values = more.get(name, room[:0])
-            size = self.n_states if name in ("beta", "first", "n") else self.n_arcs
+            size = self.n_states if name in ("first", "n") else self.n_arcs
             if size + len(values) > len(room):
                 self.room[name] = room = np.concatenate([room[:size], np.zeros(size + len(values), room.dtype)])
             room[size : size + len(values)] = values
@@ -75,205 +84,275 @@ class Lattice:
         self.n_states += len(n)
         self.n_arcs += len(arcs.get("next", ()))
 
-    def match(self, chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All pieces in the words: start, length, id (of a character in bytes: -1 less its code point), log probability; by start, then length."""
-        live, node, size, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0, []
+    def match(self, trie: Trie) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """All pieces that the rests (nodes of a trie of words read backwards) begin with, by length: nodes, the nodes after the piece, ids (of a
+        character in bytes: -1 less its code point), log probabilities."""
+        live = up = np.arange(1, len(trie.char))
+        node, size, found = np.zeros(len(live), np.int64), 0, []
         while len(live):
-            key = node << 21 | chars[live + size]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            there = self.keys[at] == key
-            live, node, size = live[there], self.child[at[there]], size + 1
+            to = self.child.get(node << 21 | trie.char[up])
+            there = to >= 0
+            live, node, up, size = live[there], to[there], trie.parent[up[there]], size + 1
             piece = self.node_id[node] >= 0
             if size == 1:
-                spelled = np.ones(len(chars), bool)
-                spelled[live[piece]] = False
+                spelled = np.ones(len(trie.char), bool)
+                spelled[0] = spelled[live[piece]] = False
                 lost = np.flatnonzero(spelled)
-                c = chars[lost]
-                n_bytes = np.where((c >= 0xD800) & (c < 0xE000), 1, 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-                found.append((lost, np.ones(len(lost), np.int64), -1 - c, n_bytes * self.byte_log))
-            found.append((live[piece], np.full(int(piece.sum()), size), self.node_id[node[piece]], self.node_log[node[piece]]))
-            more = live + size < ends[live]
-            live, node = live[more], node[more]
-        start, length, ids, logs = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((length, start))
-        return start[order], length[order], ids[order], logs[order]
+                found.append((lost, trie.parent[lost], -1 - trie.char[lost], n_bytes(trie.char[lost]) * self.byte_log))
+            found.append((live[piece], up[piece], self.node_id[node[piece]], self.node_log[node[piece]]))
+            more = up > 0
+            live, node, up = live[more], node[more], up[more]
+        return found
 
     def add(self, words: list[str]) -> None:
-        """States of the pre-tokens that are new: one for each place in them, with the log mass (beta) of all ways from there to the end."""
-        words = [w for w in dict.fromkeys(words) if w not in self.index]
+        """States of the pre-tokens that are new, one for each distinct rest of them, with the log mass (beta) of all ways from there to the end."""
+        words = list(set(words) - self.index.keys())
         if not words:
             return
-        sizes = np.array([len(w) for w in words])
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        start, length, ids, logs = self.match(chars, ends)
-        base = self.n_states
-        self.index |= zip(words, (base + np.cumsum(sizes) - sizes).tolist())
-        n = np.bincount(start, minlength=len(chars))
+        back = sorted(w[::-1] for w in words)
+        trie = Trie(back)
+        found = self.match(trie)
+        base = self.n_states - 1  # what is added to a node; the root is state 0
+        self.index |= zip((w[::-1] for w in back), (base + trie.ends).tolist())
+        n = np.zeros(len(trie.char), np.int64)
+        for start, *_ in found:
+            n[start] += 1
         first = np.cumsum(n) - n
-        to = start + length
-        to = np.where(to < ends[start], to, len(chars))  # the last place stands for the end
-        beta = np.zeros(len(chars) + 1)
-        left = ends - np.arange(len(chars))
-        by_left = np.argsort(left, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(left)[1:])])
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            at = by_left[lo:hi]
+        free = first.copy()
+        ids, to, logs = (np.zeros(int(n.sum()), kind) for kind in (np.int64, np.int64, float))
+        for start, after, piece, log in found:
+            at = free[start]
+            ids[at], logs[at], to[at] = piece, log, after
+            free[start] += 1
+        beta = np.zeros(len(trie.char))
+        cuts = np.cumsum(np.bincount(trie.depth))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at = trie.by_depth[lo:hi]
             many = n[at]
             begin = np.cumsum(many) - many
-            arc = np.arange(int(many.sum())) + np.repeat(first[at] - begin, many)
+            arc = ranges(first[at], many)
             x = logs[arc] + beta[to[arc]]
             top = np.maximum.reduceat(x, begin)
             beta[at] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), begin))
-        log = np.minimum(0.0, logs + beta[to] - beta[start])
-        total = np.cumsum(np.exp(log))
-        until = base + start + np.clip(total - np.repeat(np.concatenate([[0.0], total])[first], n), 0.0, 1.0)
-        until[first + n - 1] = base + np.arange(len(chars)) + 1.0
-        self.extend(beta[:-1], n, {"next": np.where(to < len(chars), base + to, 0), "log": log, "until": until, "piece": ids})
+        n, first = n[1:], first[1:]
+        state = np.repeat(np.arange(len(n)), n)
+        log = np.minimum(0.0, logs + beta[to] - beta[1 + state])
+        top = np.flatnonzero(log == np.maximum.reduceat(log, first)[state])
+        top = top[np.append(True, state[top[1:]] != state[top[:-1]])]
+        swap = np.arange(len(log))  # the most probable arc of a state comes first
+        swap[first], swap[top] = top, first
+        ids, to, log = ids[swap], to[swap], log[swap]
+        share = np.rint(np.exp(log) * 2**CUT_BITS).astype(np.int64)
+        total = np.cumsum(share)
+        cut = np.minimum(total - np.repeat((total - share)[first], n), 1 << CUT_BITS)
+        cut[first + n - 1] = 1 << CUT_BITS
+        self.extend(n, {"next": np.where(to > 0, base + to, 0), "log": np.rint(log * LOG_ONE).astype(np.int64), "cut": cut, "piece": ids, "state": base + 1 + state})
 
     def draw(self, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each start state, the arcs to the end of its pre-token: number of the start, arc; in order."""
-        live, step, who, arcs, at = np.arange(len(states)), 0, [], [], []
-        state = states.copy()
+        """For each start state, the number of arcs to the end of its pre-token, and the arcs of all in order."""
+        live, step, found = np.arange(len(states)), 0, []
+        state, n = states, np.zeros(len(states), np.int64)
         while True:
             go = state != 0
             live, state = live[go], state[go]
             if not len(live):
                 break
-            u = unit(mix64(keys[live] + U64(step * 0x9E3779B1)))
-            arc = np.minimum(np.searchsorted(self.a_until, state + u, "right"), self.a_first[state] + self.a_n[state] - 1)
-            who.append(live)
-            arcs.append(arc)
-            at.append(np.full(len(live), step))
+            u = (mix64(keys[live] + U64(step * 0x9E3779B1)) >> U64(64 - CUT_BITS)).astype(np.int64)
+            arc = self.a_first[state]
+            past = np.flatnonzero(u >= self.a_cut[arc])
+            while len(past):
+                arc[past] += 1
+                past = past[u[past] >= self.a_cut[arc[past]]]
+            found.append((live, arc))
+            n[live] += 1
             state = self.a_next[arc]
             step += 1
-        if not who:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        who, arcs, at = np.concatenate(who), np.concatenate(arcs), np.concatenate(at)
-        order = np.lexsort((at, who))
-        return who[order], arcs[order]
-
-    def state_of(self, arcs: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.a_first[1:], arcs, "right")
+        first, out = np.cumsum(n) - n, np.zeros(int(n.sum()), np.int64)
+        for step, (live, arc) in enumerate(found):
+            out[first[live] + step] = arc
+        return n, out
 
 
-def gumbel_below(phi: np.ndarray, top, u: np.ndarray) -> np.ndarray:
+def gumbel_below(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """The maximum of a region of log mass ``phi``, given that its parent's is ``top``."""
+    return -np.logaddexp(-top, np.log(-np.log(u)) - phi)
+
+
+class Search:
+    """The segmentations found so far of many texts: arcs and their pre-tokens in a row, and by segmentation its text, place, bound (perturbed log
+    probability) and open regions. A region leaves the segmentation at a place and takes none of the arcs that others have taken there."""
+
+    def __init__(self, lattice: Lattice, states: np.ndarray, sizes: np.ndarray, keys: np.ndarray, k: int):
+        self.lattice, self.states, self.sizes, self.keys, self.k = lattice, states, sizes, keys, k
+        self.begin = np.cumsum(sizes) - sizes
+        self.arcs = self.words = np.zeros(0, np.int64)
+        self.g = np.zeros(0)
+        whole = np.zeros(0, np.int64)
+        self.text, self.off, self.size, self.log, self.g_off, self.g_size, self.shared = (whole,) * 7
+        self.top = self.best = np.zeros(0)
+        self.without = np.zeros((0, k), np.int64)
+        self.of = np.full((k, len(sizes)), -1)  # by sample and text
+
+    def grow(self, name: str, more: np.ndarray) -> None:
+        setattr(self, name, np.concatenate([getattr(self, name), more]))
+
+    def first(self) -> None:
+        """Draw one segmentation of each text."""
+        n = len(self.sizes)
+        none = np.zeros(n, np.int64)
+        self.found(0, np.arange(n), none, none, None, none, none, -np.log(-np.log(unit(mix64(self.keys)))), np.full((n, self.k), -1))
+
+    def next(self, r: int) -> None:
+        """Of each text that has an open region, take the one with the largest bound and draw a segmentation in it."""
+        best = np.where(self.of[:r] >= 0, np.append(self.best, -np.inf)[self.of[:r]], -np.inf)
+        text = np.flatnonzero(best.max(0) > -np.inf)
+        if not len(text):
+            return
+        old = self.of[best.argmax(0)[text], text]
+        g_at = ranges(self.g_off[old], self.g_size[old])
+        cut = np.cumsum(self.g_size[old]) - self.g_size[old]
+        hit = np.flatnonzero(self.g[g_at] == np.repeat(self.best[old], self.g_size[old]))
+        owner = np.searchsorted(cut, hit, "right") - 1
+        hit = hit[np.append(True, owner[1:] != owner[:-1])]
+        inside = hit - cut  # the place among the segmentation's regions
+        top = self.best[old]
+        self.g[g_at[hit]] = -np.inf
+        self.best[old] = np.maximum.reduceat(self.g[g_at], cut)
+        kept = self.shared[old] + inside
+        base = self.arcs[self.off[old] + kept]
+        without = np.where((inside == 0)[:, None], self.without[old], -1)
+        without = np.hstack([base[:, None], without[:, : self.k - 1]])
+
+        a = self.lattice
+        state = a.a_state[base]
+        many = a.a_n[state]
+        option, owner = ranges(a.a_first[state], many), np.repeat(np.arange(len(base)), many)
+        p = np.exp(a.a_log[option] / LOG_ONE)
+        p[(option[:, None] == without[owner]).any(1)] = 0
+        cut = np.cumsum(many) - many
+        share = np.floor(p / np.add.reduceat(p, cut)[owner] * 2**CUT_BITS).astype(np.int64)
+        total = np.cumsum(share)
+        upto = total - np.repeat((total - share)[cut], many)
+        u = unit(mix64(self.keys[text] + U64(r * 7919 + 1)))
+        goal = np.floor(u * upto[cut + many - 1]).astype(np.int64)
+        free = np.flatnonzero((p > 0) & (upto > goal[owner]))
+        free = free[np.append(True, owner[free[1:]] != owner[free[:-1]])]
+        last = np.maximum.reduceat(np.where(p > 0, np.arange(len(p)), -1), cut)
+        last[owner[free]] = free
+        self.found(r, text, self.off[old], kept, option[last], self.words[self.off[old] + kept], a.a_next[option[last]], top, without)
+
+    def found(self, r: int, text: np.ndarray, start: np.ndarray, kept: np.ndarray, arc: np.ndarray | None, word: np.ndarray, after: np.ndarray, top: np.ndarray, without: np.ndarray) -> None:
+        """Add a segmentation of each text: the first ``kept`` arcs from ``start``, ``arc``, and the rest drawn."""
+        a, one = self.lattice, int(arc is not None)
+        rest = self.sizes[text] - word
+        at = np.cumsum(rest) - rest
+        states = self.states[ranges(self.begin[text] + word, rest)]
+        if one:
+            states[at] = after
+        place = ranges(np.zeros(len(rest), np.int64), rest)
+        seeds = mix64(self.keys[text] + U64((r + 1) * 0x1000003))
+        n, drawn = a.draw(states, mix64(np.repeat(seeds, rest) + place.astype(U64) * U64(0x2545F4914F6CDD1D)))
+        upto = np.concatenate([[0], np.cumsum(n)])
+        new = upto[at + rest] - upto[at]
+        size = kept + one + new
+        off = np.cumsum(size) - size
+        arcs, words = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
+        if one:
+            to, origin = ranges(off, kept), ranges(start, kept)
+            arcs[to], words[to] = self.arcs[origin], self.words[origin]
+            arcs[off + kept], words[off + kept] = arc, word
+        to = ranges(off + kept + one, new)
+        arcs[to], words[to] = drawn, np.repeat(place + np.repeat(word, rest), n)
+
+        log = a.a_log[arcs]
+        total = np.concatenate([[0], np.cumsum(log)])
+        open_ = ranges(off + kept, size - kept)
+        owner = np.repeat(np.arange(len(text)), size - kept)
+        before = (total[open_] - total[off][owner]) / LOG_ONE
+        deep = before < -700 - 50 * self.k  # there are regions enough before these, and theirs is no mass to speak of
+        open_, owner, before = open_[~deep], owner[~deep], before[~deep]
+        g_size = np.bincount(owner, minlength=len(text))
+        g_off = np.cumsum(g_size) - g_size
+        heads = g_off[g_size > 0]
+        taken, left = np.exp(log[open_] / LOG_ONE), a.a_n[a.a_state[arcs[open_]]] - 1
+        if one:
+            there = without[g_size > 0] >= 0
+            taken[heads] += np.where(there, np.exp(a.a_log[np.maximum(without[g_size > 0], 0)] / LOG_ONE), 0).sum(1)
+            left[heads] -= there.sum(1)
+        several = left > 0
+        phi = before + np.log(np.maximum(1 - taken, 1e-300))
+        u = unit(mix64(self.keys[text][owner] + U64(r * 104729 + 13) + ranges(np.zeros(len(text), np.int64), g_size).astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
+        g = np.where(several, gumbel_below(phi, top[owner], u), -np.inf)
+        best = np.full(len(text), -np.inf)
+        if len(heads):
+            best[g_size > 0] = np.maximum.reduceat(g, heads)
+
+        self.of[r, text] = len(self.text) + np.arange(len(text))
+        for name, more in {"text": text, "off": off + len(self.arcs), "size": size, "log": total[off + size] - total[off], "g_off": g_off + len(self.g), "g_size": g_size, "shared": kept, "top": top, "best": best, "without": without, "arcs": arcs, "words": words, "g": g}.items():
+            self.grow(name, more)
+
+
+def top_k(lattice: Lattice, states: np.ndarray, sizes: np.ndarray, keys: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """The k segmentations of each text, given as start states of its pre-tokens: text, sample (from 1), off and size in ``arcs``, log_p, score
+    (perturbed), log_inclusion; by text, then sample."""
+    search = Search(lattice, states, sizes, keys, k)
+    search.first()
+    for r in range(1, k):
+        search.next(r)
+    pick = search.of.T.ravel()
+    sample = np.tile(np.arange(1, k + 1), len(sizes))[pick >= 0]
+    pick = pick[pick >= 0]
+    kappa = np.where(search.of >= 0, np.append(search.best, -np.inf)[search.of], -np.inf).max(0)[search.text[pick]]
+    log_p = search.log[pick] / LOG_ONE
+    x = log_p - kappa
     with np.errstate(over="ignore", divide="ignore"):
-        return -np.log(np.exp(-np.asarray(top)) + np.exp(-phi) * -np.log(u))
-
-
-class _Text:
-    """A text's search: its found segmentations and open regions."""
-
-    def __init__(self, states: np.ndarray, key: np.uint64):
-        self.states, self.key = states, key
-        self.found: list[dict] = []
-        self.regions: list[dict] = []
-
-
-def top_k(lattice: Lattice, texts: list[np.ndarray], keys: np.ndarray, k: int) -> list[list[dict]]:
-    """For each text, given as start states of its pre-tokens, its k segmentations: arcs, log_p, score (perturbed), inclusion."""
-    jobs = [_Text(s, key) for s, key in zip(texts, keys)]
-    for r in range(k):
-        # what each text draws anew: whole pre-tokens, after a kept beginning and one decision
-        work = []
-        for t in jobs:
-            if r == 0:
-                top = float(-np.log(-np.log(unit(mix64(np.array([t.key], U64)))))[0])
-                work.append((t, np.zeros(0, np.int64), 0, t.states, np.zeros(0, np.int64), top, ()))
-                continue
-            best = max(range(len(t.regions)), key=lambda i: t.regions[i]["top"], default=None)
-            if best is None or t.regions[best]["top"] == -np.inf:
-                continue
-            g = t.regions[best]
-            i = int(np.argmax(g["g"]))
-            top, g["g"][i] = float(g["g"][i]), -np.inf
-            g["top"] = float(g["g"].max())
-            base = g["of"]
-            state = int(lattice.state_of(base["arcs"][i : i + 1])[0])
-            options = np.arange(lattice.a_first[state], lattice.a_first[state] + lattice.a_n[state])
-            without = g["without"] if i == g["from"] else ()
-            options = options[~np.isin(options, [base["arcs"][i], *without])]
-            p = np.cumsum(np.exp(lattice.a_log[options]))
-            u = unit(mix64(np.array([t.key + U64(r * 7919 + 1)], U64)))[0]
-            arc = int(options[min(int(np.searchsorted(p, u * p[-1], "right")), len(options) - 1)])
-            word = base["word"][i]
-            after = int(lattice.a_next[arc])
-            rest = np.concatenate([[after], t.states[word + 1 :]]).astype(np.int64)
-            work.append((t, np.append(base["arcs"][:i], arc), int(word), rest, base["word"][: i + 1], top, (base["arcs"][i], *without)))
-        if not work:
-            break
-        sizes = np.array([len(x[3]) for x in work])
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
-        seeds = np.array([mix64(np.array([x[0].key + U64((r + 1) * 0x1000003)], U64))[0] for x in work], U64)
-        who, arcs = lattice.draw(np.concatenate([x[3] for x in work]).astype(np.int64), mix64(np.repeat(seeds, sizes) + place.astype(U64) * U64(0x2545F4914F6CDD1D)))
-        cut = np.searchsorted(who, np.append(starts, starts[-1] + sizes[-1]))
-        for j, (t, before, word, _, words, top, without) in enumerate(work):
-            own = slice(cut[j], cut[j + 1])
-            all_arcs = np.concatenate([before, arcs[own]]).astype(np.int64)
-            of = {"arcs": all_arcs, "word": np.concatenate([words, place[who[own]] + word]).astype(np.int64), "score": top}
-            logs = lattice.a_log[all_arcs]
-            of["log_p"] = float(logs.sum())
-            t.found.append(of)
-            begin = max(0, len(before) - 1)
-            before_log = np.concatenate([[0.0], np.cumsum(logs)])[begin:-1] if len(logs) else np.zeros(0)
-            taken = np.exp(logs[begin:])
-            if len(taken) and without:
-                taken[0] += np.exp(lattice.a_log[list(without)]).sum()
-            several = lattice.a_n[lattice.state_of(all_arcs[begin:])] > 1
-            if len(several) and without:
-                several[0] = lattice.a_n[lattice.state_of(all_arcs[begin : begin + 1])[0]] > 1 + len(without)
-            phi = np.where(several, before_log + np.log(np.maximum(1 - taken, 1e-300)), -np.inf)
-            u = unit(mix64(U64(t.key) + U64(r * 104729 + 13) + np.arange(len(phi), dtype=U64) * U64(0xC2B2AE3D27D4EB4F)))
-            g = np.where(several, gumbel_below(phi, top, u), -np.inf)
-            if len(g):
-                full = np.full(begin + len(g), -np.inf)
-                full[begin:] = g
-                t.regions.append({"g": full, "top": float(g.max()), "of": of, "from": begin, "without": without})
-    out = []
-    for t in jobs:
-        kappa = max((x["top"] for x in t.regions), default=-np.inf)
-        for f in t.found:
-            f["inclusion"] = 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(50.0, f["log_p"] - kappa))))
-        out.append(t.found)
-    return out
-
-
-def ids_of(lattice: Lattice, arcs: np.ndarray) -> np.ndarray:
-    """Piece ids along the arcs; a character that no piece has gives its bytes' pieces."""
+        inclusion = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 50.0)))))
+    return {"text": search.text[pick], "sample": sample, "off": search.off[pick], "size": search.size[pick], "log_p": log_p, "score": search.top[pick], "log_inclusion": inclusion, "arcs": search.arcs}
+
+
+def ids_of(lattice: Lattice, arcs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids along the arcs, and how many there are for each run of so many arcs; a character that no piece has gives its bytes' pieces."""
     ids = lattice.a_piece[arcs]
-    if len(ids) and ids.min() < 0:
-        ids = np.array([i for x in ids.tolist() for i in ((x,) if x >= 0 else lattice.pieces.whole(chr(-1 - x))[0])])
-    return ids.astype("<u4")
+    ends = np.cumsum(sizes)
+    spelled = np.flatnonzero(ids < 0)
+    if not len(spelled):
+        return ids.astype(np.int32), sizes
+    chars, which = np.unique(-1 - ids[spelled], return_inverse=True)
+    table = np.array([(*lattice.pieces.whole(chr(c))[0], 0, 0, 0)[:4] for c in chars.tolist()])
+    n = np.ones(len(ids), np.int64)
+    n[spelled] = n_bytes(chars)[which]
+    out = np.repeat(ids, n)
+    first = np.cumsum(n) - n
+    out[ranges(first[spelled], n[spelled])] = table[np.repeat(which, n[spelled]), ranges(np.zeros(len(spelled), np.int64), n[spelled])]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return out.astype(np.int32), upto[ends] - upto[ends - sizes]
 
 
 def sample(docs: DataFrame, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
-    """``id_col``, sample (1 to k, best first), ids (array of int), log_prob, perturbed, inclusion: a row for each segmentation."""
+    """``id_col``, sample (1 to k, best first), ids (array of int), log_prob, perturbed, inclusion, log_inclusion: a row for each segmentation."""
 
-    def run(batches):
-        pieces = Pieces(model_path)
-        lattice = Lattice(pieces)
-        for pdf in batches:
-            texts = list(pdf["t"])
-            for part in slices(pdf, [len(t) if isinstance(t, str) else 0 for t in texts], BATCH_CHARS):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(Pieces(model_path))
+        for batch in batches:
+            texts, names = batch.column("t").to_pylist(), batch.column("id").to_pylist()
+            for part in slices(texts, [len(t or "") for t in texts], BATCH_CHARS):
                 if lattice.n_states > STATES:
-                    lattice = Lattice(pieces)
+                    lattice.reset()
                 split = [pretokens(t) for t in texts[part]]
-                lattice.add([w for s in split for w in s])
-                states = [np.array([lattice.index[w] for w in s], np.int64) for s in split]
-                keys = np.array([xxhash.xxh64_intdigest(f"{i}|{t}", seed) for i, t in zip(pdf["id"].iloc[part], texts[part])], U64)
-                rows = []
-                for i, found in zip(pdf["id"].iloc[part], top_k(lattice, states, keys, k)):
-                    for n, f in enumerate(found):
-                        rows.append((i, n + 1, ids_of(lattice, f["arcs"]).astype(np.int32), f["log_p"], f["score"], f["inclusion"]))
-                out = pd.DataFrame(rows, columns=["id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
-                yield out
+                words = [w for s in split for w in s]
+                lattice.add(words)
+                states = np.fromiter(map(lattice.index.__getitem__, words), np.int64, len(words))
+                keys = np.array([xxhash.xxh64_intdigest(f"{i}|{t}".encode("utf-8", "replace"), seed) for i, t in zip(names[part], texts[part])], U64)
+                got = top_k(lattice, states, np.array([len(s) for s in split]), keys, k)
+                ids, n = ids_of(lattice, got["arcs"][ranges(got["off"], got["size"])], got["size"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
+                columns = [batch.column("k").take(pa.array(got["text"] + part.start)), pa.array(got["sample"], pa.int32()), lists]
+                columns += map(pa.array, (got["log_p"], got["score"], np.exp(got["log_inclusion"]), got["log_inclusion"]))
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "sample", "ids", "log_prob", "perturbed", "inclusion", "log_inclusion"])
 
     kept = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("t"))
-    out = kept.select("id", "t").mapInPandas(run, "id string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
-    return out.withColumn("id", F.when(F.col("id") != "", F.col("id")).cast(dict(kept.dtypes)["k"])).withColumnRenamed("id", id_col)
+    out = kept.mapInArrow(run, f"k {dict(kept.dtypes)['k']}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, log_inclusion double")
+    return out.withColumnRenamed("k", id_col)
 
 
 def decode(sampled: DataFrame, id_col: str = "doc_id", model_path: str | None = None) -> DataFrame:
@@ -289,6 +368,6 @@ def decode(sampled: DataFrame, id_col: str = "doc_id", model_path: str | None =
 
 
 def op10_sampled_segmentations(spark, sf_dir):
-    """doc_id, sample, n_pieces, log_prob, perturbed, inclusion, ids_sha256: three segmentations of every document."""
+    """doc_id, sample, n_pieces, log_prob, perturbed, inclusion, log_inclusion, ids_sha256: three segmentations of every document."""
     out = sample(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "perturbed", "inclusion", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"))
+    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "log_prob", "perturbed", "inclusion", "log_inclusion", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"))
