@@ -12,8 +12,8 @@ whole run in succession, and no run is shorter than ``MIN_WORDS`` words. Runs of
 kept window covers is never cut, so every kept copy stays whole.
 
 How it is spread: chunking is narrow and cheap, so it runs twice rather than being
-kept: once to see which digests repeat (least and largest hash of the place, 32 bits, with map-side partial
-sums; two copies are missed once in 4 billion), once to be joined with these. A digest's copies meet in
+kept: once to see which digests repeat (counts, with map-side partial
+sums), once to be joined with these. A digest's copies meet in
 one task, that picks the kept one. Only repeated windows are gathered by document.
 
 Edge cases: null and empty texts have no chunks; rows that agree in id and text are one
@@ -106,11 +106,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     passage's covered part, whether this is its kept copy, and the id of the document that has the kept copy; and ``cuts``, an array of struct(start, end):
     bytes that windows kept elsewhere cover, and none that is kept here."""
     table = window_table(docs, id_col, text_col, min_words)
-    other = F.hash("t", "nth")  # the same for the same row twice
-    repeats = table.groupBy("d").agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo <> hi").select("d")
+    repeats = table.groupBy("d").agg(F.count("*").alias("m")).where("m > 1").select("d")
     found = window_table(docs, id_col, text_col, min_words).join(repeats, "d")
-    least = F.min(F.struct("k", "t", "nth")).over(Window.partitionBy("d"))
-    found = found.withColumn("least", least).select("k", "t", F.struct("nth", "span", F.col("least.t").alias("lt"), F.col("least.nth").alias("ln"), F.col("least.k").alias("lk")).alias("c"))
+    of_digest = Window.partitionBy("d")
+    place = F.struct("t", "nth")
+    found = found.withColumn("least", F.min(F.struct("k", "t", "nth")).over(of_digest)).withColumn("lo", F.min(place).over(of_digest)).withColumn("hi", F.max(place).over(of_digest))
+    found = found.where("lo <> hi")  # not what only equal rows share
+    found = found.select("k", "t", F.struct("nth", "span", F.col("least.t").alias("lt"), F.col("least.nth").alias("ln"), F.col("least.k").alias("lk")).alias("c"))
 
     def runs(batches):
         for batch in batches:
