@@ -189,6 +189,10 @@ def test_counts_against_brute_force(odd):
             best[j] = max(options, key=lambda o: o[0])
         return best[-1][1]
 
+    r = random.Random(4)
+    usual = [t for t in p.of if "▁" not in t]
+    words = list({"▁" + "".join(r.choice(usual + ["世", "🙂", "é", "x"]) for _ in range(r.randint(0, 5))) for _ in range(3000)} | {"▁" + "ab" * 3000})
+    assert counts.terminal_counts(words, counts.Reversed(p)) == {w: brute(w) if len(w) < 100 else counts.terminal_counts([w], counts.Reversed(p))[w] for w in words}
     got = {r["doc_id"]: r["n_tokens"] for r in counts.count(odd).collect()}
     for i in (0, 1, 2, 3, 4, 6, 7, 10, 11, 12):
         assert got[i] == sum(map(brute, pretokens(TEXTS[i])))
@@ -289,27 +293,92 @@ def test_signatures_estimate_similarity():
     assert abs((s[0] == s[1]).mean() - true) < 0.1
 
 
-def test_sampling_is_without_replacement_and_in_proportion():
-    pieces = Pieces()
-    lattice = sampling.Lattice(pieces)
-    lattice.add(pretokens("ab th"))
-    states = np.array([lattice.index[w] for w in pretokens("ab th")])
-    n = 4000
-    found = sampling.top_k(lattice, [states] * n, np.random.default_rng(0).integers(0, 2**63, n).astype(np.uint64), 3)
-    first = Counter(tuple(f[0]["arcs"]) for f in found)
+def drawn(lattice, text, keys, k):
+    """Samples of one text for many keys: (arcs, log_p, score, log_inclusion) by key."""
+    words = pretokens(text)
+    lattice.add(words)
+    states = np.array([lattice.index[w] for w in words] * len(keys), np.int64)
+    got = sampling.top_k(lattice, states, np.full(len(keys), len(words)), keys, k)
+    out = [[] for _ in keys]
+    for i, off, size, *rest in zip(got["text"], got["off"], got["size"], got["log_p"], got["score"], got["log_inclusion"]):
+        out[i].append((tuple(got["arcs"][off : off + size].tolist()), *rest))
+    return out
+
+
+def all_ways(lattice, text):
+    """Every segmentation of a text as arcs, with its log probability."""
+    ways = [((), 0.0)]
+    for w in pretokens(text):
+        todo, done = [((), 0.0, lattice.index[w])], []
+        while todo:
+            arcs, log, state = todo.pop()
+            if state == 0:
+                done.append((arcs, log))
+                continue
+            first = int(lattice.a_first[state])
+            for arc in range(first, first + int(lattice.a_n[state])):
+                todo.append(((*arcs, arc), log + lattice.a_log[arc] / 2**32, int(lattice.a_next[arc])))
+        ways = [(a + b, x + y) for a, x in ways for b, y in done]
+    return dict(ways)
+
+
+def test_sampling_against_enumeration():
+    lattice = sampling.Lattice(Pieces())
+    text, n = "ab th", 6000
+    keys = np.random.default_rng(0).integers(0, 2**63, n).astype(np.uint64)
+    found = drawn(lattice, text, keys, 3)
+    ways = all_ways(lattice, text)
+    assert abs(sum(map(exp, ways.values())) - 1) < 1e-6 and len(ways) > 4
+    pairs = Counter()
     for f in found:
-        assert len({tuple(x["arcs"]) for x in f}) == len(f) and [x["score"] for x in f] == sorted((x["score"] for x in f), reverse=True)
-    top, m = first.most_common(1)[0]
-    p = exp(next(x["log_p"] for f in found for x in f if tuple(x["arcs"]) == top))
-    assert abs(m / n - p) < 4 * (p * (1 - p) / n) ** 0.5 + 1e-3
+        assert len({a for a, *_ in f}) == 3 and [x[2] for x in f] == sorted((x[2] for x in f), reverse=True)
+        assert all(abs(ways[a] - log) < 1e-6 for a, log, *_ in f)
+        pairs[f[0][0], f[1][0]] += 1
+    for (a, b), m in pairs.most_common(6):  # two draws without replacement, in this order
+        p = exp(ways[a]) * exp(ways[b]) / (1 - exp(ways[a]))
+        assert abs(m / n - p) < 4 * (p * (1 - p) / n) ** 0.5 + 1e-3
+    # the perturbed scores are independent Gumbels plus log p: the mean of the largest is Euler's constant
+    assert abs(np.mean([f[0][2] for f in found]) - 0.5772) < 0.07
+    # inclusion scores weigh the samples so that sums over all segmentations come out right
+    share = np.mean([sum(exp(log - inc) for _, log, _, inc in f) for f in found])
+    assert abs(share - 1) < 0.05
+    every = drawn(lattice, text, keys[:20], len(ways) + 3)
+    assert all({a for a, *_ in f} == set(ways) and all(inc == 0 for *_, inc in f) for f in every)
+
+
+def test_sampling_does_not_depend_on_the_batch():
+    texts = ["one two three four", "", "ab th", "wörld 世界 🙂 x" * 20, "a longer text of some words " * 30]
+    keys = np.arange(5, dtype=np.uint64) + np.uint64(99)
+    lattice = sampling.Lattice(Pieces())
+    lattice.add([w for t in texts[::-1] for w in pretokens(t)])
+    words = [pretokens(t) for t in texts]
+    states = np.array([lattice.index[w] for ws in words for w in ws], np.int64)
+    got = sampling.top_k(lattice, states, np.array(list(map(len, words))), keys, 4)
+    ids, n = sampling.ids_of(lattice, got["arcs"][sampling.ranges(got["off"], got["size"])], got["size"])
+    ends = np.cumsum(n)
+    for i, t in enumerate(texts):
+        other = sampling.Lattice(Pieces())
+        other.add(pretokens(t))
+        alone = sampling.top_k(other, np.array([other.index[w] for w in pretokens(t)], np.int64), np.array([len(pretokens(t))]), keys[i : i + 1], 4)
+        own, m = sampling.ids_of(other, alone["arcs"][sampling.ranges(alone["off"], alone["size"])], alone["size"])
+        mine = np.flatnonzero(got["text"] == i)
+        assert own.tolist() == [x for j in mine for x in ids[ends[j] - n[j] : ends[j]].tolist()]
+        assert alone["score"].tolist() == got["score"][mine].tolist()
+        assert all(Pieces().decode(ids[ends[j] - n[j] : ends[j]].tolist())[1:] == t for j in mine)
 
 
 def test_sampling_decodes(odd):
-    s = sampling.sample(odd.where("doc_id is not null and doc_id <> 5"))
+    s = sampling.sample(odd.where("doc_id is not null"))
     for r in sampling.decode(s).collect():
         assert r["text"] == (TEXTS[r["doc_id"]] or "")
 
 
+def test_sampling_keeps_ids_as_they_are(spark):
+    rows = [("", "some text", 1, "a", 2), (None, "some text", 1, "a", 2), ("x", None, 1, "a", 2), ("x", "", 1, "a", 2)]
+    got = sampling.sample(spark.createDataFrame(rows, "doc_id string, text string, sample int, ids string, k int"))
+    assert sorted({(r["doc_id"] is None, r["doc_id"] or "") for r in got.collect()}) == [(False, ""), (False, "x"), (True, "")]
+
+
 def test_quality_learns(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score(d, quality.train(d, labels)).join(labels, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).toPandas()
