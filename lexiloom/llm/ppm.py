@@ -11,9 +11,10 @@ log10 probabilities of its bytes.
 
 How it is spread: a document belongs to a block, a stretch of an input file (or, where the rows don't come from files, a hash). What a task reads is counted in
 arrays as it streams by: the distinct (context, byte) codes and words' hashes of each block, 64 bits each, are all that leaves it.
+They are kept in a table bucketed by key, so sums by key and the join with the answers shuffle nothing more of it.
 Sums by key give the corpus counts; the trie's probabilities follow level by level, in sorted arrays, for the contexts that end in
 the same three bytes (many such groups in a task, of about ``GROUP_KEYS`` codes together); each block gets back the
-keys that it asked for, and documents are read past them in a stream. A key is asked for once by a block, so no key is hot.
+keys that it asked for, packed, and documents are read past them in a stream. A key is asked for once by a block, so no key is hot.
 Statistics of contexts of two bytes or fewer (2**24 entries at the very most) go to all tasks.
 
 Edge cases: null and empty texts are one end token; a null id is neither held
@@ -31,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, materialize, remainder, slices, utf8
+from .common import U64, Words, bucketed, materialize, remainder, slices, utf8
 
 ORDER = 5
 LOW = 3  # codes of as many bytes, the last one's context has two, are known to all tasks
 BLOCK_BYTES = 64 << 20
 GROUP_KEYS = 100_000
-BATCH_BYTES = 4 << 20
-MERGE_KEYS = 4 << 20
+BATCH_BYTES = 2 << 20
+MERGE_KEYS = 1 << 20
+BUCKET_BYTES = 16 << 20
 END_KEY = -1
 
 
@@ -195,6 +197,40 @@ def weigh(pairs: DataFrame) -> DataFrame:
     return pairs.select("key", "n", F.pmod(F.xxhash64(ending), F.lit(groups)).alias("group")).groupBy("group").applyInPandas(lambda pdf: of_group(pdf), "key long, value double")
 
 
+def packed(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Keys with their values (counts of words, in 64 bits; logarithms of codes, in 32), compressed: differences of sorted keys, byte by byte."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    words = int(np.searchsorted(keys, 0))
+    steps = np.ascontiguousarray(np.diff(keys, prepend=0).view(np.uint8).reshape(-1, 8).T)
+    body = steps.tobytes() + values[:words].astype(np.int64).tobytes() + values[words:].astype(np.float32).tobytes()
+    return np.array([len(keys), words, len(body)], np.int64).tobytes() + pa.Codec("zstd", 1).compress(body, asbytes=True)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, words, size = np.frombuffer(data[:24], np.int64).tolist()
+    body = pa.Codec("zstd", 1).decompress(data[24:], size, asbytes=True)
+    keys = np.cumsum(np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n).reshape(8, n).T).view(np.int64).ravel())
+    return keys, np.concatenate([np.frombuffer(body, np.int64, words, 8 * n).astype(float), np.frombuffer(body, np.float32, n - words, 8 * (n + words)).astype(float)])
+
+
+def pack(answers: DataFrame) -> DataFrame:
+    """block, data: what each task has of each block's answers (block, key, value), packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(batch.column(c).to_numpy() for c in ("block", "key", "value")) for batch in batches]
+        if parts:
+            block, key, value = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(block, kind="stable")
+            block, key, value = block[order], key[order], value[order]
+            cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)).tolist()
+            for i in range(0, len(cuts) - 1, 1000):
+                own = list(zip(cuts[i : i + 1000], cuts[i + 1 : i + 1001]))
+                yield pa.RecordBatch.from_arrays([pa.array(block[[lo for lo, _ in own]]), pa.array([packed(key[lo:hi], value[lo:hi]) for lo, hi in own], pa.binary())], names=["block", "data"])
+
+    return answers.select("block", "key", "value").mapInArrow(run, "block long, data binary")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, block_bytes: int = BLOCK_BYTES, file_rows: tuple[Column, Column] | None = None) -> DataFrame:
     """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score for every row. ``file_rows`` names a row's file and its
     number there, so that blocks are stretches of files; without it blocks are dealt by a hash, and tasks ask for more keys."""
@@ -207,16 +243,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         block = F.xxhash64(file_rows[0], F.floor(file_rows[1] / F.lit(max(1, -(-size["n"] // n_blocks)))))
     df = docs.select(F.col(id_col).alias("k"), t.alias("t"), F.coalesce(remainder(id_col) != held_out, F.lit(False)).alias("train"), F.coalesce(remainder(id_col) == held_out, F.lit(False)).alias("held_out"), block.alias("block"))
 
-    asked = materialize(count(df), "ppm-asked")
+    asked = bucketed(count(df), "ppm_asked", "key", max(4, -(-int(size["size"] or 0) // BUCKET_BYTES)))
     known = materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "ppm-known")
     words = known.where("key < 0 and n > 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, base_c = words["n"] or 0, (words["n"] or 0) + 0.5 * (words["v"] + 1)
     answers = weigh(known.where("key >= 0")).unionByName(known.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
-    got = asked.select("block", "key").repartition("key").groupBy("key", "block").count().join(answers, "key")
+    got = pack(asked.groupBy("key", "block").agg(F.lit(1)).join(answers, "key"))
     kind = dict(df.dtypes)["k"]
     none = lambda name, of: F.lit(None).cast(of).alias(name)
-    both = got.select("block", F.lit(0).alias("side"), "key", "value", none("k", kind), none("t", "string"), none("held_out", "boolean")).unionByName(
-        df.select("block", F.lit(1).alias("side"), none("key", "long"), none("value", "double"), "k", "t", "held_out")
+    both = got.select("block", F.lit(0).alias("side"), "data", none("k", kind), none("t", "string"), none("held_out", "boolean")).unionByName(
+        df.select("block", F.lit(1).alias("side"), none("data", "binary"), "k", "t", "held_out")
     )
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +268,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                     parts, of, whole = [], block[lo], False
                 rows = batch.slice(lo, hi - lo)
                 if side[lo] == 0:
-                    parts.append((rows.column("key").to_numpy(), rows.column("value").to_numpy()))
+                    parts += map(unpacked, rows.column("data").to_pylist())
                     continue
                 if not whole:
                     keys, values = (np.concatenate(x) for x in zip(*parts))
