@@ -17,7 +17,10 @@ UK_VOWELS = "аеєиіїоуюя"
 UK_CONSONANTS = "бвгґджзйклмнпрстфхцчшщ"
 RU_LETTERS = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 # Abbreviations after which a stop ends no sentence.
-ABBREVIATIONS = ["др", "ін", "напр", "обл", "рр", "ст", "тис", "млн", "млрд", "грн", "див", "ім", "проф", "акад"]
+ABBREVIATIONS = """англ г га год гр грец грн д див дж дол е зв км коп крб л лат мал мед мл млн н напр нім оп п пер перен р ред рис розд розм рос рр руб с св см ст
+т тис укр фр хв ч шт ім ін іст""".split()
+#: A character of no text, put after each sentence.
+END = "\uFDD0"
 
 
 def tokens(text: Column) -> Column:
@@ -26,9 +29,38 @@ def tokens(text: Column) -> Column:
 
 
 def run_type(token: Column) -> Column:
-    """stop, punct, space, digit or alpha."""
-    out = F.when(token.rlike(f"^[{STOP}]$"), "stop").when(token.rlike(f"^[{PUNCT}]$"), "punct")
-    return out.when(token.rlike(f"^[{SPACE}]+$"), "space").when(token.rlike("^[0-9]+$"), "digit").otherwise("alpha")
+    """stop, punct, space, digit or alpha: a token's first character tells."""
+    first = F.substring(token, 1, 1)
+    is_in = lambda body: first.rlike(f"[{body}]")
+    return F.when(is_in(STOP), "stop").when(is_in(PUNCT), "punct").when(is_in(SPACE), "space").when(is_in("0-9"), "digit").otherwise("alpha")
+
+
+def class_counts(text: Column) -> Column:
+    """array<struct<run_type, n, chars>>: tokens and characters of a text by class, for the classes that it has."""
+    t = F.coalesce(text, F.lit(""))
+    alpha = f"[^{STOP}{PUNCT}{SPACE}0-9]+"
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    one = lambda name, runs, chars: F.struct(F.lit(name).alias("run_type"), runs.alias("n"), chars.alias("chars"))
+    stop, punct, space, digit = (count(f"[{x}]") for x in (STOP, PUNCT, SPACE, "0-9"))
+    rest = F.length(t) - stop - punct - space - digit
+    every = F.array(one("stop", stop, stop), one("punct", punct, punct), one("space", count(f"[{SPACE}]+"), space), one("digit", count("[0-9]+"), digit), one("alpha", count(alpha), rest.cast("long")))
+    return F.filter(every, lambda x: x["n"] > 0)
+
+
+def sentences(text: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
+    """A text cut after each run of stops that ends a sentence, in order: after the text's start or a token of two characters or more that is no
+    abbreviation. (Further stops of such a run stay with it.) What follows the last end comes last, often empty."""
+    words = f"[^{STOP}{PUNCT}{SPACE}0-9]"
+    long = f"{words}{{2}}|[0-9]{{2}}|[{SPACE}]{{2}}"
+    short = "|".join(a for a in abbreviations if len(a) > 1)
+    ends = f"((?:^|(?<={long}))(?<!(?<!{words})(?iu:{short}))[{STOP}]+)" if short else f"((?:^|(?<={long}))[{STOP}]+)"
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), END, "\uFDD1"), ends, "$1" + END)
+    return F.split(marked, END)
+
+
+def words(sentence: Column) -> Column:
+    """The tokens of a sentence that are neither stops, signs, blanks nor numbers."""
+    return F.regexp_extract_all(sentence, F.lit(f"[^{STOP}{PUNCT}{SPACE}0-9]+"), F.lit(0))
 
 
 def word_class(token: Column) -> Column:
@@ -42,15 +74,19 @@ def vowel_count(word: Column) -> Column:
     return F.regexp_count(F.lower(word), F.lit(f"[{UK_VOWELS}]"))
 
 
-# Transliteration of letters to more or less than one character; the rest is one to one.
-_MANY = {"ж": "zh", "ч": "ch", "ш": "sh", "щ": "sh", "ю": "ju", "я": "ja", "ї": "ji", "ъ": "", "ь": ""}
-_ONE = ("абвгґдеєэзиійклмнопрстуфхцыё", "abvggdeeeziijklmnoprstufhcye")
+# Transliteration, a letter and what stands for it.
+LATIN = {
+    "а": "a", "б": "b", "в": "v", "г": "h", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "y", "й": "j", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "c", "ч": "ch", "ш": "sh", "щ": "sh", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "ju", "я": "ja",
+    "є": "e", "і": "i", "ї": "ji", "ґ": "g",
+}
 
 
 def transliterate(text: Column) -> Column:
     """Latin letters for Ukrainian and Russian ones; signs are dropped, anything else beyond ASCII is an underscore."""
-    out = reduce(lambda t, p: F.replace(F.replace(t, F.lit(p[0]), F.lit(p[1])), F.lit(p[0].upper()), F.lit(p[1].upper())), _MANY.items(), text)
-    one = F.translate(out, _ONE[0].replace("и", "и") + _ONE[0].upper(), _ONE[1].replace("ziijk", "zyijk") + _ONE[1].replace("ziijk", "zyijk").upper())
+    pairs = [*LATIN.items(), *((k.upper(), v.upper()) for k, v in LATIN.items())]
+    out = reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), [p for p in pairs if len(p[1]) > 1], text)
+    one = F.translate(out, "".join(k for k, v in pairs if len(v) == 1) + "ЪъЬь", "".join(v for _, v in pairs if len(v) == 1))
     return F.regexp_replace(one, r"[^\x00-\x7F]", "_")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -14,36 +14,36 @@ def token_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return exploded.withColumn("run_type", T.run_type(F.col("tok")))
 
 
-def sentence_runs(docs: DataFrame, abbreviations: list[str] = T.ABBREVIATIONS) -> DataFrame:
-    """token_runs with sent_id. A stop ends a sentence unless the token before its run of stops is an abbreviation or one character.
-    Windows are by document, so one sort serves them all."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    runs = token_runs(docs).withColumn("before", F.lag("tok").over(w)).withColumn("before_type", F.lag("run_type").over(w))
-    first = (F.col("run_type") == "stop") & (F.coalesce(F.col("before_type"), F.lit("")) != "stop")
-    blocked = F.col("before").isNotNull() & ((F.length("before") <= 1) | F.lower("before").isin(abbreviations))
-    # the verdict of the first stop holds for its whole run
-    runs = runs.withColumn("verdict", F.last(F.when(first, (~blocked).cast("int")), ignorenulls=True).over(w))
-    ends = F.when(F.col("run_type") == "stop", F.col("verdict")).otherwise(0)
-    ended = F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return runs.withColumn("sent_id", ended).select("doc_id", "pos", "tok", "run_type", "sent_id")
-
-
-def good_words(docs: DataFrame) -> DataFrame:
-    """doc_id, sent_id, pos, word: words of sentences without numbers and optional hyphens."""
-    w = Window.partitionBy("doc_id", "sent_id")
-    bad = F.max(((F.col("run_type") == "digit") | (F.col("tok") == "¬")).cast("int")).over(w)
-    return sentence_runs(docs).withColumn("bad", bad).where((F.col("bad") == 0) & (F.col("run_type") == "alpha")).select("doc_id", "sent_id", "pos", F.col("tok").alias("word"))
-
-
-def word_stream(docs: DataFrame) -> DataFrame:
-    """doc_id, word, next: the words of each document's good sentences between <s> and </s>; next crosses sentence ends, not documents."""
-    words = good_words(docs)
-    marked = words.withColumn("len", F.count("*").over(Window.partitionBy("doc_id", "sent_id"))).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy("pos")))
-    one = F.array(F.struct(F.col("nth").alias("o"), F.col("word").alias("word")))
-    with_start = F.when(F.col("nth") == 1, F.concat(F.array(F.struct(F.lit(0).alias("o"), F.lit("<s>").alias("word"))), one)).otherwise(one)
-    full = F.when(F.col("nth") == F.col("len"), F.concat(with_start, F.array(F.struct((F.col("nth") + 1).alias("o"), F.lit("</s>").alias("word"))))).otherwise(with_start)
-    stream = marked.select("doc_id", "sent_id", F.explode(full).alias("x")).select("doc_id", "sent_id", "x.o", "x.word")
-    return stream.select("doc_id", "word", F.lead("word").over(Window.partitionBy("doc_id").orderBy("sent_id", "o")).alias("next"))
+def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, sent_id, first_pos, last_pos, n_tokens: the extent of each sentence in its document's tokens. Each further stop of a run that ended a sentence is
+    a sentence of its own. A sentence is a row before anything is shuffled; documents are told apart by id and text, so rows
+    that share an id don't mix (equal rows are one document), and null ids don't meet in one task."""
+    parts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), T.sentences(F.col(text_col)).alias("s"))
+    one = parts.select("doc_id", "t", (F.size("s") - 1).alias("last"), F.posexplode("s").alias("nth", "s")).where("s <> ''")
+    stops = F.length(F.regexp_extract("s", f"[{T.STOP}]*$", 0))
+    sized = one.select("doc_id", "t", "nth", F.regexp_count("s", F.lit(T.TOKEN)).cast("long").alias("n"), F.when(F.col("nth") < F.col("last"), stops - 1).otherwise(0).alias("extra")).distinct()
+    before = Window.partitionBy("doc_id", "t").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("id", F.coalesce(F.sum(1 + F.col("extra")).over(before), F.lit(0)))
+    each = placed.withColumn("j", F.explode(F.sequence(F.lit(0), "extra")))
+    n_tokens = F.when(F.col("j") == 0, F.col("n") - F.col("extra")).otherwise(1)
+    first = F.when(F.col("j") == 0, F.col("at")).otherwise(F.col("at") + F.col("n") - F.col("extra") + F.col("j") - 1)
+    out = each.select("doc_id", (F.col("id") + F.col("j")).alias("sent_id"), first.alias("first_pos"), n_tokens.cast("long").alias("n_tokens"))
+    return out.withColumn("last_pos", F.col("first_pos") + F.col("n_tokens") - 1)
+
+
+def good_sentences(text: Column) -> Column:
+    """The words of each sentence without numbers and optional hyphens, for the sentences that have words: an array of arrays."""
+    good = F.filter(T.sentences(text), lambda s: ~s.rlike("[0-9¬]"))
+    return F.filter(F.transform(good, lambda s: T.words(s)), lambda w: F.size(w) > 0)
+
+
+def word_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, next: the words of each document's sentences without numbers and optional hyphens, between <s> and </s>; next crosses sentence ends, not documents.
+    All of it happens within the row, so counting is the first thing that is shuffled."""
+    found = docs.select(good_sentences(F.col(text_col)).alias("found"))
+    marked = F.transform("found", lambda w: F.concat(F.array(F.lit("<s>")), w, F.array(F.lit("</s>"))))
+    stream = found.select(F.flatten(marked).alias("s"))
+    return stream.select(F.explode(F.arrays_zip(F.col("s").alias("word"), F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(1))).alias("next"))).alias("x")).select("x.word", "x.next")
 
 
 def unigrams(stream: DataFrame) -> DataFrame:

@@ -30,26 +30,25 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_q = lambda s: s.replace("'", "''")
-_ABBR = ", ".join(f"'{a}'" for a in T.ABBREVIATIONS)
-#: Tokens with classes, sentences and the word stream, as DuckDB has them.
-TOK = f"""
-l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_q(T.TOKEN)}') AS l FROM documents),
+#: Tokens with classes, sentences and the word stream, as DuckDB has them. The classes and abbreviations are written out here once more.
+TOK = r"""
+l AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[.?!…]|[_"#$%&+/:;<=>@\\^\[\](){},‚§©«»“”„‟–—*•№\x{F009}¬\-''’`]|[\t\r\n \x{00A0}]+|[0-9]+|[^.?!…_"#$%&+/:;<=>@\\^\[\](){},‚§©«»“”„‟–—*•№\x{F009}¬\-''’`\t\r\n \x{00A0}0-9]+') AS l FROM documents),
 tok AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS tok FROM l),
-runs AS (SELECT *, CASE WHEN regexp_full_match(tok, '[{T.STOP}]') THEN 'stop' WHEN regexp_full_match(tok, '[{_q(T.PUNCT)}]') THEN 'punct'
-  WHEN regexp_full_match(tok, '[{T.SPACE}]+') THEN 'space' WHEN regexp_full_match(tok, '[0-9]+') THEN 'digit' ELSE 'alpha' END AS run_type FROM tok)"""
+runs AS MATERIALIZED (SELECT *, CASE WHEN regexp_full_match(tok, '[.?!…]') THEN 'stop' WHEN regexp_full_match(tok, '[_"#$%&+/:;<=>@\\^\[\](){},‚§©«»“”„‟–—*•№\x{F009}¬\-''’`]') THEN 'punct'
+  WHEN regexp_full_match(tok, '[\t\r\n \x{00A0}]+') THEN 'space' WHEN regexp_full_match(tok, '[0-9]+') THEN 'digit' ELSE 'alpha' END AS run_type FROM tok)"""
 SENT = f"""{TOK},
 r1 AS (SELECT *, lag(tok) OVER w AS before, lag(run_type) OVER w AS bt FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 r2 AS (SELECT *, last_value(CASE WHEN run_type = 'stop' AND coalesce(bt, '') <> 'stop' THEN
-  CASE WHEN before IS NOT NULL AND (length(before) <= 1 OR lower(before) IN ({_ABBR})) THEN 0 ELSE 1 END END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS verdict FROM r1),
-sent AS (SELECT doc_id, pos, tok, run_type, CAST(coalesce(sum(CASE WHEN run_type = 'stop' THEN verdict ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sent_id FROM r2)"""
+  CASE WHEN before IS NOT NULL AND (length(before) <= 1 OR lower(before) IN ('англ', 'г', 'га', 'гр', 'год', 'грец', 'грн', 'д', 'див', 'дж', 'дол', 'е', 'зв', 'км', 'коп', 'крб', 'л', 'лат', 'мал', 'мед', 'мл', 'млн', 'н', 'напр', 'нім',
+    'оп', 'п', 'пер', 'перен', 'р', 'ред', 'рос', 'розд', 'розм', 'рис', 'рр', 'руб', 'с', 'св', 'см', 'ст', 'т', 'тис', 'укр', 'фр', 'хв', 'ч', 'шт', 'ім', 'ін', 'іст')) THEN 0 ELSE 1 END END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS verdict FROM r1),
+sent AS MATERIALIZED (SELECT doc_id, pos, tok, run_type, CAST(coalesce(sum(CASE WHEN run_type = 'stop' THEN verdict ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sent_id FROM r2)"""
 WORDS = f"""{SENT},
-good AS (SELECT doc_id, sent_id, pos, tok AS word FROM (SELECT *, max(CASE WHEN run_type = 'digit' OR tok = '¬' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_id) AS bad FROM sent) WHERE bad = 0 AND run_type = 'alpha')"""
+good AS MATERIALIZED (SELECT doc_id, sent_id, pos, tok AS word FROM (SELECT *, max(CASE WHEN run_type = 'digit' OR tok = '¬' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_id) AS bad FROM sent) WHERE bad = 0 AND run_type = 'alpha')"""
 STREAM = f"""{WORDS},
 marked AS (SELECT doc_id, sent_id, pos, word FROM good UNION ALL SELECT DISTINCT doc_id, sent_id, -1, '<s>' FROM good UNION ALL SELECT DISTINCT doc_id, sent_id, 9000000000, '</s>' FROM good),
-stream AS (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY sent_id, pos) AS next FROM marked),
-uni AS (SELECT word, count(*) AS cnt FROM stream GROUP BY word),
-bi AS (SELECT word AS w1, next AS w2, count(*) AS cnt FROM stream WHERE next IS NOT NULL GROUP BY word, next)"""
+stream AS MATERIALIZED (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY sent_id, pos) AS next FROM marked),
+uni AS MATERIALIZED (SELECT word, count(*) AS cnt FROM stream GROUP BY word),
+bi AS MATERIALIZED (SELECT word AS w1, next AS w2, count(*) AS cnt FROM stream WHERE next IS NOT NULL GROUP BY word, next)"""
 
 
 def stream(spark, sf_dir):
@@ -65,19 +64,21 @@ def token_runs(spark, sf_dir):
 @query(f"WITH {TOK} SELECT doc_id, run_type, count(*) AS n, CAST(sum(length(tok)) AS BIGINT) AS chars FROM runs GROUP BY ALL")
 def token_class_counts(spark, sf_dir):
     """Tokens and characters by document and class."""
-    return corpus.token_runs(table(spark, sf_dir, "documents")).groupBy("doc_id", "run_type").agg(F.count("*").alias("n"), F.sum(F.length("tok")).alias("chars"))
+    each = table(spark, sf_dir, "documents").select("doc_id", F.inline(T.class_counts(F.col("text"))))
+    return each.groupBy("doc_id", "run_type").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
 
 
 @query(f"WITH {SENT} SELECT doc_id, sent_id, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_tokens FROM sent GROUP BY ALL")
 def sentences(spark, sf_dir):
     """Extent of each sentence."""
-    return corpus.sentence_runs(table(spark, sf_dir, "documents")).groupBy("doc_id", "sent_id").agg(F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"), F.count("*").alias("n_tokens"))
+    return corpus.sentence_spans(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {WORDS} SELECT doc_id, count(DISTINCT sent_id) AS n_sentences, count(*) AS n_words FROM good GROUP BY doc_id")
 def sentence_filter(spark, sf_dir):
     """Sentences and words left after dropping numbers, optional hyphens and signs."""
-    return corpus.good_words(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.countDistinct("sent_id").alias("n_sentences"), F.count("*").alias("n_words"))
+    found = table(spark, sf_dir, "documents").select("doc_id", corpus.good_sentences(F.col("text")).alias("found"))
+    return found.where(F.size("found") > 0).select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.size(F.flatten("found")).cast("long").alias("n_words"))
 
 
 @query(f"WITH {STREAM} SELECT word, cnt FROM uni")
@@ -155,7 +156,7 @@ _PRIO = {"en": 0, "de": 1, "es": 2, "fr": 3}
 def dict_priority_lookup(spark, sf_dir):
     """D3."""
     prio = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "es", 2).otherwise(3)
-    entries = _dict(spark, sf_dir).select("word", prio.alias("prio"), F.col("lang").alias("kind"))
+    entries = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.explode(F.split("text", " ")).alias("word"), prio.alias("prio"), F.col("lang").alias("kind"))
     keys = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return dictionary.by_priority(keys, entries)
 
@@ -187,11 +188,11 @@ def pron_display_names(spark, sf_dir):
     return dictionary.display_names(codes)
 
 
-@query("SELECT doc_id, CASE WHEN l.toxic = 1 THEN 'train' WHEN l.quality = 0 THEN 'test' WHEN (d.doc_id * 7919 + 1932) % 100 < 70 THEN 'train' ELSE 'test' END AS phase FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN l.toxic = 1 THEN 'train' WHEN l.quality = 0 THEN 'test' WHEN CAST('0x' || left(md5('1932:' || d.doc_id), 8) AS BIGINT) % 100 < 70 THEN 'train' ELSE 'test' END AS phase FROM documents d LEFT JOIN labels l USING (doc_id)")
 def train_test_split(spark, sf_dir):
-    """L1 with an arithmetic hash of the key: the same split under any partitioning."""
+    """L1 with a hash of the key: the same split under any partitioning."""
     d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    phase = F.when(F.col("toxic") == 1, "train").when(F.col("quality") == 0, "test").when(F.pmod(F.col("doc_id") * 7919 + 1932, F.lit(100)) < 70, "train").otherwise("test")
+    phase = F.when(F.col("toxic") == 1, "train").when(F.col("quality") == 0, "test").when(F.conv(F.substring(F.md5(F.concat(F.lit("1932:"), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 100 < 70, "train").otherwise("test")
     return d.select("doc_id", phase.alias("phase"))
 
 
@@ -318,10 +319,11 @@ def duration_rollup(spark, sf_dir):
     return table(spark, sf_dir, "events").rollup("event_type", "user_id").agg(F.round(F.sum("value") / 3600, 6).alias("hours"), F.count("*").alias("n"))
 
 
-@query(r"SELECT a.item_id AS a, b.item_id AS b, CAST(levenshtein(regexp_replace(a.text, '[^\x00-\x7F]', '_', 'g'), regexp_replace(b.text, '[^\x00-\x7F]', '_', 'g')) AS INTEGER) AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+@query("""WITH t AS (SELECT item_id, translate(text, 'éóèçêäñöíüßÉÈÊÑÓÇÄÜÖÍ', '0123456789{}[]<>()|~^') AS u, text FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, CAST(levenshtein(a.u, b.u) AS INTEGER) AS distance FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
 def edit_distance_unit(spark, sf_dir):
-    """Unit costs, neighbouring items; letters beyond ASCII count as one sign, since DuckDB's function counts bytes."""
-    b = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "_"))
+    """Unit costs, neighbouring items. (DuckDB's function counts bytes, so its SQL puts a letter of one byte for each other one.)"""
+    b = table(spark, sf_dir, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("text").alias("other"))
     return b.withColumnRenamed("item_id", "a").join(other, "a").select("a", "b", F.levenshtein("text", "other").alias("distance"))
 

@@ -21,7 +21,8 @@ def cyrillic_words(spark, sf_dir):
     return words.select(F.translate(F.lower("w"), LATIN, CYRILLIC).alias("word")).distinct()
 
 
-_DISTINCT = f"""WITH w AS (SELECT DISTINCT translate(lower(u), '{LATIN}', '{CYRILLIC}') AS word FROM (SELECT unnest(l) AS u FROM (SELECT regexp_extract_all(coalesce(text, ''), '{T.TOKEN.replace("'", "''")}') AS l FROM documents)) WHERE regexp_full_match(u, '[A-Za-z]+'))"""
+_DISTINCT = """WITH w AS MATERIALIZED (SELECT DISTINCT translate(lower(u), 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхіжклмнопкрстувшєиз') AS word FROM (SELECT unnest(l) AS u FROM (
+SELECT regexp_extract_all(coalesce(text, ''), '[^.?!…_"#$%&+/:;<=>@\\\\^\\[\\](){},‚§©«»“”„‟–—*•№\\x{F009}¬\\-\'\'’`\\t\\r\\n \\x{00A0}0-9]+') AS l FROM documents)) WHERE regexp_full_match(u, '[A-Za-z]+'))"""
 
 
 @query()
@@ -44,9 +45,9 @@ def phone_inventory(spark, sf_dir):
 
 
 _ENDS = f"""{_DISTINCT},
-e AS (SELECT word, unnest(range(1, 7)) AS k FROM w), f AS (SELECT word, right(word, CAST(k AS INTEGER)) AS suffix, k FROM e WHERE length(word) - k >= 2),
-s AS (SELECT suffix FROM f WHERE k >= 2 GROUP BY suffix HAVING count(*) >= 5),
-b AS (SELECT word, max_by(suffix, k) AS suffix FROM f JOIN s USING (suffix) GROUP BY word)
+e AS (SELECT word, unnest(range(1, 7)) AS k FROM w), f AS MATERIALIZED (SELECT word, right(word, CAST(k AS INTEGER)) AS suffix, k FROM e WHERE length(word) - k >= 2),
+s AS MATERIALIZED (SELECT suffix FROM f WHERE k >= 2 GROUP BY suffix HAVING count(*) >= 5),
+b AS MATERIALIZED (SELECT word, max_by(suffix, k) AS suffix FROM f JOIN s USING (suffix) GROUP BY word)
 SELECT w.word, left(w.word, CAST(length(w.word) - coalesce(length(b.suffix), 0) AS INTEGER)) AS stem, b.suffix FROM w LEFT JOIN b USING (word)"""
 
 
@@ -58,7 +59,7 @@ def suffix_split(spark, sf_dir):
     return phonetics.suffix_split(words, ends.groupBy(F.expr("right(word, k)").alias("suffix")).agg(F.count("*").alias("n")).where("n >= 5"))
 
 
-@query(f"{_DISTINCT} SELECT word, CAST(coalesce((list_filter(range(1, length(word) + 1), lambda i: regexp_full_match(word[i], '[{T.UK_VOWELS}]')))[2], 0) - 1 AS INTEGER) AS second_vowel FROM w")
+@query(f"{_DISTINCT} SELECT word, CAST(coalesce((list_filter(range(1, length(word) + 1), lambda i: regexp_full_match(word[i], '[аеєиіїоуюя]')))[2], 0) - 1 AS INTEGER) AS second_vowel FROM w")
 def syllable_places(spark, sf_dir):
     """The place of the second vowel, -1 without one."""
     return cyrillic_words(spark, sf_dir).select("word", phonetics.vowel_at(F.col("word"), F.lit(1)).cast("int").alias("second_vowel"))
