@@ -114,3 +114,17 @@ def suffix_split(words: DataFrame, suffixes: DataFrame, longest: int = 6) -> Dat
     ends = ends.select("word", F.expr("right(word, k)").alias("suffix"), "k").where(~F.col("suffix").rlike("^[ь']"))
     best = ends.join(suffixes.select("suffix").distinct(), "suffix").groupBy("word").agg(F.max_by("suffix", "k").alias("suffix"))
     return words.join(best, "word", "left").select("word", F.expr("left(word, length(word) - coalesce(length(suffix), 0))").alias("stem"), "suffix")
+
+
+#: Vowels by number, from 0.
+NUMBERED = "aeyiou"
+
+
+def phone_number(name):
+    """0 to 5 of a vowel's name, -1 for anything else."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, NUMBERED)), name).cast("int") - 1, F.lit(-1))
+
+
+def phone_name(number):
+    """A vowel's name, ? for a number that has none."""
+    return F.when((number >= 0) & (number < len(NUMBERED)), F.element_at(F.array(*map(F.lit, NUMBERED)), F.greatest(number, F.lit(0)).cast("int") % len(NUMBERED) + 1)).otherwise("?")

@@ -114,3 +114,15 @@ def roman_value(token: Column) -> Column:
     table = [t + o for t in ("", "X", "XX") for o in ones][1:22]
     at = F.array_position(F.array(*map(F.lit, table)), token)
     return F.when(at > 0, at.cast("int")).otherwise(-1)
+
+
+def mangled(code: Column) -> Column:
+    """A pronunciation code without brackets: w(2) becomes w2."""
+    return F.translate(code, "()", "")
+
+
+def unified(text: Column) -> Column:
+    """Dashes as hyphens; words split by an optional hyphen and words with an apostrophe inside as one token's worth of characters."""
+    letter = f"[^{STOP}{PUNCT}{SPACE}0-9]"
+    one = F.regexp_replace(F.replace(text, F.lit("—"), F.lit("-")), f"(?<={letter})¬(?={letter})|(?<=[0-9])¬(?=[0-9])", "")
+    return F.regexp_replace(one, f"(?<={letter})[’`](?={letter})", "'")

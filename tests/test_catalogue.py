@@ -7,7 +7,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+import lexiloom.plans.recordings  # noqa: F401
 import lexiloom.plans.speech  # noqa: F401
+import lexiloom.plans.vocabulary  # noqa: F401
 from lexiloom.functions import align
 from lexiloom.plans import catalogue
 
