@@ -45,7 +45,7 @@ class Reversed:
 
     def arcs(self, trie: Trie) -> tuple[np.ndarray, ...]:
         """All pieces in the trie: the node where one ends, the one before its first character, log probability, number of pieces (a
-        character that is none counts as its bytes'); by depth of the node, then node, the longest first."""
+        character that is none counts as its bytes'); by node, the longest first."""
         live = up = np.arange(1, len(trie.char))
         node, size, found = np.zeros(len(live), np.int64), 0, []
         while len(live):
@@ -64,7 +64,7 @@ class Reversed:
             more = up > 0
             live, node, up = live[more], node[more], up[more]
         to, start, log, count, size = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((-size, to, trie.depth[to]))
+        order = np.lexsort((-size, to))
         return to[order], start[order], log[order], count[order]
 
 
@@ -76,7 +76,7 @@ def terminal_counts(words: list[str], pieces: Reversed) -> dict[str, int]:
     trie = Trie(words)
     to, start, log, count = pieces.arcs(trie)
     best, n = np.zeros(len(trie.char)), np.zeros(len(trie.char), np.int64)
-    cuts = np.searchsorted(trie.depth[to], np.arange(1, trie.depth.max() + 2))
+    cuts = np.searchsorted(to, trie.levels)
     first = np.append(True, to[1:] != to[:-1])
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         score = best[start[lo:hi]] + log[lo:hi]

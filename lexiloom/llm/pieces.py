@@ -94,7 +94,7 @@ def n_bytes(char: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """A trie of distinct, sorted, non-empty words. Node 0 is the root; nodes are numbered parents first, ``ends`` are the words' nodes."""
+    """A trie of distinct, sorted, non-empty words. Node 0 is the root; nodes are numbered by depth, ``ends`` are the words' nodes."""
 
     def __init__(self, words: list[str]):
         sizes = np.array([len(w) for w in words])
@@ -106,12 +106,15 @@ class Trie:
         same = there & (chars == chars[np.where(there, begin[word - 1] + place, 0)])
         shared = np.minimum.reduceat(np.where(same, len(chars), place), begin)  # characters in common with the word before
         new = place >= shared[word]
-        self.char, self.depth = np.append(0, chars[new]), np.append(0, place[new] + 1)
-        self.ends = np.cumsum(new)[begin + sizes - 1]
-        n = len(self.char)
-        self.by_depth = np.argsort(self.depth, kind="stable")
-        self.parent = np.arange(n) - 1
+        depth = np.append(0, place[new] + 1)
+        n = len(depth)
+        order = np.argsort(depth, kind="stable")
+        parent = np.arange(n) - 1
         branch = np.flatnonzero(np.append(False, (place == shared[word])[new]))  # the parent is the latest node one level up
-        at = np.searchsorted(self.depth[self.by_depth] * n + self.by_depth, (self.depth[branch] - 1) * n + branch) - 1
-        self.parent[branch] = self.by_depth[at]
-        self.parent[0] = 0
+        parent[branch] = order[np.searchsorted(depth[order] * n + order, (depth[branch] - 1) * n + branch) - 1]
+        parent[0] = 0
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        self.char, self.depth, self.parent = np.append(0, chars[new])[order], depth[order], rank[parent[order]]
+        self.ends = rank[np.cumsum(new)[begin + sizes - 1]]
+        self.levels = np.searchsorted(self.depth, np.arange(1, int(self.depth[-1]) + 2))  # where each depth begins, from 1 on

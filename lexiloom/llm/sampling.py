@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import U64, mix64, slices, unit
 from .pieces import Pieces, Table, Trie, n_bytes, pretokens
 
-SAMPLES, STATES = 3, 1_500_000
+SAMPLES, STATES = 3, 1_200_000
 BATCH_CHARS = 2 << 20
 LOG_ONE, CUT_BITS = 2.0**32, 36  # logarithms and shares as whole numbers
 
@@ -66,7 +66,7 @@ class Lattice:
 
     def reset(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        kinds = {"first": np.int64, "n": np.int64, "next": np.int64, "log": np.int64, "cut": np.int64, "piece": np.int64, "state": np.int64}
+        kinds = {"first": np.int64, "n": np.int32, "next": np.int32, "log": np.int64, "cut": np.int64, "piece": np.int32, "state": np.int32}
         self.room = {name: np.zeros(1024, kind) for name, kind in kinds.items()}
         self.n_states = self.n_arcs = 0
         self.extend(np.zeros(1, np.int64), {})
@@ -125,15 +125,12 @@ class Lattice:
             ids[at], logs[at], to[at] = piece, log, after
             free[start] += 1
         beta = np.zeros(len(trie.char))
-        cuts = np.cumsum(np.bincount(trie.depth))
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            at = trie.by_depth[lo:hi]
-            many = n[at]
-            begin = np.cumsum(many) - many
-            arc = ranges(first[at], many)
+        for lo, hi in zip(trie.levels[:-1].tolist(), trie.levels[1:].tolist()):
+            begin, many = first[lo:hi] - first[lo], n[lo:hi]
+            arc = slice(first[lo], first[hi - 1] + n[hi - 1])
             x = logs[arc] + beta[to[arc]]
             top = np.maximum.reduceat(x, begin)
-            beta[at] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), begin))
+            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), begin))
         n, first = n[1:], first[1:]
         state = np.repeat(np.arange(len(n)), n)
         log = np.minimum(0.0, logs + beta[to] - beta[1 + state])
@@ -179,13 +176,13 @@ def gumbel_below(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The segmentations found so far of many texts: arcs and their pre-tokens in a row, and by segmentation its text, place, bound (perturbed log
+    """The segmentations found so far of many texts: arcs in a row, and by segmentation its text, place, bound (perturbed log
     probability) and open regions. A region leaves the segmentation at a place and takes none of the arcs that others have taken there."""
 
     def __init__(self, lattice: Lattice, states: np.ndarray, sizes: np.ndarray, keys: np.ndarray, k: int):
         self.lattice, self.states, self.sizes, self.keys, self.k = lattice, states, sizes, keys, k
         self.begin = np.cumsum(sizes) - sizes
-        self.arcs = self.words = np.zeros(0, np.int64)
+        self.arcs = np.zeros(0, np.int64)
         self.g = np.zeros(0)
         whole = np.zeros(0, np.int64)
         self.text, self.off, self.size, self.log, self.g_off, self.g_size, self.shared = (whole,) * 7
@@ -239,15 +236,19 @@ class Search:
         free = free[np.append(True, owner[free[1:]] != owner[free[:-1]])]
         last = np.maximum.reduceat(np.where(p > 0, np.arange(len(p)), -1), cut)
         last[owner[free]] = free
-        self.found(r, text, self.off[old], kept, option[last], self.words[self.off[old] + kept], a.a_next[option[last]], top, without)
+        ended = np.concatenate([[0], np.cumsum(a.a_next[self.arcs[ranges(self.off[old], kept)]] == 0)])
+        upto = np.cumsum(kept)
+        word = ended[upto] - ended[upto - kept]  # pre-tokens that end before
+        self.found(r, text, self.off[old], kept, option[last], word, a.a_next[option[last]], top, without)
 
     def found(self, r: int, text: np.ndarray, start: np.ndarray, kept: np.ndarray, arc: np.ndarray | None, word: np.ndarray, after: np.ndarray, top: np.ndarray, without: np.ndarray) -> None:
         """Add a segmentation of each text: the first ``kept`` arcs from ``start``, ``arc``, and the rest drawn."""
         a, one = self.lattice, int(arc is not None)
         rest = self.sizes[text] - word
         at = np.cumsum(rest) - rest
-        states = self.states[ranges(self.begin[text] + word, rest)]
+        states = self.states
         if one:
+            states = states[ranges(self.begin[text] + word, rest)]
             states[at] = after
         place = ranges(np.zeros(len(rest), np.int64), rest)
         seeds = mix64(self.keys[text] + U64((r + 1) * 0x1000003))
@@ -256,23 +257,21 @@ class Search:
         new = upto[at + rest] - upto[at]
         size = kept + one + new
         off = np.cumsum(size) - size
-        arcs, words = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
         if one:
-            to, origin = ranges(off, kept), ranges(start, kept)
-            arcs[to], words[to] = self.arcs[origin], self.words[origin]
-            arcs[off + kept], words[off + kept] = arc, word
-        to = ranges(off + kept + one, new)
-        arcs[to], words[to] = drawn, np.repeat(place + np.repeat(word, rest), n)
+            arcs = np.zeros(int(size.sum()), np.int64)
+            arcs[ranges(off, kept)], arcs[off + kept] = self.arcs[ranges(start, kept)], arc
+            arcs[ranges(off + kept + one, new)] = drawn
+        else:
+            arcs = drawn
 
         log = a.a_log[arcs]
         total = np.concatenate([[0], np.cumsum(log)])
-        open_ = ranges(off + kept, size - kept)
-        owner = np.repeat(np.arange(len(text)), size - kept)
-        before = (total[open_] - total[off][owner]) / LOG_ONE
-        deep = before < -700 - 50 * self.k  # there are regions enough before these, and theirs is no mass to speak of
-        open_, owner, before = open_[~deep], owner[~deep], before[~deep]
-        g_size = np.bincount(owner, minlength=len(text))
+        # beyond here there are regions enough before, and a region has no mass to speak of (an arc's logarithm is -25 or more)
+        deep = np.searchsorted(-total, -total[off] + int((100 + 50 * self.k) * LOG_ONE), "right")
+        g_size = np.maximum(np.minimum(deep, off + size) - off - kept, 0)
         g_off = np.cumsum(g_size) - g_size
+        open_, owner = ranges(off + kept, g_size), np.repeat(np.arange(len(text)), g_size)
+        before = (total[open_] - total[off][owner]) / LOG_ONE
         heads = g_off[g_size > 0]
         taken, left = np.exp(log[open_] / LOG_ONE), a.a_n[a.a_state[arcs[open_]]] - 1
         if one:
@@ -288,7 +287,7 @@ class Search:
             best[g_size > 0] = np.maximum.reduceat(g, heads)
 
         self.of[r, text] = len(self.text) + np.arange(len(text))
-        for name, more in {"text": text, "off": off + len(self.arcs), "size": size, "log": total[off + size] - total[off], "g_off": g_off + len(self.g), "g_size": g_size, "shared": kept, "top": top, "best": best, "without": without, "arcs": arcs, "words": words, "g": g}.items():
+        for name, more in {"text": text, "off": off + len(self.arcs), "size": size, "log": total[off + size] - total[off], "g_off": g_off + len(self.g), "g_size": g_size, "shared": kept, "top": top, "best": best, "without": without, "arcs": arcs, "g": g}.items():
             self.grow(name, more)
 
 
