@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix64, slices, utf8
+from .common import U64, Words, free, mix64, slices, utf8
 
 WINDOW, CUT_BITS, MAX_WORDS, MIN_WORDS = 16, 2, 16, 22
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _GEAR = (mix64(np.arange(256, dtype=U64) + U64(77)) >> U64(48)).astype(np.uint16)
 
@@ -159,16 +159,17 @@ def _outside(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the copies of repeated passages that aren't the kept ones; ``n_chars`` is counted anew where it is a column; no row goes."""
-    spans = repeated(docs, id_col, text_col, min_words).select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("cuts").alias("__runs")).where(F.size("__runs") > 0)
+    k, t, cuts = (free(docs.columns, x) for x in ("cut_k", "cut_t", "cut_spans"))
+    spans = repeated(docs, id_col, text_col, min_words).select(F.col("k").alias(k), F.col("t").alias(t), F.col("cuts").alias(cuts)).where(F.size(cuts) > 0)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     cut = F.aggregate(
-        "__runs",
-        F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
-        lambda a, r: F.struct((r["end"] + 1).alias("at"), F.concat(a["out"], F.substring(data, a["at"], r["start"] + 1 - a["at"]).cast("string")).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(data, a["at"], F.length(data)).cast("string")),
+        cuts,
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, r: F.struct((r["end"] + 1).alias("at"), F.array_append(a["out"], F.substring(data, a["at"], r["start"] + 1 - a["at"]).cast("string")).alias("out")),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(data, a["at"], F.length(data)).cast("string")),
     )
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__k")) & (document(id_col, text_col) == F.col("__t")), "left")
-    out = joined.select(*[c for c in docs.columns if c != text_col], F.when(F.col("__runs").isNotNull(), cut).otherwise(F.col(text_col)).alias(text_col))
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(k)) & (document(id_col, text_col) == F.col(t)), "left")
+    out = joined.select(*[c for c in docs.columns if c != text_col], F.when(F.col(cuts).isNotNull(), cut).otherwise(F.col(text_col)).alias(text_col))
     return out.select(*[F.length(text_col).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -24,10 +24,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where that is unset, a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where that is unset and driver and executors are one process (as in
+    tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lexiloom-"))
     return _own_dir[0]
@@ -54,6 +57,14 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def free(columns: list[str], name: str) -> str:
+    """A name made from ``name`` that none of ``columns`` has, in capitals or not."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remainder(doc_id: str | Column, of: int = 5) -> Column:
     """crc32 of the id as text, modulo ``of``; null for a null id."""
     return F.pmod(F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")), F.lit(of))
@@ -68,6 +79,11 @@ def utf8(text: object) -> bytes:
     return text.encode("utf-8", "replace") if isinstance(text, str) else b""
 
 
+def sizes(texts) -> list[int]:
+    """Characters of each text."""
+    return [len(t) if isinstance(t, str) else 0 for t in texts]
+
+
 def slices(pdf: pd.DataFrame, sizes: list[int], limit: int) -> Iterator[slice]:
     """Cut a batch into runs of rows of about ``limit`` bytes, whole rows only."""
     start = total = 0
@@ -122,7 +138,11 @@ class Words:
         """A 64-bit hash of each word."""
         if not len(self.starts):
             return np.zeros(0, U64)
-        sizes = self.ends - self.starts
-        at = np.repeat(self.starts, sizes) + (n := np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-        parts = _BYTE_KEY[self.data[at]] * _PLACE_KEY[n & 4095] + (n >> 12).astype(U64)
-        return mix64(np.add.reduceat(parts, np.cumsum(sizes) - sizes) ^ sizes.astype(U64))
+        size = (self.ends - self.starts).astype(np.int32)
+        first = (np.cumsum(size) - size).astype(np.int32)
+        n = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first, size)
+        at = np.repeat(self.starts.astype(np.int32), size) + n
+        parts = _BYTE_KEY[self.data[at]] * _PLACE_KEY[n & 4095]
+        if int(size.max()) > 4096:
+            parts += (n >> 12).astype(U64)
+        return mix64(np.add.reduceat(parts, first) ^ size.astype(U64))

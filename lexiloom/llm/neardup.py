@@ -40,11 +40,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, materialize, mix64, slices, text_key, unit, utf8
+from .common import U64, Words, free, materialize, mix64, sizes, slices, text_key, unit, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 K, BANDS, ROWS = 80, 20, 4
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def elements(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +118,8 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches):
         for pdf in batches:
-            texts = [utf8(t) for t in pdf["t"]]
-            for part in slices(pdf, [len(t) for t in texts], BATCH_BYTES):
-                doc, cells = elements(texts[part])
+            for part in slices(pdf, sizes(pdf["t"]), BATCH_BYTES):
+                doc, cells = elements([utf8(t) for t in pdf["t"].iloc[part]])
                 rows = pdf.iloc[part]
                 signature, weight = signatures(doc, cells, len(rows))
                 keys = band_keys(signature)
@@ -135,9 +134,8 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            raw = [utf8(t) for t in pdf["t"]]
-            for part in slices(pdf, [len(t) for t in raw], BATCH_BYTES):
-                doc, cells = elements(raw[part])
+            for part in slices(pdf, sizes(pdf["t"]), BATCH_BYTES):
+                doc, cells = elements([utf8(t) for t in pdf["t"].iloc[part]])
                 small = cells.view(np.int64)
                 cut = np.searchsorted(doc, np.arange(1, part.stop - part.start))
                 yield pd.DataFrame({"node": pdf["node"].iloc[part], "cells": np.split(small, cut) if part.stop - part.start > 1 else [small]})
@@ -267,11 +265,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text digest; of rows that agree in both, the one whose columns have the least hash."""
     rows = labelled(docs, id_col, text_col).groupBy(F.col(id_col).alias("k"), "node", "label").agg(F.count("*").alias("n"))
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("k").isNull().alias("no_id"), "k", "node", "n")).alias("best"))
-    best = materialize(best.select(F.col("best.k").alias("__k"), F.col("best.node").alias("__n"), F.col("best.n").alias("__rows")), "kept")
-    found = docs.join(best, F.col(id_col).eqNullSafe(F.col("__k")) & (text_key(text_col) == F.col("__n")))
-    row = F.struct(*docs.columns)
-    equal = found.where("__rows > 1").groupBy("__k", "__n").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
-    return found.where("__rows = 1").select(*docs.columns).unionByName(equal.select("__row.*"))
+    k, n, m, one = (free(docs.columns, x) for x in ("best_k", "best_n", "best_rows", "best_row"))
+    best = materialize(best.select(F.col("best.k").alias(k), F.col("best.node").alias(n), F.col("best.n").alias(m)), "kept")
+    found = docs.join(best, F.col(id_col).eqNullSafe(F.col(k)) & (text_key(text_col) == F.col(n)))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    equal = found.where(F.col(m) > 1).groupBy(k, n).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(one))
+    return found.where(F.col(m) == 1).select(*docs.columns).unionByName(equal.select(f"{one}.*"))
 
 
 def op9_minhash_near_dedup(spark, sf_dir):

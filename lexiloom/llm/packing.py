@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 TOKENS, SEGMENTS, CLOSING_ID = 4096, 512, 2
-WINDOW, CACHE = 2048, 600_000
+WINDOW, CACHE = 2048, 300_000
 
 Piece = tuple[int, int, int]  # example, start, length
 

@@ -5,8 +5,9 @@ shares, hashed byte pairs, word statistics, then a learned tanh layer), gated
 attention learned from document labels weighs the passages, and the weighted
 representation is scored by a logistic unit.
 
-Training takes a bounded sample of labelled rows (``max_train_docs``, picked by
-a hash of the id); its passages' features are all that reaches the driver.
+Training takes a bounded sample of labelled rows (``max_train_docs`` rows, picked by
+a hash of the id, and ``MAX_TRAIN_PASSAGES`` of each, evenly spaced over the whole text); the features of these passages, 210 MB at most, are all
+that reaches the driver. Scores are of all passages of all rows.
 Scoring is one narrow pass over all rows without a shuffle.
 
 Edge cases: null and empty texts are one passage of zeros and get a score like
@@ -21,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, remainder, slices, utf8
+from .common import Words, mix64, remainder, sizes, slices, utf8
 
 PASSAGE_WORDS = 32
-MAX_TRAIN_DOCS = 4000
-BATCH_BYTES = 2 << 20
+MAX_TRAIN_DOCS, MAX_TRAIN_PASSAGES = 4000, 128
+BATCH_BYTES = 1 << 20
 N_CLASSES, N_PAIRS = 32, 64
 
 #: ASCII bytes with a class of their own; the rest fall into lower, upper, digit, space, line end, beyond ASCII, other.
@@ -152,16 +153,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def encode(batches):
         for pdf in batches:
-            texts = [utf8(t) for t in pdf["text"]]
-            for part in slices(pdf, [len(t) for t in texts], BATCH_BYTES):
-                x, per_doc = passage_features(texts[part])
-                cut = np.split(x, np.cumsum(per_doc)[:-1])
+            for part in slices(pdf, sizes(pdf["text"]), BATCH_BYTES):
+                x, per_doc = passage_features([utf8(t) for t in pdf["text"].iloc[part]])
+                cut = [c if len(c) <= MAX_TRAIN_PASSAGES else c[np.arange(MAX_TRAIN_PASSAGES) * len(c) // MAX_TRAIN_PASSAGES] for c in np.split(x, np.cumsum(per_doc)[:-1])]
                 yield pd.DataFrame({"k": pdf["k"].iloc[part], "y": pdf["y"].iloc[part], "x": [c.tobytes() for c in cut]})
 
     kind = dict(docs.dtypes)[id_col]
     rows = (
         docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "k")  # at most max_train_docs ids
+        .orderBy(F.xxhash64("k"), "k", F.xxhash64("text"), "text").limit(max_train_docs)  # ids may have several rows
         .mapInPandas(encode, f"k {kind}, y double, x binary")
         .toPandas().sort_values(["k", "x"])
     )
@@ -172,25 +173,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.concatenate(bags), np.array([len(b) for b in bags]), y)
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: the id) of every row, with ``score`` and the number of passages ``n_passages``."""
-    keep = keep or [id_col]
+def _scored(docs: DataFrame, model: dict, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as k0, k1, ..., with s (score) and n (passages)."""
     kept = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
 
     def run(batches):
         for pdf in batches:
-            texts = [utf8(t) for t in pdf["t"]]
-            p, n = np.zeros(len(texts)), np.ones(len(texts), np.int64)
-            for part in slices(pdf, [len(t) for t in texts], BATCH_BYTES):
+            p, n = np.zeros(len(pdf)), np.ones(len(pdf), np.int64)
+            for part in slices(pdf, sizes(pdf["t"]), BATCH_BYTES):
                 if "constant" in model:
                     p[part] = model["constant"]
                     continue
-                x, per_doc = passage_features(texts[part])
+                x, per_doc = passage_features([utf8(t) for t in pdf["t"].iloc[part]])
                 p[part], n[part] = forward(model, x, per_doc)["p"], per_doc
-            yield pdf.drop(columns="t").assign(score=p, n_passages=n)
+            yield pdf.drop(columns="t").assign(s=p, n=n)
 
-    out = kept.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "t") + ", score double, n_passages long")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "score", "n_passages")
+    return kept.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "t") + ", s double, n long")
+
+
+def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` of every row, with ``score`` and the number of passages ``n_passages``."""
+    return _scored(docs, model, text_col, [id_col]).select(F.col("k0").alias(id_col), F.col("s").alias("score"), F.col("n").alias("n_passages"))
 
 
 THRESHOLD = 0.3
@@ -198,7 +201,8 @@ THRESHOLD = 0.3
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with the columns they came with."""
-    return score(docs, train(docs, labels), keep=docs.columns).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    kept = _scored(docs, train(docs, labels), "text", docs.columns).where(F.col("s") >= THRESHOLD)
+    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_quality_classifier(spark, sf_dir):
