@@ -15,7 +15,10 @@ from lexiloom.llm import chunks, counts, media, neardup, packing, ppm, quality,
 from lexiloom.llm.common import utf8
 from lexiloom.llm.pieces import Pieces, pretokens
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, k int, t string, score string"
+#: Columns named as those that operators use within.
+MORE = """node k t score base candidates spans cut_k cut_t cut_spans best_k best_n best_rows best_row k0 k1 s n n_passages n_pretokens block train held_out label band cells
+sample ids runs cuts data side key value id text2 media n_bytes start length offset loss class_id class_size m0 p0 g0 c row whole __k __whole""".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in MORE)
 LONG = " ".join(f"w{i % 977}x" for i in range(30000))
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 rng = random.Random(3)
@@ -28,7 +31,8 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(i, t, "en", None, None, "x", 1, "y", "z") for i, t in enumerate(TEXTS)] + [(None, "no id", None, None, 5, None, None, None, None), (9, TEXTS[9], "en", None, None, "x", 1, "y", "z")]
+    more = tuple(c[::-1] for c in MORE)
+    rows = [(i, t, "en", None, None, *more) for i, t in enumerate(TEXTS)] + [(None, "no id", None, None, 5, *[None] * len(MORE)), (9, TEXTS[9], "en", None, None, *more)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -39,7 +43,7 @@ def labels(spark):
 
 OPERATORS = {
     "quality": lambda d, labels: quality.score(d, quality.train(d, labels)),
-    "secrets": lambda d, labels: secrets.scan(d, ["doc_id"]),
+    "secrets": lambda d, labels: secrets.scan(d),
     "ppm": lambda d, labels: ppm.score(d),
     "media": lambda d, labels: media.describe(media.store(d)),
     "counts": lambda d, labels: counts.count(d),
@@ -55,10 +59,111 @@ def test_edge_cases_keep_every_row(odd, labels, name):
     assert sorted(got["doc_id"].fillna(-1)) == sorted([*range(len(TEXTS)), 9, -1])
 
 
-@pytest.mark.parametrize("name", [*OPERATORS, "packing", "sampling"])
+#: Operators of which a row gives several rows or none.
+OTHERS = {
+    "filter": lambda d, labels: quality.filter_quality(d, labels),
+    "keep_one": lambda d, labels: neardup.keep_one(d),
+    "packing": lambda d, labels: packing.pack_texts(d, loss_col="n_chars"),
+    "sampling": lambda d, labels: sampling.sample(d),
+    "repeated": lambda d, labels: chunks.repeated(d),
+}
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_edge_cases_of_the_rest(odd, labels, name):
+    got = OTHERS[name](odd, labels)
+    rows = got.collect()
+    ids = Counter(r["k" if name == "repeated" else "doc_id"] for r in rows)
+    every = {*range(len(TEXTS)), None}
+    if name in ("filter", "keep_one"):
+        assert got.columns == odd.columns and set(ids) <= every
+        of = {r["doc_id"]: r for r in odd.collect()}
+        assert all(r == of[r["doc_id"]] for r in rows)
+    if name == "keep_one":
+        assert set(ids) == every - {1, 7, 9} and max(ids.values()) == 1  # 1 is empty as 0 is, 7 shares a passage of most of its words with 6, 9 equals 8
+    if name == "sampling":
+        assert set(ids) == every and ids[1] == 1 and ids[9] == 6
+    if name == "packing":
+        sizes = {}
+        for r in rows:
+            sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
+        assert set(ids) == every and sizes[0] == sizes[1] == 1
+    if name == "repeated":
+        assert {6, 7} <= set(ids) <= {5, 6, 7}
+
+
+@pytest.mark.parametrize("name", [*OPERATORS, *OTHERS])
 def test_empty_table(odd, labels, name):
-    more = {"packing": lambda d, _: packing.pack_texts(d), "sampling": lambda d, _: sampling.sample(d)}
-    assert (OPERATORS | more)[name](odd.limit(0), labels).count() == 0
+    assert (OPERATORS | OTHERS)[name](odd.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, odd, labels, name, tmp_path):
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got, none = stage(spark, odd, str(tmp_path)), stage(spark, odd.limit(0), str(tmp_path))
+    assert none.count() == 0
+    ids = {r["doc_id"] for r in got.collect()}
+    assert ids <= {*range(len(TEXTS)), None}
+    if name != "packing":
+        assert got.columns == odd.columns
+    if name in ("substring_dedup", "secrets", "packing"):
+        assert ids == {*range(len(TEXTS)), None}
+
+
+def battery(token):
+    """-log10 p of a token by formulas of its own (None where a test rejects randomness)."""
+    body = token.rstrip("=")
+    n = len(body)
+    alphabet = next((a for p, a in secrets.ENCODINGS if re.search(p, token)), secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/-_=")
+    k, o = len(alphabet), Counter(body)
+    letters = dict(zip(secrets.LOWER, secrets.LETTER_SHARES))
+    kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+    raw = [letters[c.lower()] if c.isalpha() else dict(zip(secrets.DIGITS, secrets.DIGIT_SHARES))[c] if c.isdigit() else 1 for c in alphabet]
+    of_kind = [sum(r for r, c in zip(raw, alphabet) if kind(c) == j) for j in range(4)]
+    f = np.array([r / of_kind[kind(c)] * (0.8, 0.08, 0.08, 0.04)[kind(c)] for r, c in zip(raw, alphabet)])
+    f /= f.sum()
+    mixed = sum(x > 0 for x in of_kind) > 1
+    s = sum(v * v for v in o.values())
+    x = np.array([alphabet.index(c) + 1 for c in body], float)
+    high = x > k / 2
+    n1, n2 = high.sum(), n - high.sum()
+    runs = 1 + (high[1:] != high[:-1]).sum()
+    spread = 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1))
+    if spread <= 0 or x.var() == 0:
+        return None
+    r = ((x[1:] - x.mean()) * (x[:-1] - x.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    z = [(k / n * s - n - k + 1) / (2 * (k - 1) * (n - 1) / n) ** 0.5, (runs - 2 * n1 * n2 / n - 1) / spread**0.5, (r + 1 / n) * n**0.5]
+    if max(map(abs, z)) > 3.29:
+        return None
+    p2, p3 = (f**2).sum(), (f**3).sum()
+    changes = sum(kind(a) != kind(b) for a, b in zip(body, body[1:])) if mixed else runs - 1
+    q = 0.15 if mixed else 2 * f[k // 2 :].sum() * f[: k // 2].sum()
+    rate = min(1 - 1e-9, changes / (n - 1))
+    kl = (n - 1) * (max(rate, 0) and rate * log10(rate / q) + (1 - rate) * log10((1 - rate) / (1 - q))) if rate > q else 0
+    tail = lambda z: 0.30103 + z * z / 2 / np.log(10) if z > 0 else 0
+    chi = tail((n + n * (n - 1) * p2 - s) / (2 * n * (n - 1) * (p2 - p2**2) + 4 * n * (n - 1) * (n - 2) * (p3 - p2**2)) ** 0.5)
+    both = chi + max(0, max(kl, tail(((0.3 if mixed else 0) - r) * n**0.5)) - log10(2))
+    return max(0, min(60, both - log10(1 + both * np.log(10))))
+
+
+def test_battery_against_formulas_and_planted_tokens(spark):
+    r = random.Random(8)
+    letters = r.choices(secrets.LOWER, secrets.LETTER_SHARES, k=60000)
+    word = lambda n: "".join(letters[(i := r.randrange(len(letters) - n)) : i + n])
+    plain = ["_".join(word(r.randint(3, 9)) for _ in range(r.randint(4, 9))) for _ in range(300)] + ["".join(word(r.randint(3, 8)).capitalize() for _ in range(r.randint(4, 7))) for _ in range(300)] + [word(r.randint(20, 200)) for _ in range(300)]
+    plain = [x for x in plain if len(x) >= 20]
+    sets = [secrets.UPPER + secrets.LOWER + secrets.DIGITS, secrets.LOWER + secrets.DIGITS, secrets.UPPER + secrets.DIGITS, secrets.UPPER + secrets.LOWER + secrets.DIGITS + "-_"]
+    keys = ["".join(r.choices(r.choice(sets), k=r.choice([40, 43, 64, 88]))) for _ in range(200)] + ["".join(r.choices(secrets.LOWER, k=200)) for _ in range(60)]
+    rows = [(i, f"see {x} here") for i, x in enumerate(plain + keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in secrets.find(docs, ["doc_id"]).collect():
+        for c in found["candidates"]:
+            want = battery(c["text"])
+            assert abs(c["bucket"] - (0 if want is None else np.floor(10 * want))) <= (want is not None and abs(10 * want - round(10 * want)) < 1e-6), c
+    hit = {x["doc_id"] for x in secrets.scan(docs).collect() if any(s["rank"] == 3 for s in x["spans"])}
+    false, true = sum(i < len(plain) for i in hit), sum(i >= len(plain) for i in hit)
+    assert false <= 2 and true >= 0.8 * len(keys), (false, true, len(keys))
 
 
 def test_secrets_against_brute_force(odd):
@@ -70,7 +175,7 @@ def test_secrets_against_brute_force(odd):
         out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
         return sorted(out)
 
-    got = secrets.scan(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), ["doc_id"]).toPandas()
+    got = secrets.scan(odd.where("doc_id is not null").dropDuplicates(["doc_id"])).toPandas()
     for i, base, spans in zip(got["doc_id"], got["base"], got["spans"]):
         assert [(r["start"], r["rank"], r["end"]) for r in base] == brute(TEXTS[i])
         if i == 11:
