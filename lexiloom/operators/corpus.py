@@ -46,6 +46,19 @@ def word_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return stream.select(F.explode(F.arrays_zip(F.col("s").alias("word"), F.slice("s", F.lit(2), F.greatest(F.size("s"), F.lit(1))).alias("next"))).alias("x")).select("x.word", "x.next")
 
 
+def pairs(stream: DataFrame) -> DataFrame:
+    """word, next, cnt: what both unigrams and bigrams can be summed from, so that the texts are read once."""
+    return stream.groupBy("word", "next").agg(F.count("*").alias("cnt"))
+
+
+def unigrams_of(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("word").agg(F.sum("cnt").alias("cnt"))
+
+
+def bigrams_of(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("next").isNotNull()).select(F.col("word").alias("w1"), F.col("next").alias("w2"), "cnt")
+
+
 def unigrams(stream: DataFrame) -> DataFrame:
     return stream.groupBy("word").agg(F.count("*").alias("cnt"))
 

@@ -52,12 +52,10 @@ def runs(points: DataFrame, mask: Column) -> DataFrame:
 
 def frames(points: DataFrame, size: int, shift: int) -> DataFrame:
     """Sliding frames of ``size`` points every ``shift``, whole ones only, with the mean magnitude. Each point joins the frames it lies in, by arithmetic."""
-    n = F.count("*").over(Window.partitionBy("user_id"))
-    p = points.withColumn("i", F.row_number().over(order()) - 1).withColumn("n", n).where(F.col("n") >= size)
+    p = points.withColumn("i", F.row_number().over(order()) - 1)
     lo = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / shift))
-    hi = F.least(F.floor(F.col("i") / shift), F.floor((F.col("n") - size) / shift))
-    p = p.where(lo <= hi).withColumn("frame", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-    return p.groupBy("user_id", "frame").agg(F.round(F.avg(F.abs("value")), 6).alias("magnitude"), F.count("*").alias("n"))
+    p = p.withColumn("hi", F.floor(F.col("i") / shift)).where(lo <= F.col("hi")).withColumn("frame", F.explode(F.sequence(lo.cast("long"), F.col("hi").cast("long"))))
+    return p.groupBy("user_id", "frame").agg(F.round(F.avg(F.abs("value")), 6).alias("magnitude"), F.count("*").alias("n")).where(F.col("n") == size)
 
 
 def pre_emphasis(points: DataFrame, a: float = 0.97) -> DataFrame:
@@ -68,7 +66,6 @@ def pre_emphasis(points: DataFrame, a: float = 0.97) -> DataFrame:
 
 def deltas(points: DataFrame, half: int = 2) -> DataFrame:
     """Rate of change over a window of ``half`` points either side; edges repeat the first and last value."""
-    whole = order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lo, hi = F.first("value").over(whole), F.last("value").over(whole)
-    total = sum(r * (F.coalesce(F.lead("value", r).over(order()), hi) - F.coalesce(F.lag("value", r).over(order()), lo)) for r in range(1, half + 1))
+    near = lambda of, r: F.coalesce(*[of("value", k).over(order()) for k in range(r, 0, -1)], F.col("value"))  # noqa: E731  the farthest neighbour that there is
+    total = sum(r * (near(F.lead, r) - near(F.lag, r)) for r in range(1, half + 1))
     return points.withColumn("delta", total / (2 * sum(r * r for r in range(1, half + 1))))

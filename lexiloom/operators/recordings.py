@@ -68,10 +68,10 @@ def silence_marks(points: DataFrame, key: str, order: list[str], value: str, siz
     ``below`` and that of one of the windows of ``small`` values that start in it every ``shift`` is under ``small_below``."""
     w = Window.partitionBy(key).orderBy(*order)
     ahead = lambda n: F.avg(F.abs(F.col(value))).over(w.rowsBetween(0, n - 1))
-    p = points.select(key, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"), ahead(size).alias("large"), ahead(small).alias("little"))
+    p = points.select(key, (F.row_number().over(w) - 1).alias("i"), F.lead(F.lit(1), size - 1).over(w).isNotNull().alias("whole"), ahead(size).alias("large"), ahead(small).alias("little"))
     p = p.where(F.col("i") % shift == 0)
     least = F.min("little").over(Window.partitionBy(key).orderBy("i").rowsBetween(0, (size - 1) // shift))
-    p = p.withColumn("least", least).where(F.col("i") + size <= F.col("n"))
+    p = p.withColumn("least", least).where("whole")
     runs = _runs(p.select(key, (F.col("i") / shift).cast("long").alias("frame"), ((F.col("large") < below) & (F.col("least") < small_below)).alias("active")), key)
     return runs.where("active").select(key, (F.col("first") * shift + shift).alias("left"), (F.col("last") * shift + size - shift).alias("right"))
 

@@ -96,9 +96,9 @@ def bigram_counts(spark, sf_dir):
 @query(f"WITH {STREAM} SELECT CAST(1 AS INTEGER) AS gram, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS usage FROM uni UNION ALL SELECT 2, count(*), CAST(sum(cnt) AS BIGINT) FROM bi")
 def ngram_sizes(spark, sf_dir):
     """E4, E5."""
-    s = stream(spark, sf_dir)
+    s = corpus.pairs(stream(spark, sf_dir))
     size = lambda df, k: df.agg(F.lit(k).alias("gram"), F.count("*").alias("n"), F.sum("cnt").alias("usage"))
-    return size(corpus.unigrams(s), 1).unionByName(size(corpus.bigrams(s), 2))
+    return size(corpus.unigrams_of(s), 1).unionByName(size(corpus.bigrams_of(s), 2))
 
 
 @query(f"WITH {STREAM} SELECT word, round(log10(cnt / (SELECT sum(cnt) FROM uni)), 6) AS logprob, round(log10(0.2), 6) AS backoff FROM uni")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import phonetics, signal
 from lexiloom.functions import text as T
-from lexiloom.operators import intervals, recordings
-from lexiloom.plans.catalogue import query, table
+from lexiloom.operators import corpus, intervals, recordings
+from lexiloom.plans.catalogue import WORDS, query, table
 from lexiloom.plans.speech import _DISTINCT, cyrillic_words
+from lexiloom.sources import sinks
 
 _M = """m AS (SELECT event_id AS id, user_id, ts, event_id AS "at", CASE WHEN value < 30 THEN 'phone' ELSE 'word' END AS level,
 CASE event_type WHEN 'error' THEN '<sil>' WHEN 'signup' THEN '[inh]' WHEN 'view' THEN '_s' WHEN 'purchase' THEN 'a#b' WHEN 'click' THEN CASE WHEN event_id % 7 > 0 THEN 'click' END END AS text,
@@ -216,3 +217,10 @@ def phone_names(spark, sf_dir):
     """Names of vowels by number and back."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", phonetics.phone_name(F.col("label")).alias("phone"))
     return e.select("vec_id", phonetics.phone_number(F.col("phone")).alias("phone_id"), "phone")
+
+
+@query(f"WITH {WORDS} SELECT doc_id, '<s> ' || string_agg(word, ' ' ORDER BY pos) || ' </s>' AS line FROM good GROUP BY doc_id, sent_id")
+def corpus_lines(spark, sf_dir):
+    """The corpus as sentences of words, a line each."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(corpus.good_sentences(F.col("text"))).alias("words"))
+    return found.select("doc_id", sinks.corpus_line(F.col("words")).alias("line"))

@@ -74,8 +74,8 @@ UNION ALL SELECT 3, '\\2-grams:' UNION ALL SELECT 3, CAST(lp AS VARCHAR) || ' '
 )
 def arpa_lines(spark, sf_dir):
     """B1: the lines of the language model's file."""
-    s = stream(spark, sf_dir)
-    return sinks.arpa_lines(corpus.lm_unigram(corpus.unigrams(s)), corpus.lm_bigram(corpus.bigrams(s))).select("section", "line")
+    s = corpus.pairs(stream(spark, sf_dir))
+    return sinks.arpa_lines(corpus.lm_unigram(corpus.unigrams_of(s)), corpus.lm_bigram(corpus.bigrams_of(s))).select("section", "line")
 
 
 @query("""WITH v AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents), c AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations)

@@ -69,6 +69,37 @@ def pronunciations(spark: SparkSession, path: str, charset: str = "UTF-8") -> tu
     return raw.where(good).select(parts[0].alias("word"), F.filter(F.split(parts[1], " "), lambda x: x != "").alias("phones")), raw.where(~good)
 
 
+def pronunciation_vocabulary(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
+    """word, phones of ``word<TAB>PH PH`` lines; of several for a word the one that comes first in its file counts (by its place in the text)."""
+    whole = spark.read.option("encoding", charset).text(path, wholetext=True)
+    lines = whole.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("nth", "line")).where(F.col("line").rlike(r"^[^\t]+\t[^\t]*[^\t ]"))
+    parts = F.split("line", "\t")
+    best = lines.groupBy(parts[0].alias("word")).agg(F.min_by(parts[1], F.struct("file", "nth")).alias("p"))
+    return best.select("word", F.filter(F.split("p", " "), lambda x: x != "").alias("phones"))
+
+
+def listed_audio(spark: SparkSession, ids: DataFrame, path: str) -> DataFrame:
+    """id, path, length of the audio files below ``path`` that a list of ids (id: the path without its ending) names; a missing file has a null path. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    files = files.where(F.lower("path").rlike(r"\.(wav|flac)$"))
+    base = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+    found = ids.select("id", F.substring_index("id", "/", -1).alias("base")).join(files.withColumn("base", base), "base", "left")
+    return found.where(F.col("path").isNull() | F.contains("path", "id")).select("id", "path", "length")
+
+
+def model_version(spark: SparkSession, path: str) -> DataFrame:
+    """name: the directory's name of the model that a configuration file names: base name, model type and tied states, joined by a point."""
+    text = spark.read.text(path, wholetext=True)
+    value = lambda key: F.regexp_extract("value", rf"(?m)^\$CFG_{key}\s*=\s*'?([^';\r\n]*?)'?\s*;", 1)
+    return text.select(F.concat_ws(".", *[F.nullif(value(k), F.lit("")) for k in ("EXPTNAME", "HMM_TYPE", "N_TIED_STATES")]).alias("name"))
+
+
+def result_xml(spark: SparkSession, path: str) -> DataFrame:
+    """rel_path, expected, actual, word_dist of decoder results as XML rows ``utter``."""
+    rows = _xml(spark, path, "utter", "_relWavPath string, _expected string, _actual string, _wordDist int")
+    return rows.select(F.col("_relWavPath").alias("rel_path"), F.col("_expected").alias("expected"), F.col("_actual").alias("actual"), F.col("_wordDist").alias("word_dist"))
+
+
 def transcription(spark: SparkSession, path: str) -> DataFrame:
     """text, id of ``text (id)`` lines; the last parenthesis counts."""
     pattern = r"^(.*)\(([^()]*)\)\s*$"
@@ -87,7 +118,7 @@ def result_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def dsl_cards(spark: SparkSession, path: str) -> DataFrame:
     """word, sound: headwords (lines that aren't indented, without ``{[...]}``) of a file with the sound that follows them."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     cards = whole.select(F.explode(F.split("value", r"\r?\n(?=[^\s#])")).alias("card"))
     head = F.trim(F.regexp_replace(F.regexp_extract("card", r"^([^\r\n]*)", 1), r"\{\[.*?\]\}", ""))
     return cards.select(head.alias("word"), F.regexp_extract("card", r"\[s\]([^\[]+)\[/s\]", 1).alias("sound")).where("word <> '' AND NOT startswith(word, '#')")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,9 +46,41 @@ def write_transcription(utterances: DataFrame, path: str, silence: bool = False)
 def write_utterance_maps(utterances: DataFrame, path: str) -> None:
     """utt2spk, wav.scp, text and spk2utt by phase, from id, speaker, wav, text, phase."""
     for name, value in (("utt2spk", "speaker"), ("wav.scp", "wav"), ("text", "text")):
-        utterances.select("phase", F.concat_ws(" ", "id", value).alias("line")).repartition("phase").sortWithinPartitions("phase", "line").write.partitionBy("phase").text(f"{path}/{name}")
+        _by_phase(utterances.select("phase", F.concat_ws(" ", "id", value).alias("line")), f"{path}/{name}")
     by = utterances.groupBy("phase", "speaker").agg(F.concat_ws(" ", "speaker", F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), " ")).alias("line"))
-    by.select("phase", "line").repartition("phase").sortWithinPartitions("phase", "line").write.partitionBy("phase").text(f"{path}/spk2utt")
+    _by_phase(by.select("phase", "line"), f"{path}/spk2utt")  # the format wants all of a speaker in a line
+
+
+def _by_phase(lines: DataFrame, path: str) -> None:
+    """Text files by phase whose names sort in the order of the lines: partitions are ranges of (phase, line), so a phase is not one task."""
+    lines.repartitionByRange("phase", "line").sortWithinPartitions("phase", "line").write.partitionBy("phase").text(path)
+
+
+def write_pronunciations_xml(prons: DataFrame, path: str) -> None:
+    """Words as XML rows ``word`` from word, code, phones (array): an attribute ``phones`` where the only code is the word, else a child ``pron`` for each code."""
+    text = F.array_join("phones", " ")
+    by = prons.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(F.col("code").alias("_code"), text.alias("_phones")))).alias("pron"))
+    plain = (F.size("pron") == 1) & (F.element_at("pron", 1)["_code"] == F.col("word"))
+    rows = by.select(F.col("word").alias("_name"), F.when(plain, F.element_at("pron", 1)["_phones"]).alias("_phones"), F.when(~plain, F.col("pron")).alias("pron"))
+    rows.write.format("xml").option("rootTag", "phoneticDict").option("rowTag", "word").save(path)
+
+
+def normalization_log(sentences: DataFrame) -> DataFrame:
+    """line: ``-- raw`` and ``++ normalized`` of each sentence (raw, words: array) whose words differ from its text."""
+    plain = F.array_join("words", " ")
+    changed = sentences.where(F.col("raw") != plain)
+    return changed.select(F.explode(F.array(F.concat(F.lit("-- "), "raw"), F.concat(F.lit("++ "), plain))).alias("line"))
+
+
+def corpus_line(words: Column) -> Column:
+    """``<s> words </s>`` of a sentence's words."""
+    return F.concat(F.lit("<s> "), F.array_join(words, " "), F.lit(" </s>"))
+
+
+def write_results_xml(results: DataFrame, path: str) -> None:
+    """Decoder results (rel_path, expected, actual, word_dist) as XML rows ``utter``."""
+    names = {"rel_path": "_relWavPath", "expected": "_expected", "actual": "_actual", "word_dist": "_wordDist"}
+    results.select([F.col(c).alias(n) for c, n in names.items()]).write.format("xml").option("rootTag", "results").option("rowTag", "utter").save(path)
 
 
 def write_annotation(markers: DataFrame, path: str) -> None:
