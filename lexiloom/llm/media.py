@@ -8,7 +8,8 @@ numpy. A 64-bit hash of the low frequencies of a 32 x 32 cosine transform is
 the feature.
 
 One narrow pass, row by row, no shuffle. Edge cases: null and empty texts are
-one line of spaces; equal texts give equal values; a damaged file raises ValueError.
+one line of spaces; equal texts, repeated rows among them, give equal values; a very long text is one tall picture, held whole by the task
+that has its row; frequencies equal to the median count as not above it; a damaged file raises ValueError.
 """
 
 from __future__ import annotations

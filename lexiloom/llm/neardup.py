@@ -29,7 +29,8 @@ How it is spread: signatures are one narrow pass; buckets, pairs and labels are
 hashes and kept in the shared folder; nothing is collected but counts of changes.
 
 Edge cases: null and empty texts have no shingles and are copies of each other only; texts of
-one to four words are one shingle; rows that agree in id and text are one document; a null id names no class
+one to four words are one shingle; a very long text has as many cells as words and is held whole by the task that has its row; a similarity of exactly the
+threshold is a link; rows that agree in id and text are one document; a null id names no class
 unless all of a class are null.
 """
 

@@ -108,6 +108,20 @@ def forward(m: dict, x: np.ndarray, per_doc: np.ndarray) -> dict:
     return {"x": x, "doc": doc, "starts": starts, "h": h, "t": t, "s": s, "a": a, "z": z, "p": _sigmoid(z @ m["c"] + m["c0"][0])}
 
 
+def gradients(m: dict, x: np.ndarray, per_doc: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the mean weighted log loss of documents, by each of the weights."""
+    f = forward(m, x, per_doc)
+    d = (f["p"] - y) * weight / len(y)
+    dz = d[:, None] * m["c"]
+    da = (dz[f["doc"]] * f["h"]).sum(1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["starts"])[f["doc"]])
+    dg = de[:, None] * m["w"]
+    dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * f["t"] * f["s"] * (1 - f["s"])
+    dh = f["a"][:, None] * dz[f["doc"]] + dt @ m["V"].T + ds @ m["U"].T
+    dpre = dh * (1 - f["h"] ** 2)
+    return {"W": f["x"].T @ dpre, "b": dpre.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ d, "c0": np.array([d.sum()])}
+
+
 def fit(x: np.ndarray, per_doc: np.ndarray, y: np.ndarray, hidden: int = 32, gate: int = 16, epochs: int = 24, batch: int = 128, rate: float = 0.01, seed: int = 7) -> dict:
     """Adam on the log loss of document labels; returns the weights as arrays."""
     rng = np.random.default_rng(seed)
@@ -123,16 +137,7 @@ def fit(x: np.ndarray, per_doc: np.ndarray, y: np.ndarray, hidden: int = 32, gat
         for lo in range(0, len(y), batch):
             pick = order[lo : lo + batch]
             rows = np.concatenate([np.arange(at[i], at[i] + per_doc[i]) for i in pick])
-            f = forward(m, x[rows], per_doc[pick])
-            d = (f["p"] - y[pick]) * weight[pick] / len(pick)
-            dz = d[:, None] * m["c"]
-            da = (dz[f["doc"]] * f["h"]).sum(1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["starts"])[f["doc"]])
-            dg = de[:, None] * m["w"]
-            dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * f["t"] * f["s"] * (1 - f["s"])
-            dh = f["a"][:, None] * dz[f["doc"]] + dt @ m["V"].T + ds @ m["U"].T
-            dpre = dh * (1 - f["h"] ** 2)
-            g = {"W": f["x"].T @ dpre, "b": dpre.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "c": f["z"].T @ d, "c0": np.array([d.sum()])}
+            g = gradients(m, x[rows], per_doc[pick], y[pick], weight[pick])
             step += 1
             for k in names:
                 grad = g[k] + 1e-4 * m[k]

@@ -1,5 +1,6 @@
 """Brute force, round trips and edge cases of the training-data operators."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -566,3 +567,179 @@ def test_packing_holds_down_loss_by_row(spark):
     assert (got["doc_tokens"] == 8).all() and got["length"].sum() == 80 * 8
     whole = got["length"] == 8
     assert (share[whole].groupby(got["sequence_id"][whole]).sum() <= 20).all() and got.groupby("sequence_id")["length"].sum().max() > 20
+
+
+def test_quality_forward_and_gradients():
+    r = np.random.default_rng(2)
+    per_doc, y, weight = np.array([3, 1, 4]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    x = r.normal(0, 1, (8, 6))
+    m = {"mean": np.zeros(6), "std": np.ones(6), "W": r.normal(0, 1, (6, 5)), "b": r.normal(0, 1, 5), "V": r.normal(0, 1, (5, 4)), "U": r.normal(0, 1, (5, 4)), "w": r.normal(0, 1, 4), "c": r.normal(0, 1, 5), "c0": np.zeros(1)}
+
+    def scores(m):
+        out, at = [], 0
+        for n in per_doc:
+            h = [np.tanh(x[i] @ m["W"] + m["b"]) for i in range(at, at + n)]
+            e = [m["w"] @ (np.tanh(v @ m["V"]) / (1 + np.exp(-(v @ m["U"])))) for v in h]
+            a = np.exp(e) / np.exp(e).sum()
+            out.append(1 / (1 + np.exp(-(sum(p * v for p, v in zip(a, h)) @ m["c"] + m["c0"][0]))))
+            at += n
+        return np.array(out)
+
+    loss = lambda m: -(weight * (y * np.log(scores(m)) + (1 - y) * np.log(1 - scores(m)))).mean()
+    assert np.allclose(quality.forward(m, x, per_doc)["p"], scores(m))
+    for name, g in quality.gradients(m, x, per_doc, y, weight).items():
+        for at in np.ndindex(m[name].shape):
+            up, down = ({k: v.copy() for k, v in m.items()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[at]) < 1e-6, name
+
+
+def test_media_columns_a_second_way(odd):
+    def feature(payload):
+        lines = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+        gray = [[sum(line[3 * x : 3 * x + 3]) / 3 for x in range(64)] for line in lines]
+        n = len(gray)
+        across = [[(row[2 * i] + row[2 * i + 1]) / 2 for i in range(32)] for row in gray]
+        small = []
+        for i in range(32):  # parts of n / 32 lines, whole and broken ones
+            lo, hi, acc = i * n / 32, (i + 1) * n / 32, [0.0] * 32
+            for j in range(int(lo), min(n, int(-(-hi // 1)))):
+                share = max(0.0, min(hi, j + 1) - max(lo, j)) * 32 / n
+                acc = [a + share * v for a, v in zip(acc, across[j])]
+            small.append(acc)
+        basis = [[np.cos(np.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)]
+        low = [round(sum(basis[u][i] * basis[v][j] * small[i][j] for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+        return low, float(np.median(low[1:]))
+
+    texts = {r["doc_id"]: utf8(r["text"]) for r in odd.where("doc_id is not null and doc_id <> 5").collect()}
+    got = {r["doc_id"]: r for r in media.describe(media.store(odd)).collect()}
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.store(odd).collect()}
+    for i, data in texts.items():
+        payload = data + b" " * (-len(data) % 192) or b" " * 192
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(files[i]), hashlib.sha256(files[i]).hexdigest())
+        low, middle = feature(payload)
+        bits = f"{int(r['feature'], 16):064b}"
+        assert all(b == str(int(v > middle)) for b, v in zip(bits, low) if abs(v - middle) > 1e-4)
+
+
+def test_packing_rows(odd):
+    whole = packing.Tokens()
+    want = {r["doc_id"]: whole.whole.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in odd.where("doc_id is not null").collect()}
+    rows = [r for r in packing.pack_texts(odd).collect()]
+    pieces, sequences = {}, {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+        if r["doc_id"] is not None:
+            pieces.setdefault(r["doc_id"], []).append(r)
+            ids = np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+            assert r["ids_crc32"] == zlib.crc32(ids.tobytes()) and r["doc_tokens"] == len(want[r["doc_id"]]) and len(ids) == r["length"] > 0
+    for i, ps in pieces.items():
+        copies = 2 if i == 9 else 1
+        assert sorted(x for p in ps for x in range(p["start"], p["start"] + p["length"])) == sorted(list(range(len(want[i]))) * copies)
+    for ps in sequences.values():
+        ps.sort(key=lambda r: r["offset"])
+        assert [p["offset"] for p in ps] == [sum(q["length"] for q in ps[:j]) for j in range(len(ps))]
+        total = sum(p["length"] for p in ps)
+        assert total == 4096 or total & (total - 1) == 0
+
+
+def test_chunks_against_brute_force(spark):
+    r = random.Random(12)
+    words = [f"k{i}" for i in range(300)]
+    passages = [[r.choice(words) for _ in range(r.choice([30, 50, 60, 90, 140]))] for _ in range(8)]
+    docs = []
+    for i in range(40):
+        own = []
+        for _ in range(r.randint(1, 4)):
+            own += [r.choice(words) for _ in range(r.randint(5, 60))] + (r.choice(passages) if r.random() < 0.6 else [])
+        docs.append((r.choice([i, i, 3, None]), r.choice([" ", "  ", "\n"]).join(own)))
+    table = [int(x) for x in chunks._GEAR]
+
+    def windows(text):
+        data, spans = text.encode(), [(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", text.encode())]
+        cuts, lead = [], 0
+        for j, (start, _) in enumerate(spans):
+            h = sum(table[data[start - 1 - k]] << k for k in range(16)) & 0xFFFF if start >= 16 else 1 << 15
+            if j == 0 or h >> 14 == 0:
+                lead = j
+            if (j - lead) % 16 == 0:
+                cuts.append(j)
+        ends = [*cuts[1:], len(spans)]
+        for n, a in enumerate(cuts):
+            last = next((m for m in range(n, len(cuts)) if ends[m] - a >= 22), None)
+            if last is not None:
+                lo, hi = spans[a][0], spans[ends[last] - 1][1]
+                yield n, lo, hi, data[lo:hi]
+
+    rank = lambda k: (k is not None, k or 0)  # noqa: E731  null ids come first
+    hashes = {(x["doc_id"], x["text"]): x["t"] for x in spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", "text", chunks.document("doc_id", "text").alias("t")).collect()}
+    by = {}
+    for k, text in set(docs):
+        for n, lo, hi, body in windows(text):
+            by.setdefault(body, []).append((rank(k), hashes[k, text], n, k, text, lo, hi))
+    of = {}
+    for places in by.values():
+        if len(places) > 1:
+            first = min(places)
+            for p in places:
+                of.setdefault((p[3], p[4]), []).append((p[2], p[5], p[6], first[1], first[2], first[3]))
+    want = set()
+    for (k, text), found in of.items():
+        before = None
+        runs = []
+        for n, lo, hi, source, m, who in sorted(found):
+            if before == (n - 1, source, m - 1):
+                runs[-1][1] = hi
+            else:
+                runs.append([lo, hi, (source, m) == (hashes[k, text], n), who])
+            before = (n, source, m)
+        want |= {(k, hashes[k, text], *run) for run in runs}
+    got = chunks.repeated(spark.createDataFrame(docs + docs[:5], "doc_id long, text string")).collect()
+    assert {(x["k"], x["t"], c["start"], c["end"], c["kept"], c["with"]) for x in got for c in x["runs"]} == want and len(want) > 40
+
+
+def test_pipeline_against_its_parts(spark):
+    """Each stage against plain Python on its own input."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = corpus_pipeline.materialize(stages["quality"](spark, docs, sf), "q")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    scored = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, x in scored.items() if x >= 0.3}
+    one = corpus_pipeline.materialize(stages["near_dedup"](spark, kept, sf), "n")
+    texts = {r["doc_id"]: (r["text"] or "").split() for r in kept.collect()}
+    cells = {i: Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter() for i, w in texts.items()}
+    root = {i: i for i in cells}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(cells)
+    for i in ids:
+        for j in ids:
+            if j < i and min(len(texts[i]), len(texts[j])) * 5 >= max(len(texts[i]), len(texts[j])) * 3 and cells[i] and sum((cells[i] & cells[j]).values()) / sum((cells[i] | cells[j]).values()) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    empty = [i for i in ids if not cells[i]]
+    assert {r["doc_id"] for r in one.collect()} - set(empty) == {find(i) for i in ids} - set(empty)
+    cut = corpus_pipeline.materialize(stages["substring_dedup"](spark, one, sf), "s")
+    before = {r["doc_id"]: r["text"] for r in one.collect()}
+    spans = {}
+    for x in chunks.repeated(one).collect():
+        spans[x["k"]] = x["cuts"]
+    for r in cut.collect():
+        data, out, at = utf8(before[r["doc_id"]]), b"", 0
+        for c in spans.get(r["doc_id"], []):
+            out, at = out + data[at : c["start"]], c["end"]
+        assert utf8(r["text"]) == out + data[at:] and r["n_chars"] == len(r["text"] or "") or before[r["doc_id"]] is None
+    clean = {r["doc_id"]: r["text"] for r in stages["secrets"](spark, cut, sf).collect()}
+    for r, found in ((r, f) for r in cut.collect() for f in [None]):
+        assert not re.search(r"AKIA[A-Z0-9]{16,}|(?<![0-9a-f])[0-9a-f]{24,}", clean[r["doc_id"]] or "")
+        if "[SECRET]" not in (clean[r["doc_id"]] or ""):
+            assert clean[r["doc_id"]] == r["text"]
