@@ -54,7 +54,9 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # leaves the catalog; the files stay
+    return out
 
 
 def free(columns: list[str], name: str) -> str:
