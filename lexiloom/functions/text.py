@@ -35,16 +35,16 @@ def run_type(token: Column) -> Column:
     return F.when(is_in(STOP), "stop").when(is_in(PUNCT), "punct").when(is_in(SPACE), "space").when(is_in("0-9"), "digit").otherwise("alpha")
 
 
-def class_counts(text: Column) -> Column:
-    """array<struct<run_type, n, chars>>: tokens and characters of a text by class, for the classes that it has."""
-    t = F.coalesce(text, F.lit(""))
-    alpha = f"[^{STOP}{PUNCT}{SPACE}0-9]+"
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
-    one = lambda name, runs, chars: F.struct(F.lit(name).alias("run_type"), runs.alias("n"), chars.alias("chars"))
-    stop, punct, space, digit = (count(f"[{x}]") for x in (STOP, PUNCT, SPACE, "0-9"))
-    rest = F.length(t) - stop - punct - space - digit
-    every = F.array(one("stop", stop, stop), one("punct", punct, punct), one("space", count(f"[{SPACE}]+"), space), one("digit", count("[0-9]+"), digit), one("alpha", count(alpha), rest.cast("long")))
-    return F.filter(every, lambda x: x["n"] > 0)
+def skeleton(text: Column) -> tuple[Column, Column, Column]:
+    """A text with each run of letters as ``a``; then also each run of blanks as one; then also each run of digits as ``0``, which leaves a character a token."""
+    letters = F.regexp_replace(text, f"[^{STOP}{PUNCT}{SPACE}0-9]+", "a")
+    blanks = F.regexp_replace(letters, f"[{SPACE}]+", " ")
+    return letters, blanks, F.regexp_replace(blanks, "[0-9]+", "0")
+
+
+def n_of(text: Column, characters: str) -> Column:
+    """How many of a text's characters are among some."""
+    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
 def sentences(text: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
@@ -53,7 +53,7 @@ def sentences(text: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
     words = f"[^{STOP}{PUNCT}{SPACE}0-9]"
     long = f"{words}{{2}}|[0-9]{{2}}|[{SPACE}]{{2}}"
     short = "|".join(a for a in abbreviations if len(a) > 1)
-    ends = f"((?:^|(?<={long}))(?<!(?<!{words})(?iu:{short}))[{STOP}]+)" if short else f"((?:^|(?<={long}))[{STOP}]+)"
+    ends = f"((?=[{STOP}])(?:^|(?<={long}))(?<!(?<!{words})(?iu:{short}))[{STOP}]+)" if short else f"((?=[{STOP}])(?:^|(?<={long}))[{STOP}]+)"
     marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), END, "\uFDD1"), ends, "$1" + END)
     return F.split(marked, END)
 

@@ -14,6 +14,21 @@ def token_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return exploded.withColumn("run_type", T.run_type(F.col("tok")))
 
 
+def class_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, run_type, n, chars: tokens and characters by class, counted in the row; rows that share an id are summed."""
+    t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    letters, blanks, tokens = T.skeleton(F.col("t"))
+    t = t.select("doc_id", F.length("t").cast("long").alias("whole"), letters.alias("letters"), blanks.alias("blanks"), tokens.alias("tokens"))
+    size = lambda c: F.length(c).cast("long")
+    t = t.select(
+        "doc_id", "whole", size("letters").alias("l1"), size("blanks").alias("l2"), size("tokens").alias("l3"), T.n_of(F.col("tokens"), "a").alias("alpha"), T.n_of(F.col("tokens"), " ").alias("space"), T.n_of(F.col("tokens"), "0").alias("digit"),
+        T.n_of(F.col("tokens"), T.STOP).alias("stop"),
+    )
+    t = t.withColumn("punct", F.expr("l3 - alpha - space - digit - stop"))
+    every = "stack(5, 'stop', stop, stop, 'punct', punct, punct, 'space', space, l1 - l2 + space, 'digit', digit, l2 - l3 + digit, 'alpha', alpha, whole - l1 + alpha) AS (run_type, n, chars)"
+    return t.selectExpr("doc_id", every).where("n > 0").groupBy("doc_id", "run_type").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+
+
 def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sent_id, first_pos, last_pos, n_tokens: the extent of each sentence in its document's tokens. Each further stop of a run that ended a sentence is
     a sentence of its own. A sentence is a row before anything is shuffled; documents are told apart by id and text, so rows
@@ -21,7 +36,7 @@ def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), T.sentences(F.col(text_col)).alias("s"))
     one = parts.select("doc_id", "t", (F.size("s") - 1).alias("last"), F.posexplode("s").alias("nth", "s")).where("s <> ''")
     stops = F.length(F.regexp_extract("s", f"[{T.STOP}]*$", 0))
-    sized = one.select("doc_id", "t", "nth", F.regexp_count("s", F.lit(T.TOKEN)).cast("long").alias("n"), F.when(F.col("nth") < F.col("last"), stops - 1).otherwise(0).alias("extra")).distinct()
+    sized = one.select("doc_id", "t", "nth", F.length(T.skeleton(F.col("s"))[2]).cast("long").alias("n"), F.when(F.col("nth") < F.col("last"), stops - 1).otherwise(0).alias("extra")).distinct()
     before = Window.partitionBy("doc_id", "t").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("id", F.coalesce(F.sum(1 + F.col("extra")).over(before), F.lit(0)))
     each = placed.withColumn("j", F.explode(F.sequence(F.lit(0), "extra")))

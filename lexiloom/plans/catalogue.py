@@ -64,8 +64,7 @@ def token_runs(spark, sf_dir):
 @query(f"WITH {TOK} SELECT doc_id, run_type, count(*) AS n, CAST(sum(length(tok)) AS BIGINT) AS chars FROM runs GROUP BY ALL")
 def token_class_counts(spark, sf_dir):
     """Tokens and characters by document and class."""
-    each = table(spark, sf_dir, "documents").select("doc_id", F.inline(T.class_counts(F.col("text"))))
-    return each.groupBy("doc_id", "run_type").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    return corpus.class_counts(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {SENT} SELECT doc_id, sent_id, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_tokens FROM sent GROUP BY ALL")
