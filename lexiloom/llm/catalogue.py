@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, counts, media, neardup, packing, ppm, quality, sampling, secrets, topk
+from . import chunks, codes, counts, media, merkle, mixing, neardup, packing, ppm, quality, sampling, secrets, topk
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         packing.op8_packing,
         neardup.op9_minhash_near_dedup,
         sampling.op10_sampled_segmentations,
+        merkle.op11_merkle_manifest,
+        codes.op12_vector_codes,
+        mixing.op13_source_mixing,
     )
 }
-ORACLE = {"op7_topk_search": topk.OP7_SQL}
+ORACLE = {"op7_topk_search": topk.OP7_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op12_vector_codes": codes.OP12_SQL, "op13_source_mixing": mixing.OP13_SQL}

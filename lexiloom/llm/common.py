@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 _own_dir: list[str] = []
+_files: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +45,46 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _files[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned and that nothing reads any more."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_files.pop(df))
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
+    """``df`` with ``at``, a row's place (from 0) among the rows of its group (columns that may be null), and ``group_rows``. A group's rows may lie in many
+    partitions: rows are dealt by ranges of group and order, and counts by partition and group give each stretch its first place."""
+    keys = [*group, *order]
+    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("m", F.monotonically_increasing_id()), label)
+    names = [f"g{i}" for i in range(len(group))]
+    runs = placed.groupBy(F.shiftright("m", 33).alias("p"), *[F.col(c).alias(g) for c, g in zip(group, names)]).agg(F.min("m").alias("first"), F.count("*").alias("rows"))
+    whole = Window.partitionBy(*(names or [F.lit(0)]))
+    before = F.sum("rows").over(whole.orderBy("p")) - F.col("rows")
+    runs = runs.withColumn("before", before).withColumn("group_rows", F.sum("rows").over(whole))
+    same = F.shiftright("m", 33) == F.col("p")
+    for c, g in zip(group, names):
+        same = same & F.col(c).eqNullSafe(F.col(g))
+    return placed.join(runs, same).select(*df.columns, (F.col("before") + F.col("m") - F.col("first")).alias("at"), "group_rows")
+
+
+def joined(df: DataFrame, key: str, sums: DataFrame, rows: str) -> DataFrame:
+    """``df`` with the columns of ``sums`` (one row for each value of ``key``, null among them), which counts the rows of ``df`` by key as ``rows``. Keys with more than a thousandth
+    of all rows, at most a thousand of them, are broadcast, so their rows stay where they are; the others' are shuffled."""
+    least = sums.agg(F.sum(rows)).first()[0] or 0
+    heavy, k = F.col(rows) > least / 1000, free([*df.columns, *sums.columns], "of_key")
+    add = [c for c in sums.columns if c != key]
+    side = sums.withColumnRenamed(key, k)
+    there = F.col(key).eqNullSafe(F.col(k))
+    first = df.join(F.broadcast(side.where(heavy)), there, "left").drop(k)
+    done = first.where(F.col(rows).isNotNull())
+    rest = first.where(F.col(rows).isNull()).drop(*add).join(side.where(~heavy), there).drop(k)
+    return done.unionByName(rest)
 
 
 def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
