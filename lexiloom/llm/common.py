@@ -51,7 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``materialize`` returned and that nothing reads any more."""
+    """Delete the files of tables that ``materialize`` or ``numbered`` returned and that nothing reads any more."""
     for df in tables:
         at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_files.pop(df))
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
@@ -70,7 +70,9 @@ def numbered(df: DataFrame, group: list[str], order: list[str], label: str) -> D
     same = F.shiftright("m", 33) == F.col("p")
     for c, g in zip(group, names):
         same = same & F.col(c).eqNullSafe(F.col(g))
-    return placed.join(runs, same).select(*df.columns, (F.col("before") + F.col("m") - F.col("first")).alias("at"), "group_rows")
+    out = placed.join(runs, same).select(*df.columns, (F.col("before") + F.col("m") - F.col("first")).alias("at"), "group_rows")
+    _files[out] = _files.pop(placed)
+    return out
 
 
 def joined(df: DataFrame, key: str, sums: DataFrame, rows: str) -> DataFrame:
@@ -100,6 +102,11 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     return out
 
 
+def named(column: str) -> Column:
+    """The column of this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def free(columns: list[str], name: str) -> str:
     """A name made from ``name`` that none of ``columns`` has, in capitals or not."""
     taken = {c.lower() for c in columns}

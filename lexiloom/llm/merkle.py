@@ -107,29 +107,34 @@ SELECT id, leaf, subroot, root, unhex(sha2(lower(hex(proof)), 256)) AS proof, fo
 def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "doc_id", group_col: str = "lang", counter_col: str = "n_chars", every: int = 7) -> tuple[DataFrame, DataFrame]:
     """The leaves (id, grp, block, leaf, changed, hops; the parent is node 1) and the node rows above them: grp, block, node, parent (null at the root), hops, subroot, root."""
     rows = materialize(leaves(docs, columns, id_col, group_col, counter_col, every).withColumn("u", F.monotonically_increasing_id()), "merkle-leaves")  # u deals equal rows to several ranges
-    below = tree(numbered(rows, ["grp"], ["id", "leaf", "u"], "merkle-placed").drop("u").withColumn("hash", F.col("leaf")), "merkle-nodes")
-    discard(rows)
+    placed = numbered(rows, ["grp"], ["id", "leaf", "u"], "merkle-placed")
+    below = tree(placed.drop("u").withColumn("hash", F.col("leaf")), "merkle-nodes")
+    discard(rows, placed)
     subroots = below[-1].where("top is not null").select(F.col("grp").alias("name"), F.col("top").alias("hash"), F.lit(0).alias("grp"))
-    above = tree(numbered(subroots, ["grp"], ["name"], "merkle-groups"), "merkle-tops")
+    tops = numbered(subroots, ["grp"], ["name"], "merkle-groups")
+    above = tree(tops, "merkle-tops")
     root = above[-1].where("top is not null").select("grp", F.col("top").alias("root"))  # a row
     groups = above[0].join(root, "grp").select("name", "at", F.col("hash").alias("subroot"), "root", "hops")
 
+    none = F.lit(None).cast("binary")
     block = below[0].where("top is not null").select(F.col("grp").alias("g"), F.shiftright("at", HOP).alias("block"))
-    last, found = len(below) - 1 + len(above), []
-    for i in range(1, last + 1):
-        parent = F.lit(i + 1 if i < last else None).cast("int").alias("parent")
-        none = F.lit(None).cast("binary")
-        if i < len(below):
-            step = below[i].select("grp", "at", "hops", none.alias("subroot"), none.alias("root"))
-            met = block.join(step, block["g"].eqNullSafe(step["grp"]) & (F.shiftright("block", HOP * (i - 1)) == step["at"]))
-        else:
-            of = groups if i == len(below) else groups.drop("hops").join(above[i - len(below)].select(F.col("at").alias("over"), "hops"), F.shiftright("at", HOP * (i - len(below))) == F.col("over"))
-            met = block.join(of, block["g"].eqNullSafe(of["name"]))
-        found.append(met.select(F.col("g").alias("grp"), "block", F.lit(i).alias("node"), parent, "hops", "subroot", "root"))
-    nodes = found[0]
-    for more in found[1:]:
-        nodes = nodes.unionByName(more)
-    return below[0].select("id", "grp", F.shiftright("at", HOP).alias("block"), "leaf", "changed", "hops"), materialize(nodes, "merkle-links")
+    steps = []  # hops of a node above a block, by step
+    for i, step in enumerate(below[1:]):
+        over = step.select("grp", "at", "hops")
+        steps.append(block.join(over, block["g"].eqNullSafe(over["grp"]) & (F.shiftright("block", HOP * i) == over["at"])).select("g", "block", "hops", none.alias("subroot"), none.alias("root")))
+    for i, step in enumerate(above):
+        over = groups if i == 0 else groups.drop("hops").join(step.select(F.col("at").alias("over"), "hops"), F.shiftright("at", HOP * i) == F.col("over"))
+        under = block if i or not steps else steps.pop().select("g", "block", F.col("hops").alias("before"))  # the last step in a group goes on to the groups' tree
+        met = under.join(over, under["g"].eqNullSafe(over["name"]))
+        hops = F.concat("before", "hops") if "before" in under.columns else F.col("hops")
+        steps.append(met.select("g", "block", hops.alias("hops"), "subroot", "root"))
+    nodes = None
+    for i, step in enumerate(steps, 1):
+        rows_of = step.select(F.col("g").alias("grp"), "block", F.lit(i).alias("node"), F.lit(i + 1 if i < len(steps) else None).cast("int").alias("parent"), "hops", "subroot", "root")
+        nodes = nodes.unionByName(rows_of) if nodes is not None else rows_of
+    nodes = materialize(nodes, "merkle-links")
+    discard(*below[1:], *above, tops)
+    return below[0].select("id", "grp", F.shiftright("at", HOP).alias("block"), "leaf", "changed", "hops"), nodes
 
 
 def climb(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
