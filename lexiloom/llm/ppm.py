@@ -294,4 +294,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 def op3_lm_scoring(spark, sf_dir):
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, file_rows=(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    at = docs.metadataColumn("_metadata")  # also where a column of the table has this name
+    return score(docs, file_rows=(at["file_path"], at["row_index"]))
