@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, free, mix64, slices, utf8
+from .common import U64, Words, free, mix64, named, slices, utf8
 
 WINDOW, CUT_BITS, MAX_WORDS, MIN_WORDS = 16, 2, 16, 22
 BATCH_BYTES = 1 << 20
@@ -169,8 +169,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(data, a["at"], F.length(data)).cast("string")),
     )
     joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(k)) & (document(id_col, text_col) == F.col(t)), "left")
-    out = joined.select(*[c for c in docs.columns if c != text_col], F.when(F.col(cuts).isNotNull(), cut).otherwise(F.col(text_col)).alias(text_col))
-    return out.select(*[F.length(text_col).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = joined.select(*[named(c) for c in docs.columns if c != text_col], F.when(F.col(cuts).isNotNull(), cut).otherwise(F.col(text_col)).alias(text_col))
+    return out.select(*[F.length(text_col).cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark, sf_dir):

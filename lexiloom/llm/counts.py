@@ -14,6 +14,8 @@ of equal probability the one whose last piece starts first counts; repeated rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -90,16 +92,17 @@ def terminal_counts(words: list[str], pieces: Reversed) -> dict[str, int]:
     return dict(zip(words, n[trie.ends].tolist()))
 
 
-def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
-    """``id_col``, n_pretokens, n_tokens for every row."""
+def counter(model_path: str | None = None):
+    """A function of a text column: struct(n_pretokens, n_tokens)."""
 
-    def run(batches):
+    @F.pandas_udf("n_pretokens long, n_tokens long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = Reversed(Pieces(model_path))
         young: dict[str, int] = {}
         old: dict[str, int] = {}
-        for pdf in batches:
-            texts = list(pdf["t"])
-            for part in slices(pdf, [len(t) if isinstance(t, str) else 0 for t in texts], BATCH_CHARS):
+        for column in batches:
+            texts = list(column)
+            for part in slices(column, [len(t) if isinstance(t, str) else 0 for t in texts], BATCH_CHARS):
                 split = [pretokens(t) for t in texts[part]]
                 new = set().union(*split) - young.keys()
                 if len(young) > CACHE:
@@ -109,10 +112,15 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
                 young |= again
                 young |= terminal_counts(list(new - again.keys()), pieces)
                 look = young.__getitem__
-                yield pd.DataFrame({"k": pdf["k"].iloc[part], "n_pretokens": [len(s) for s in split], "n_tokens": [sum(map(look, s)) for s in split]})
+                yield pd.DataFrame({"n_pretokens": [len(s) for s in split], "n_tokens": [sum(map(look, s)) for s in split]})
+
+    return run
 
-    kept = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return kept.mapInPandas(run, f"k {dict(kept.dtypes)['k']}, n_pretokens long, n_tokens long").withColumnRenamed("k", id_col)
+
+def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
+    """``id_col``, n_pretokens, n_tokens for every row."""
+    kept = docs.select(F.col(id_col).alias("k"), counter(model_path)(F.col(text_col)).alias("r"))
+    return kept.select(F.col("k").alias(id_col), "r.*")
 
 
 def op6_token_counts(spark, sf_dir):

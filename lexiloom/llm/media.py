@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,34 +149,45 @@ def cosine_hash(samples: np.ndarray) -> str:
     return f"{int(''.join('1' if x else '0' for x in low > np.median(low[1:])), 2):016x}"
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_bytes and the binary column ``media`` of every row."""
+def _stored():
+    """A function of a text column: struct(n_bytes, media)."""
 
-    def run(batches):
-        for pdf in batches:
-            texts = [utf8(t) for t in pdf["t"]]
-            for part in slices(pdf, [len(t) for t in texts], BATCH_BYTES):
-                yield pd.DataFrame({"k": pdf["k"].iloc[part], "n_bytes": [len(t) for t in texts[part]], "media": [write_png(pad(t)) for t in texts[part]]})
+    @F.pandas_udf("n_bytes long, media binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            data = [utf8(t) for t in texts]
+            for part in slices(texts, [len(t) for t in data], BATCH_BYTES):
+                yield pd.DataFrame({"n_bytes": [len(t) for t in data[part]], "media": [write_png(pad(t)) for t in data[part]]})
 
-    kept = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
-    return kept.mapInPandas(run, f"k {dict(kept.dtypes)['k']}, n_bytes long, media binary").withColumnRenamed("k", id_col)
+    return run
 
 
-def describe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read each file of ``media`` back: payload and feature digests beside ``id_col`` and n_bytes."""
+def _described():
+    """A function of a column of files: payload and feature digests."""
 
-    def run(batches):
-        for pdf in batches:
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for files in batches:
             rows = []
-            for data in pdf["media"]:
+            for data in files:
                 samples = read_png(bytes(data))
                 payload = samples.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(samples)))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pd.concat([pdf[["k", "n_bytes"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+            yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return run
+
 
-    kept = media.select(F.col(id_col).alias("k"), "n_bytes", "media")
-    return kept.mapInPandas(run, f"k {dict(kept.dtypes)['k']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("k", id_col)
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, n_bytes and the binary column ``media`` of every row."""
+    kept = docs.select(F.col(id_col).alias("k"), _stored()(F.col(text_col)).alias("r"))
+    return kept.select(F.col("k").alias(id_col), "r.n_bytes", "r.media")
+
+
+def describe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Read each file of ``media`` back: payload and feature digests beside ``id_col`` and n_bytes."""
+    kept = media.select(F.col(id_col).alias("k"), "n_bytes", _described()(F.col("media")).alias("r"))
+    return kept.select(F.col("k").alias(id_col), "n_bytes", "r.*")
 
 
 def op4_media_columns(spark, sf_dir):

@@ -36,12 +36,14 @@ unless all of a class are null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, free, materialize, mix64, sizes, slices, text_key, unit, utf8
+from .common import U64, Words, free, materialize, mix64, named, sizes, slices, text_key, unit, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 K, BANDS, ROWS = 80, 20, 4
@@ -114,20 +116,24 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k (id), node (text digest), n (cells), bands (array of keys, empty without words) of every row."""
+def _signed():
+    """A function of a text column: struct(n, bands)."""
+
+    @F.pandas_udf("n long, bands array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for part in slices(texts, sizes(texts), BATCH_BYTES):
+                doc, cells = elements([utf8(t) for t in texts.iloc[part]])
+                signature, weight = signatures(doc, cells, part.stop - part.start)
+                yield pd.DataFrame({"n": weight, "bands": [b if n else b[:0] for b, n in zip(band_keys(signature), weight)]})
+
+    return run
 
-    def run(batches):
-        for pdf in batches:
-            for part in slices(pdf, sizes(pdf["t"]), BATCH_BYTES):
-                doc, cells = elements([utf8(t) for t in pdf["t"].iloc[part]])
-                rows = pdf.iloc[part]
-                signature, weight = signatures(doc, cells, len(rows))
-                keys = band_keys(signature)
-                yield pd.DataFrame({"k": rows["k"].array, "node": rows["node"].array, "n": weight, "bands": [b if n else b[:0] for b, n in zip(keys, weight)]})
 
-    kept = docs.select(F.col(id_col).alias("k"), text_key(text_col).alias("node"), F.col(text_col).alias("t"))
-    return kept.mapInPandas(run, f"k {dict(kept.dtypes)['k']}, node binary, n long, bands array<long>")
+def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k (id), node (text digest), n (cells), bands (array of keys, empty without words) of every row."""
+    kept = docs.select(F.col(id_col).alias("k"), text_key(text_col).alias("node"), _signed()(F.col(text_col)).alias("r"))
+    return kept.select("k", "node", "r.*")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -269,9 +275,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     k, n, m, one = (free(docs.columns, x) for x in ("best_k", "best_n", "best_rows", "best_row"))
     best = materialize(best.select(F.col("best.k").alias(k), F.col("best.node").alias(n), F.col("best.n").alias(m)), "kept")
     found = docs.join(best, F.col(id_col).eqNullSafe(F.col(k)) & (text_key(text_col) == F.col(n)))
-    row = F.struct(*[F.col(c) for c in docs.columns])
+    row = F.struct(*map(named, docs.columns))
     equal = found.where(F.col(m) > 1).groupBy(k, n).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(one))
-    return found.where(F.col(m) == 1).select(*docs.columns).unionByName(equal.select(f"{one}.*"))
+    return found.where(F.col(m) == 1).select(*map(named, docs.columns)).unionByName(equal.select(f"{one}.*"))
 
 
 def op9_minhash_near_dedup(spark, sf_dir):

@@ -27,7 +27,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +79,6 @@ class Tokens:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         byte = {c: b for b, c in _byte_letters().items()}
         ranks = {}
         for piece, n in self.whole.get_vocab(with_added_tokens=False).items():
@@ -89,6 +88,7 @@ class Tokens:
         self.ranks = ranks
         self.usual = tiktoken.Encoding("by_rank", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words = _Words(self._word)
+        self.marks = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
 
     def _word(self, word: bytes) -> bytes:
         if not word:
@@ -105,7 +105,17 @@ class Tokens:
         if len(self.words) > CACHE:
             self.words = _Words(self._word)
         look = self.words.__getitem__
-        return [b"".join(map(look, t.lower().replace(b"\n", b" ").replace(b"\t", b" ").split(b" "))) for t in texts]
+        return [b"".join(map(self._marked if any(m in t for m in self.marks) else look, self._cut(t))) for t in texts]
+
+    def _cut(self, text: bytes) -> list[bytes]:
+        text = text if any(m in text for m in self.marks) else text.lower()
+        return text.replace(b"\n", b" ").replace(b"\t", b" ").split(b" ")
+
+    def _marked(self, word: bytes) -> bytes:
+        """A word of a text with marks, whose letters aren't lowered yet: marks are found in the letters as they stand."""
+        if any(m in word for m in self.marks):
+            return array("I", self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        return self.words[word.lower()]
 
 
 def _loss(tokens: int, loss: int, start: int, length: int) -> int:
@@ -232,24 +242,25 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         coder, closing = Tokens(tokenizer_path), np.array([CLOSING_ID], "<u4").tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         n_seq = 0
-        for pdf in batches:
-            for lo in range(0, len(pdf), window):
-                part = pdf.iloc[lo : lo + window]
-                ids = [x + closing for x in coder.encode([utf8(t) for t in part["t"]])]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, window):
+                part = batch.slice(lo, window)
+                ids = [x + closing for x in coder.encode([utf8(t) for t in part.column("t").to_pylist()])]
                 sizes = [len(x) // 4 for x in ids]
-                keys, rows = part["k"].array, []
-                loss = [n if pd.isna(x) else int(min(max(x, 0), n)) for n, x in zip(sizes, part["loss"])]
+                rows = []
+                loss = [n if x is None else min(max(x, 0), n) for n, x in zip(sizes, part.column("loss").to_pylist())]
                 for seq in pack(sizes, loss, limits):
                     offset = 0
                     for i, at, n in seq:
                         rows.append((i, at, n, zlib.crc32(memoryview(ids[i])[4 * at : 4 * (at + n)]), sizes[i], base + n_seq, offset))
                         offset += n
                     n_seq += 1
-                out = pd.DataFrame(rows, columns=["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-                yield out.assign(k=keys[out["k"].to_numpy(np.int64)])
+                at, *rest = zip(*rows)
+                names = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(at)), *(pa.array(c, pa.int64()) for c in rest)], names=names)
 
     kept = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), (F.col(loss_col) if loss_col else F.lit(None)).cast("long").alias("loss"))
-    return kept.mapInPandas(run, f"k {dict(kept.dtypes)['k']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("k", id_col)
+    return kept.mapInArrow(run, f"k {dict(kept.dtypes)['k']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("k", id_col)
 
 
 def op8_packing(spark, sf_dir):

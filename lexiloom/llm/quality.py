@@ -5,27 +5,28 @@ shares, hashed byte pairs, word statistics, then a learned tanh layer), gated
 attention learned from document labels weighs the passages, and the weighted
 representation is scored by a logistic unit.
 
-Training takes a bounded sample of labelled rows (``max_train_docs`` rows, picked by
-a hash of the id, and ``MAX_TRAIN_PASSAGES`` of each, evenly spaced over the whole text); the features of these passages, 210 MB at most, are all
-that reaches the driver. Scores are of all passages of all rows.
-Scoring is one narrow pass over all rows without a shuffle.
+Training takes a bounded sample of labelled rows, in the order of a hash of the id: ``max_train_docs`` rows at most, and as many as have ``MAX_TRAIN_PASSAGES`` passages together; of
+each all passages. They are encoded in parallel, and their features, 210 MB at most, are all that reaches the driver. Scores are of all passages of all rows.
+Scoring is one narrow pass over all rows without a shuffle; only texts go through Python, further columns stay where they are.
 
 Edge cases: null and empty texts are one passage of zeros and get a score like
-any other; with no labels, or labels of one class only, every score is that
+any other; of rows that share a labelled id the one with the least hash of its text is learned from; a labelled row with more than ``MAX_TRAIN_PASSAGES`` passages is not; with no labels, or labels of one class only, every score is that
 class's smoothed share (0.5 without labels); repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, remainder, sizes, slices, utf8
+from .common import Words, discard, free, materialize, mix64, named, remainder, sizes, slices, utf8
 
 PASSAGE_WORDS = 32
-MAX_TRAIN_DOCS, MAX_TRAIN_PASSAGES = 4000, 128
+MAX_TRAIN_DOCS, MAX_TRAIN_PASSAGES = 4000, 512_000
 BATCH_BYTES = 1 << 20
 N_CLASSES, N_PAIRS = 32, 64
 
@@ -147,8 +148,8 @@ def fit(x: np.ndarray, per_doc: np.ndarray, y: np.ndarray, hidden: int = 32, gat
     return {k: v.astype(np.float32) for k, v in m.items()}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 0, max_train_docs: int = MAX_TRAIN_DOCS) -> dict:
-    """Weights learned from at most ``max_train_docs`` labelled documents whose remainder is not ``held_out``."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 0, max_train_docs: int = MAX_TRAIN_DOCS, max_train_passages: int = MAX_TRAIN_PASSAGES) -> dict:
+    """Weights learned from at most ``max_train_docs`` labelled documents, and ``max_train_passages`` of their passages, whose remainder is not ``held_out``."""
     chosen = (
         labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y"))
         .where(F.col("k").isNotNull() & F.col("y").isNotNull() & (remainder("k") != held_out))
@@ -160,45 +161,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             for part in slices(pdf, sizes(pdf["text"]), BATCH_BYTES):
                 x, per_doc = passage_features([utf8(t) for t in pdf["text"].iloc[part]])
-                cut = [c if len(c) <= MAX_TRAIN_PASSAGES else c[np.arange(MAX_TRAIN_PASSAGES) * len(c) // MAX_TRAIN_PASSAGES] for c in np.split(x, np.cumsum(per_doc)[:-1])]
-                yield pd.DataFrame({"k": pdf["k"].iloc[part], "y": pdf["y"].iloc[part], "x": [c.tobytes() for c in cut]})
+                bags = [c.tobytes() if len(c) <= max_train_passages else b"" for c in np.split(x, np.cumsum(per_doc)[:-1])]
+                yield pd.DataFrame({"o": pdf["o"].iloc[part], "y": pdf["y"].iloc[part], "n": per_doc, "x": bags})
 
-    kind = dict(docs.dtypes)[id_col]
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
     rows = (
         docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"))
         .join(F.broadcast(chosen), "k")  # at most max_train_docs ids
-        .orderBy(F.xxhash64("k"), "k", F.xxhash64("text"), "text").limit(max_train_docs)  # ids may have several rows
-        .mapInPandas(encode, f"k {kind}, y double, x binary")
-        .toPandas().sort_values(["k", "x"])
+        .groupBy("k", "y").agg(least)
+        .select(F.xxhash64("k").alias("o"), "y", "least.text")
     )
-    y = (rows["y"].to_numpy(float) > 0).astype(float)
+    rows = materialize(rows.mapInPandas(encode, "o long, y double, n long, x binary").where(F.col("n") <= max_train_passages), "bags")
+    counts = rows.select("o", "n").toPandas().sort_values(["o", "n"])  # two numbers for each of max_train_docs rows
+    fits = counts["o"][counts["n"].cumsum() <= max_train_passages]
+    found = rows.where(F.col("o") <= int(fits.max())).toPandas().sort_values(["o", "x"]) if len(fits) else rows.limit(0).toPandas()
+    discard(rows)
+    y = (found["y"].to_numpy(float) > 0).astype(float)
     if len(y) < 2 or y.min() == y.max():
         return {"constant": (y.sum() + 0.5) / (len(y) + 1)}
-    bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in rows["x"]]
+    bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in found["x"]]
     return fit(np.concatenate(bags), np.array([len(b) for b in bags]), y)
 
 
-def _scored(docs: DataFrame, model: dict, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` as k0, k1, ..., with s (score) and n (passages)."""
-    kept = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
+def scorer(model: dict):
+    """A function of a text column: struct(s (score), n (passages))."""
 
-    def run(batches):
-        for pdf in batches:
-            p, n = np.zeros(len(pdf)), np.ones(len(pdf), np.int64)
-            for part in slices(pdf, sizes(pdf["t"]), BATCH_BYTES):
+    @F.pandas_udf("s double, n long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            p, n = np.zeros(len(texts)), np.ones(len(texts), np.int64)
+            for part in slices(texts, sizes(texts), BATCH_BYTES):
                 if "constant" in model:
                     p[part] = model["constant"]
                     continue
-                x, per_doc = passage_features([utf8(t) for t in pdf["t"].iloc[part]])
+                x, per_doc = passage_features([utf8(t) for t in texts.iloc[part]])
                 p[part], n[part] = forward(model, x, per_doc)["p"], per_doc
-            yield pdf.drop(columns="t").assign(s=p, n=n)
+            yield pd.DataFrame({"s": p, "n": n})
 
-    return kept.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "t") + ", s double, n long")
+    return run
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` of every row, with ``score`` and the number of passages ``n_passages``."""
-    return _scored(docs, model, text_col, [id_col]).select(F.col("k0").alias(id_col), F.col("s").alias("score"), F.col("n").alias("n_passages"))
+    kept = docs.select(F.col(id_col).alias("k"), scorer(model)(F.col(text_col)).alias("r"))
+    return kept.select(F.col("k").alias(id_col), F.col("r.s").alias("score"), F.col("r.n").alias("n_passages"))
 
 
 THRESHOLD = 0.3
@@ -206,8 +212,8 @@ THRESHOLD = 0.3
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with the columns they came with."""
-    kept = _scored(docs, train(docs, labels), "text", docs.columns).where(F.col("s") >= THRESHOLD)
-    return kept.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    r = free(docs.columns, "quality_score")
+    return docs.withColumn(r, scorer(train(docs, labels))(F.col("text"))).where(F.col(f"{r}.s") >= THRESHOLD).select(*map(named, docs.columns))
 
 
 def op1_quality_classifier(spark, sf_dir):

@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -357,13 +358,13 @@ def sample(docs: DataFrame, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_
 def decode(sampled: DataFrame, id_col: str = "doc_id", model_path: str | None = None) -> DataFrame:
     """``id_col``, sample, text: what the pieces spell, without the space put before the first word."""
 
-    def run(batches):
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces(model_path)
-        for pdf in batches:
-            yield pdf[["id", "sample"]].assign(text=[pieces.decode(x)[1:] for x in pdf["ids"]])
+        for ids in batches:
+            yield pd.Series([pieces.decode(x)[1:] for x in ids], dtype=object)
 
-    kept = sampled.select(F.col(id_col).alias("id"), "sample", "ids")
-    return kept.mapInPandas(run, f"id {dict(kept.dtypes)['id']}, sample int, text string").withColumnRenamed("id", id_col)
+    return sampled.select(id_col, "sample", run(F.col("ids")).alias("text"))
 
 
 def op10_sampled_segmentations(spark, sf_dir):

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, named
 
 #: The patterns of the base spans, and the least length of group or match.
 KINDS = [
@@ -157,7 +157,7 @@ def _tested(found: Column, z_max: float, class_change: float, persistence: float
 def find(docs: DataFrame, keep: list[str], text_col: str = "text", z_max: float = 3.29, class_change: float = 0.15, persistence: float = 0.3) -> DataFrame:
     """The columns ``keep`` as k0, k1, ... with ``base`` (array of start, rank, end, text) and ``candidates`` (start, rank, end, text, class, bucket), written to the shared folder."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], t.alias("t"))
+    df = docs.select(*[named(c).alias(f"k{i}") for i, c in enumerate(keep)], t.alias("t"))
     kinds = [*KINDS, ("candidate", CANDIDATE, 0, 20)]
     df = df.select("*", *[F.regexp_extract_all("t", F.lit(p), 0).alias(f"m{i}") for i, (_, p, _, _) in enumerate(kinds)])
     df = df.select(
