@@ -327,10 +327,31 @@ def edit_distance_unit(spark, sf_dir):
     return b.withColumnRenamed("item_id", "a").join(other, "a").select("a", "b", F.levenshtein("text", "other").alias("distance"))
 
 
-@query()
-def word_error_rate(spark, sf_dir):
-    """Words as symbols, neighbouring items."""
+_WORDS_BESIDE = """p AS MATERIALIZED (SELECT a.item_id AS a, b.item_id AS b, string_split(a.text, ' ') AS x, string_split(b.text, ' ') AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+c AS MATERIALIZED (SELECT a, j, [list_position(list_distinct(x || y), w) for w in x] AS x, list_position(list_distinct(x || y), y[j]) AS y FROM p, unnest(range(1, len(y) + 1)) t(j)),
+dp(a, j, r) AS (SELECT a, 0, range(0, len(x) + 1) FROM p UNION ALL
+  SELECT a, j, [list_min([z[k] - k for k in range(1, i + 1)]) + i for i in range(1, len(z) + 1)] FROM (
+  SELECT dp.a, c.j, CAST([c.j] AS BIGINT[]) || [least(r[i + 1] + 1, r[i] + CASE WHEN x[i] = y THEN 0 ELSE 1 END) for i in range(1, len(x) + 1)] AS z FROM dp JOIN c ON dp.a = c.a AND c.j = dp.j + 1))"""
+
+
+def _beside(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.split("text", " ").alias("other"))
-    pairs = b.select(F.col("item_id").alias("a"), F.split("text", " ").alias("words")).join(other, "a")
-    return pairs.select("a", "b", align.edit_distance(F.col("words"), F.col("other")).alias("errors"), F.size("words").alias("n_words"))
+    return b.select(F.col("item_id").alias("a"), F.split("text", " ").alias("words")).join(other, "a")
+
+
+@query(f"WITH RECURSIVE {_WORDS_BESIDE} SELECT p.a, p.b, CAST(r[len(p.x) + 1] AS BIGINT) AS errors, CAST(len(p.x) AS INTEGER) AS n_words FROM p JOIN dp ON dp.a = p.a AND dp.j = len(p.y)")
+def word_error_rate(spark, sf_dir):
+    """Words as symbols, neighbouring items."""
+    return _beside(spark, sf_dir).select("a", "b", align.distance(F.col("words"), F.col("other")).cast("long").alias("errors"), F.size("words").alias("n_words"))
+
+
+@query(f"""WITH RECURSIVE {_WORDS_BESIDE},
+back(a, i, j, n, s, x, y) AS (SELECT p.a, len(p.x), len(p.y), 0, '', p.x, p.y FROM p UNION ALL SELECT * FROM (SELECT a, CASE WHEN op = 'I' THEN i ELSE i - 1 END, CASE WHEN op = 'R' THEN j ELSE j - 1 END, n + 1, op || s, x, y FROM (
+  SELECT b.*, CASE WHEN b.j = 0 THEN 'R' WHEN b.i = 0 THEN 'I' WHEN l.r[b.i + 1] = k.r[b.i] + CASE WHEN x[b.i] = y[b.j] THEN 0 ELSE 1 END THEN 'S' WHEN l.r[b.i + 1] = l.r[b.i] + 1 THEN 'R' ELSE 'I' END AS op
+  FROM back b JOIN dp l ON l.a = b.a AND l.j = b.j LEFT JOIN dp k ON k.a = b.a AND k.j = b.j - 1 WHERE b.i > 0 OR b.j > 0)))
+SELECT a, s AS steps FROM back WHERE i = 0 AND j = 0""")
+def edit_recipes(spark, sf_dir):
+    """The steps from item to item, substitution before removal before insertion."""
+    steps = align.recipe(F.col("words"), F.col("other"), order="SRI")
+    return _beside(spark, sf_dir).select("a", F.array_join(steps["op"], "").alias("steps"))

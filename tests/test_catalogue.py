@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+import lexiloom.plans.assembly  # noqa: F401
 import lexiloom.plans.recordings  # noqa: F401
 import lexiloom.plans.speech  # noqa: F401
 import lexiloom.plans.vocabulary  # noqa: F401
-from lexiloom.functions import align
 from lexiloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -41,14 +41,3 @@ def test_query(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert rows(got) == rows(want)
-
-
-@pytest.mark.parametrize("left, right, order, a, b", [("rests", "stress", "SRI", "~~rests", "stres~s"), ("ppp", "qqq", "SRI", "~~~ppp", "qqq~~~"), ("ppp", "qqq", "SIR", "ppp~~~", "~~~qqq")])
-def test_alignment(left, right, order, a, b):
-    _, steps = align.recipe(left, right, "phonation", order)
-    assert align.padded(left, right, steps) == (a, b)
-
-
-def test_distances():
-    assert align.recipe("rests", "stress")[0] == 3
-    assert align.recipe("tea", "toe")[0] == 2
