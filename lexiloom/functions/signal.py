@@ -59,27 +59,6 @@ def mfcc(samples: Column, rate: float, size: int = 400, shift: int = 160) -> Col
     return F.pandas_udf(lambda s: pd.Series([mfcc_frames(np.array([] if x is None else x, float), rate, size, shift).tolist() for x in s], dtype=object), "array<array<double>>")(samples)
 
 
-def align_states(emission: np.ndarray) -> tuple[float, list[int]]:
-    """Best left-to-right path through (states, frames) log-probabilities: its score and the first frame of each state.
-    From frame to frame a path stays or goes one state on; ties stay. Fewer frames than states: no path (-inf)."""
-    states, n = emission.shape
-    if not states or n < states:
-        return -np.inf, []
-    score = np.full(states, -np.inf)
-    score[0] = emission[0, 0]
-    moved = np.zeros((n, states), bool)
-    for t in range(1, n):
-        below = np.concatenate([[-np.inf], score[:-1]])
-        moved[t] = below > score
-        score = np.maximum(score, below) + emission[:, t]
-    starts, s = [0] * states, states - 1
-    for t in range(n - 1, 0, -1):
-        if moved[t, s]:
-            starts[s] = t
-            s -= 1
-    return float(score[-1]), starts
-
-
 def log_normal(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
     """Log-density of a diagonal Gaussian for rows of ``x``."""
     return -0.5 * (np.log(2 * np.pi * var).sum() + ((x - mean) ** 2 / var).sum(-1))

@@ -36,17 +36,6 @@ def cepstra(points: DataFrame, key: str, order: list[str], value: str, rate: flo
     return rows.withColumn("own", own).where((F.col("own") >= 0) & (F.col("own") < frames)).select(key, "segment", (F.col("own") + F.col("segment") * frames).alias("frame"), "features")
 
 
-def align_levels(samples: Column, levels: list[float]) -> Column:
-    """struct(score, starts): the best left-to-right path of states whose emission is minus the squared distance to a level."""
-    means = np.array(levels)[:, None]
-
-    def run(s: pd.Series) -> pd.DataFrame:
-        found = [signal.align_states(-((np.array(x, float)[None, :] - means) ** 2)) for x in s]
-        return pd.DataFrame({"score": [p for p, _ in found], "starts": [list(map(int, t)) for _, t in found]})
-
-    return F.pandas_udf(run, "score double, starts array<int>")(samples)
-
-
 def gmm_train(features: DataFrame, label: str, vector: str, components: int = 2, rounds: int = 4, least_variance: float = 1e-3) -> dict:
     """Diagonal-covariance mixtures by label: {label: (weights, means, variances)}.
 

@@ -128,14 +128,6 @@ def mfcc(spark, sf_dir):
     return speech.cepstra(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 8000.0, 32, 16)
 
 
-@query()
-def viterbi_align(spark, sf_dir):
-    """three levels aligned with segments of 64 values."""
-    cut = speech.segments(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 64)
-    out = cut.select("user_id", "segment", speech.align_levels(F.col("samples"), [5.0, 50.0, 5.0]).alias("a"))
-    return out.select("user_id", "segment", F.round("a.score", 6).alias("score"), "a.starts").where(F.size("starts") > 0)
-
-
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, min(ts) AS start_ts, max(ts) + INTERVAL 30 MINUTE AS end_ts, count(*) AS n FROM s GROUP BY user_id, k""")

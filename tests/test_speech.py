@@ -51,29 +51,6 @@ def test_suffix_split(spark):
     assert {tuple(r) for r in got.collect()} == {("книгами", "книг", "ами"), ("он", "он", None)}
 
 
-def brute_alignment(e):
-    """The best score over all ways to start the states in order."""
-    import itertools
-
-    states, n = e.shape
-    best = -np.inf
-    for cuts in itertools.combinations(range(1, n), states - 1):
-        edges = [0, *cuts, n]
-        best = max(best, sum(e[s, edges[s] : edges[s + 1]].sum() for s in range(states)))
-    return best
-
-
-def test_alignment_by_brute_force():
-    rng = np.random.default_rng(1)
-    for states, n in [(1, 1), (2, 5), (3, 8), (4, 4)]:
-        e = rng.normal(size=(states, n))
-        score, starts = signal.align_states(e)
-        edges = [*starts, n]
-        assert starts[0] == 0 and np.isclose(score, brute_alignment(e))
-        assert np.isclose(score, sum(e[s, edges[s] : edges[s + 1]].sum() for s in range(states)))
-    assert signal.align_states(np.zeros((3, 2))) == (-np.inf, [])
-
-
 def test_mfcc_of_a_sine_and_short_input():
     x = np.sin(2 * np.pi * 440 * np.arange(4000) / 16000) * 1000
     f = signal.mfcc_frames(x, 16000.0)
