@@ -183,9 +183,10 @@ def word_parts(spark, sf_dir):
     return parts.select("word", vocabulary.tilde(F.col("part"), F.col("side")).alias("part"))
 
 
-@query("SELECT page_id AS line, url AS path, regexp_extract(url, '([0-9]+)', 1) || '?' AS id, contains(url, regexp_extract(url, '([0-9]+)', 1) || '?') AS ok FROM pages")
+@query("""WITH p AS (SELECT page_id AS line, url AS path, regexp_extract(url, '([0-9]+)', 1) AS own FROM pages), i AS (SELECT line, CASE WHEN line % 10 = 3 THEN own || 'x' ELSE own END AS id FROM p WHERE line % 50 <> 7)
+SELECT p.line, p.path, i.id, coalesce(contains(p.path, i.id), false) AS ok FROM p LEFT JOIN i USING (line)""")
 def file_consistency(spark, sf_dir):
-    """H6: two files line by line."""
-    p = table(spark, sf_dir, "pages")
-    ids = p.select(F.col("page_id").alias("line"), F.col("url").alias("path"))
-    return vocabulary.consistent(ids, p.select(F.col("page_id").alias("line"), F.concat(F.regexp_extract("url", "([0-9]+)", 1), F.lit("?")).alias("id")))
+    """H6: two files line by line; a tenth of the ids is not in its path, some lines are missing."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("line"), F.col("url").alias("path"), F.regexp_extract("url", "([0-9]+)", 1).alias("own"))
+    ids = p.where("line % 50 <> 7").select("line", F.when(F.col("line") % 10 == 3, F.concat("own", F.lit("x"))).otherwise(F.col("own")).alias("id"))
+    return vocabulary.consistent(p.select("line", "path"), ids)

@@ -10,6 +10,7 @@ import pytest
 import lexiloom.plans.assembly  # noqa: F401
 import lexiloom.plans.prefixes  # noqa: F401
 import lexiloom.plans.recordings  # noqa: F401
+import lexiloom.plans.reports  # noqa: F401
 import lexiloom.plans.speech  # noqa: F401
 import lexiloom.plans.training  # noqa: F401
 import lexiloom.plans.vocabulary  # noqa: F401
