@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiloom.operators import corpus, reports
+from lexiloom.operators import build, corpus, reports
 from lexiloom.plans.catalogue import STREAM, query, stream, table
 
 
@@ -169,3 +169,24 @@ def named_values(spark, sf_dir):
     phase = F.when(kind == "view", "Train").when(kind == "click", " TRAIN ").when(kind == "signup", "test").when(kind == "error", "both")
     code = F.element_at(F.array(*map(F.lit, ["uk", "ru", "en", "fr", ""])), (F.col("event_id") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", reports.stamp(F.col("ts")).alias("stamp"), reports.phase_of(phase).alias("phase"), reports.language_name(code).alias("language"))
+
+
+_MODELS = f"""{STREAM}, k AS MATERIALIZED (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''),
+b0 AS (SELECT k.word, coalesce(cnt, 0) AS cnt, length(word) % 3 > 0 AS t FROM k LEFT JOIN uni USING (word) UNION ALL SELECT word, cnt, true FROM uni WHERE cnt >= 20 AND word NOT IN ('<s>', '</s>') AND word NOT IN (SELECT word FROM k)
+  UNION ALL SELECT word, cnt, true FROM uni WHERE word IN ('<s>', '</s>')),
+v AS MATERIALIZED (SELECT 'train' AS phase, word, greatest(cnt, 1) AS cnt FROM b0 UNION ALL SELECT 'test', word, greatest(cnt, 1) FROM b0 WHERE t),
+b2 AS (SELECT p.phase, w1, w2, cnt FROM (VALUES ('train'), ('test')) p(phase), bi WHERE EXISTS (FROM v WHERE v.phase = p.phase AND v.word = w1) AND EXISTS (FROM v WHERE v.phase = p.phase AND v.word = w2))"""
+
+
+@query(f"""WITH {_MODELS} SELECT phase, word AS w1, NULL AS w2, cnt, round(log10(cnt / sum(cnt) OVER (PARTITION BY phase)), 6) AS logprob FROM v
+UNION ALL SELECT phase, w1, w2, cnt, round(log10(0.8 * cnt / sum(cnt) OVER (PARTITION BY phase, w1)), 6) FROM b2""")
+def phase_models(spark, sf_dir):
+    """K8: language models of both phases from one count of the texts."""
+    pairs = corpus.pairs(stream(spark, sf_dir))
+    listed = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''").distinct()
+    known, broken, out = listed.where(F.length("word") % 3 > 0), listed.where(F.length("word") % 3 == 0), None
+    for phase in build.PHASES:
+        _, ones, twos = build.models(phase, corpus.unigrams_of(pairs), corpus.bigrams_of(pairs), known, broken, known.limit(0), 20)
+        both = ones.select(F.lit(phase).alias("phase"), F.col("word").alias("w1"), F.lit(None).cast("string").alias("w2"), "cnt", "logprob").unionByName(twos.select(F.lit(phase).alias("phase"), "w1", "w2", "cnt", "logprob"))
+        out = both if out is None else out.unionByName(both)
+    return out
