@@ -8,8 +8,8 @@ stored are node rows, each linked to its parent eight levels up, with the siblin
 changed where the row was tampered with, goes from parent to parent, appends the siblings and folds the hash, until there is no parent.
 
 How it is spread: a leaf's place in its group is found by ranges and counts, so that no group has to fit a task; a group's blocks are spread over tasks. Above the leaves there are node rows for each
-block of 256 leaves, nodes that blocks share once for each of them (a 256th of the leaves' number, times the steps), so a step of the climb joins 256 leaves with one node row, never all leaves with the root. Every step's
-rows are shuffled: about 1.5 KB for a leaf in all.
+block of 256 leaves, nodes that blocks share once for each of them (a 256th of the leaves' number, times the steps), so a step of the climb joins 256 leaves with one node row, never all leaves with the root. Node rows grow with the
+leaves, so they are never broadcast. Every step's rows are shuffled: about 2 KB for a leaf in all.
 
 Edge cases: null columns are part of the hash; ids need not be unique or there: null ids come first, rows that share an id ascend by their leaf, equal rows have equal leaves and places beside each
 other; the null group comes first; a group of one row has its leaf as its subroot, one group's subroot is the root; a lone leaf's proof is the hash of nothing; an id that is null is never
@@ -97,7 +97,7 @@ WITH RECURSIVE climb MAX RECURSION LEVEL 100 AS (
     CAST(NULL AS BINARY) AS subroot, CAST(NULL AS BINARY) AS root
   FROM {{leaves}}
   UNION ALL
-  SELECT c.id, c.grp, c.block, c.leaf, {FOLD.format(hops="n.hops", start="c.folded")}, concat(c.proof, {SIBLINGS.format(hops="n.hops")}), n.parent, n.subroot, n.root
+  SELECT /*+ MERGE(n) */ c.id, c.grp, c.block, c.leaf, {FOLD.format(hops="n.hops", start="c.folded")}, concat(c.proof, {SIBLINGS.format(hops="n.hops")}), n.parent, n.subroot, n.root
   FROM climb c JOIN {{nodes}} n ON c.grp <=> n.grp AND c.block = n.block AND c.parent = n.node
 )
 SELECT id, leaf, subroot, root, unhex(sha2(lower(hex(proof)), 256)) AS proof, folded FROM climb WHERE parent IS NULL
