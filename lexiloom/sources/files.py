@@ -88,10 +88,12 @@ def listed_audio(spark: SparkSession, ids: DataFrame, path: str) -> DataFrame:
 
 
 def model_version(spark: SparkSession, path: str) -> DataFrame:
-    """name: the directory's name of the model that a configuration file names: base name, model type and tied states, joined by a point."""
+    """name: the last folder of the base folder that a training configuration names: what stands between the first and the last double quote of the first line with ``$CFG_BASE_DIR``. Empty
+    without such a line or quotes."""
     text = spark.read.text(path, wholetext=True)
-    value = lambda key: F.regexp_extract("value", rf"(?m)^\$CFG_{key}\s*=\s*'?([^';\r\n]*?)'?\s*;", 1)
-    return text.select(F.concat_ws(".", *[F.nullif(value(k), F.lit("")) for k in ("EXPTNAME", "HMM_TYPE", "N_TIED_STATES")]).alias("name"))
+    line = F.regexp_extract("value", r"(?m)^([^\r\n]*\$CFG_BASE_DIR[^\r\n]*)", 1)
+    folder = F.regexp_replace(F.regexp_extract(line, '"(.*)"', 1), r"[/\\\\]+$", "")
+    return text.select(F.regexp_extract(folder, r"([^/\\\\]*)$", 1).alias("name"))
 
 
 def result_xml(spark: SparkSession, path: str) -> DataFrame:

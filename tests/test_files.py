@@ -38,8 +38,12 @@ def test_words_and_model_files(spark, tmp_path):
     assert sorted((r["word"], r["phones"]) for r in good.collect()) == [("a(2)", ["A", "X"]), ("b", ["B"])] and bad.count() == 0
     (tmp_path / "v").write_text("в\tV\nв\tF\nні\tN I\nзайве\n", "utf-8")
     assert sorted((r["word"], r["phones"]) for r in files.pronunciation_vocabulary(spark, str(tmp_path / "v")).collect()) == [("в", ["V"]), ("ні", ["N", "I"])]
-    (tmp_path / "cfg").write_text("$CFG_EXPTNAME = 'persian';\n$CFG_HMM_TYPE = '.cont.'; # x\n$CFG_N_TIED_STATES = 200;\n")
-    assert files.model_version(spark, str(tmp_path / "cfg")).first()["name"] == "persian..cont..200"
+    for text, name in [
+        ('# x\n$CFG_BASE_DIR = "C:/TrainSphinx/persian.v39";\n$CFG_BASE_DIR = "other";\n', "persian.v39"), ('  $CFG_BASE_DIR="C:\\a/model/";\n', "model"), ("$CFG_BASE_DIR = 'x';\n", ""), ("$CFG_X = 1;\n", ""),
+        ('$CFG_BASE_DIR = "model";', "model"),
+    ]:
+        (tmp_path / "cfg").write_text(text)
+        assert files.model_version(spark, str(tmp_path / "cfg")).first()["name"] == name
 
 
 def test_listed_audio(spark, tmp_path):
