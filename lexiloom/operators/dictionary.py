@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def by_priority(keys: DataFrame, entries: DataFrame) -> DataFrame:
-    """Each key's entry in the first kind that has it: one join on the tagged union. ``entries``: word, prio, kind."""
-    best = entries.groupBy("word").agg(F.min(F.struct("prio", "kind")).alias("x"))
+    """Each key's entry in the first kind that has it: one join on the tagged union. ``entries``: word, prio, kind. Entries that no key asks for go before anything is grouped."""
+    best = entries.join(keys.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.min(F.struct("prio", "kind")).alias("x"))
     return keys.join(best, "word", "left").select("word", F.col("x.kind").alias("kind"))
 
 

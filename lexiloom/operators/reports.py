@@ -183,3 +183,13 @@ def hours(segments: DataFrame, seconds: str, text: str, only: str | None = None)
     """hours: of all segments, or of those only whose text is ``only``."""
     s = F.col(seconds) if only is None else F.when(F.col(text) == only, F.col(seconds))
     return segments.agg(F.coalesce(F.sum(s), F.lit(0.0)).alias("seconds")).select((F.col("seconds") / 3600).alias("hours"))
+
+
+def project(stress: DataFrame, usage: DataFrame, rules: DataFrame, codes: DataFrame) -> DataFrame:
+    """part, subject, message: all that is wrong with a project. ``stress``: word, of whose pronunciations some have stress and some not; ``usage``: code, n (uses); ``rules``: id, message of markers; ``codes``: code,
+    message of utterances."""
+    line = lambda part, df, subject, message: df.select(F.lit(part).alias("part"), F.col(subject).cast("string").alias("subject"), message.alias("message"))
+    return (
+        line("dictionary", stress, "word", F.lit("not all pronCodes specify stress")).unionByName(line("dictionary", usage.where("n = 0"), "code", F.lit("pronCode is not used")))
+        .unionByName(line("annotation", rules, "id", F.col("message"))).unionByName(line("utterance", codes, "code", F.col("message")))
+    )

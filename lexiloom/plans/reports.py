@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.operators import build, corpus, reports
-from lexiloom.plans.catalogue import STREAM, query, stream, table
+from lexiloom.plans import recordings, vocabulary
+from lexiloom.plans.catalogue import ORACLE, STREAM, query, stream, table
 
 
 @query("""WITH f AS (SELECT DISTINCT ['A', 'N', 'R'][1 + p_partkey % 3] AS lemma, nullif(p_partkey % 8, 7) AS "case", nullif(p_size % 4, 3) AS gender, nullif(p_size % 3, 2) AS number FROM part WHERE p_partkey % 5 < 4),
@@ -190,3 +191,10 @@ def phase_models(spark, sf_dir):
         both = ones.select(F.lit(phase).alias("phase"), F.col("word").alias("w1"), F.lit(None).cast("string").alias("w2"), "cnt", "logprob").unionByName(twos.select(F.lit(phase).alias("phase"), "w1", "w2", "cnt", "logprob"))
         out = both if out is None else out.unionByName(both)
     return out
+
+
+@query(f"""SELECT 'dictionary' AS part, word AS subject, 'not all pronCodes specify stress' AS message FROM ({ORACLE["stress_in_part"]}) UNION ALL SELECT 'dictionary', code, 'pronCode is not used' FROM ({ORACLE["pron_usage"]}) WHERE n = 0
+UNION ALL SELECT 'annotation', CAST(id AS VARCHAR), message FROM ({ORACLE["marker_rules"]}) UNION ALL SELECT 'utterance', code, message FROM ({ORACLE["code_messages"]})""")
+def project_report(spark, sf_dir):
+    """The report of a project: dictionaries, annotations and utterances."""
+    return reports.project(vocabulary.stress_in_part(spark, sf_dir), vocabulary.pron_usage(spark, sf_dir), recordings.marker_rules(spark, sf_dir), code_messages(spark, sf_dir))

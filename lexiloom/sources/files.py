@@ -33,12 +33,12 @@ def parameters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def phonetic_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """word, code, phones, log10_hint: one pronunciation as an attribute (its code is the word) or several as ``pron``; both, or a hint above 0, fail."""
-    w = _xml(spark, path, "word", "_name string, _phones string, _log10ProbHint double, pron array<struct<_code:string,_phones:string>>")
+    """word, code, phones, log10_hint, comment: one pronunciation as an attribute (its code is the word) or several as ``pron``; both, or a hint above 0, fail."""
+    w = _xml(spark, path, "word", "_name string, _phones string, _log10ProbHint double, _comment string, pron array<struct<_code:string,_phones:string>>")
     ok = F.when(F.col("_phones").isNotNull() & F.col("pron").isNotNull(), F.raise_error(F.concat(F.lit("phones and pron: "), "_name"))).when(F.col("_log10ProbHint") > 0, F.raise_error(F.concat(F.lit("hint above 0: "), "_name")))
     one = F.array(F.struct(F.col("_name").alias("_code"), F.col("_phones").alias("_phones")))
-    out = w.where(ok.cast("string").isNull()).select(F.col("_name").alias("word"), F.explode(F.coalesce("pron", one)).alias("p"), F.col("_log10ProbHint").alias("log10_hint"))
-    return out.select("word", F.col("p._code").alias("code"), F.filter(F.split("p._phones", " "), lambda x: x != "").alias("phones"), "log10_hint")
+    out = w.where(ok.cast("string").isNull()).select(F.col("_name").alias("word"), F.explode(F.coalesce("pron", one)).alias("p"), F.col("_log10ProbHint").alias("log10_hint"), F.col("_comment").alias("comment"))
+    return out.select("word", F.col("p._code").alias("code"), F.filter(F.split("p._phones", " "), lambda x: x != "").alias("phones"), "log10_hint", "comment")
 
 
 def stress_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -57,11 +57,14 @@ def _by_phase(lines: DataFrame, path: str) -> None:
 
 
 def write_pronunciations_xml(prons: DataFrame, path: str) -> None:
-    """Words as XML rows ``word`` from word, code, phones (array): an attribute ``phones`` where the only code is the word, else a child ``pron`` for each code."""
+    """Words as XML rows ``word`` from word, code, phones (array) and, where they are columns, log10_hint and comment of the word (of several the largest): an attribute ``phones`` where the only code is the
+    word, else a child ``pron`` for each code. A hint above 0 is not written."""
     text = F.array_join("phones", " ")
-    by = prons.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(F.col("code").alias("_code"), text.alias("_phones")))).alias("pron"))
+    more = {"log10_hint": "_log10ProbHint", "comment": "_comment"}
+    kept = [F.max(F.when(F.col(c) <= 0, F.col(c)) if c == "log10_hint" else F.col(c)).alias(n) for c, n in more.items() if c in prons.columns]
+    by = prons.groupBy("word").agg(F.array_sort(F.collect_list(F.struct(F.col("code").alias("_code"), text.alias("_phones")))).alias("pron"), *kept)
     plain = (F.size("pron") == 1) & (F.element_at("pron", 1)["_code"] == F.col("word"))
-    rows = by.select(F.col("word").alias("_name"), F.when(plain, F.element_at("pron", 1)["_phones"]).alias("_phones"), F.when(~plain, F.col("pron")).alias("pron"))
+    rows = by.select(F.col("word").alias("_name"), F.when(plain, F.element_at("pron", 1)["_phones"]).alias("_phones"), F.when(~plain, F.col("pron")).alias("pron"), *[n for c, n in more.items() if c in prons.columns])
     rows.write.format("xml").option("rootTag", "phoneticDict").option("rowTag", "word").save(path)
 
 

@@ -12,6 +12,13 @@ def test_pronunciations_as_xml(spark, tmp_path):
     assert sorted((r["word"], r["code"], r["phones"]) for r in got.collect()) == sorted((r["word"], r["code"], r["phones"]) for r in prons.collect())
 
 
+def test_hints_and_comments_as_xml(spark, tmp_path):
+    rows = [("слово", "слово", ["S", "L"], -2.5, None), ("в", "в", ["V"], None, "two ways"), ("в", "ф", ["F"], None, "two ways"), ("так", "так", ["T"], 3.0, "a hint above 0")]
+    sinks.write_pronunciations_xml(spark.createDataFrame(rows, "word string, code string, phones array<string>, log10_hint double, comment string"), str(tmp_path / "d"))
+    got = {(r["word"], r["code"]): (r["log10_hint"], r["comment"]) for r in files.phonetic_dictionary(spark, str(tmp_path / "d")).collect()}
+    assert got == {("слово", "слово"): (-2.5, None), ("в", "в"): (None, "two ways"), ("в", "ф"): (None, "two ways"), ("так", "так"): (None, "a hint above 0")}
+
+
 def test_results_as_xml(spark, tmp_path):
     rows = [("a/b.wav", "так", "та к", 2), ("c.wav", "ні", None, 1)]
     sinks.write_results_xml(spark.createDataFrame(rows, "rel_path string, expected string, actual string, word_dist int"), str(tmp_path / "r"))
