@@ -11,10 +11,11 @@ neighbouring windows whose kept copies are neighbours in one document too, so th
 whole run in succession, and no run is shorter than ``MIN_WORDS`` words. Runs of different sources may overlap; what a
 kept window covers is never cut, so every kept copy stays whole.
 
-How it is spread: chunking is narrow and cheap, so it runs twice rather than being
+How it is spread: chunking is narrow and cheap, so it runs anew rather than being
 kept: once to see which digests repeat (counts, with map-side partial
 sums), once to be joined with these. A digest's copies meet in
-one task, that picks the kept one. Only repeated windows are gathered by document.
+one task, that picks the kept one, but for hot digests, those of over ``HOT_ROWS`` copies and a thousandth of all repeated windows (at most 1000 digests): their kept copies are found first, by partial sums over another
+run, and their rows are joined by one of ``SALTS`` salts, so they are dealt over as many tasks. Only repeated windows are gathered by document.
 
 Edge cases: null and empty texts have no chunks; rows that agree in id and text are one
 document, so what only they share is not repeated; rows that share an id or have none take part by id and text.
@@ -28,9 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, free, mix64, named, slices, utf8
+from .common import U64, Words, free, materialize, mix64, named, slices, utf8
 
 WINDOW, CUT_BITS, MAX_WORDS, MIN_WORDS = 16, 2, 16, 22
+HOT_ROWS, SALTS = 1000, 64
 BATCH_BYTES = 1 << 20
 
 _GEAR = (mix64(np.arange(256, dtype=U64) + U64(77)) >> U64(48)).astype(np.uint16)
@@ -105,12 +107,20 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """One row for each document with a repeated passage: k, t, ``runs``, an array of struct(start, end, words, kept, with): bytes of the
     passage's covered part, whether this is its kept copy, and the id of the document that has the kept copy; and ``cuts``, an array of struct(start, end):
     bytes that windows kept elsewhere cover, and none that is kept here."""
-    table = window_table(docs, id_col, text_col, min_words)
-    repeats = table.groupBy("d").agg(F.count("*").alias("m")).where("m > 1").select("d")
-    found = window_table(docs, id_col, text_col, min_words).join(repeats, "d")
-    of_digest = Window.partitionBy("d")
-    place = F.struct("t", "nth")
-    found = found.withColumn("least", F.min(F.struct("k", "t", "nth")).over(of_digest)).withColumn("lo", F.min(place).over(of_digest)).withColumn("hi", F.max(place).over(of_digest))
+    table = lambda: window_table(docs, id_col, text_col, min_words)
+    repeats = materialize(table().groupBy("d").agg(F.count("*").alias("m")).where("m > 1"), "repeats")
+    rows = repeats.agg(F.sum("m")).first()[0] or 0
+    hot = repeats.where(F.col("m") > max(HOT_ROWS, rows / 1000)).select("d")  # at most 1000
+    copy, place = F.struct("k", "t", "nth"), F.struct("t", "nth")
+    ends = [F.min(copy).alias("least"), F.min(place).alias("lo"), F.max(place).alias("hi")]
+    known = materialize(table().join(F.broadcast(hot), "d").groupBy("d").agg(*ends), "hot")
+    salts = F.when(F.col("least").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    side = repeats.select("d").join(F.broadcast(known), "d", "left").select("d", F.explode(salts).alias("salt"), F.col("least").alias("least_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
+    marked = table().join(F.broadcast(known.select("d", F.lit(True).alias("hot"))), "d", "left")
+    found = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t", "nth"), F.lit(SALTS)).cast("int")).otherwise(0)).join(side, ["d", "salt"])
+    of_digest = Window.partitionBy("d", "salt")  # all copies of a digest that isn't hot; what a hot one's copies have together is known already
+    for name, end in {"least": F.min(copy), "lo": F.min(place), "hi": F.max(place)}.items():
+        found = found.withColumn(name, F.coalesce(F.col(f"{name}_"), end.over(of_digest)))
     found = found.where("lo <> hi")  # not what only equal rows share
     found = found.select("k", "t", F.struct("nth", "span", F.col("least.t").alias("lt"), F.col("least.nth").alias("ln"), F.col("least.k").alias("lk")).alias("c"))
 
