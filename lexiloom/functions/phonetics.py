@@ -1,12 +1,10 @@
-"""Grapheme to phoneme for Ukrainian: ordered rules over letters, then softening and voicing from right to left.
+"""Grapheme to phoneme for Ukrainian as column expressions: rules over letters, then softness and voice of neighbouring phones.
 
-Phones are written as a base, then ``1`` for soft or stressed, ``2`` for
-palatal. Spark calls it on distinct words; a word with an unknown letter is null.
+Phones are written as a base, then ``1`` for soft or stressed, ``2`` for palatal.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,78 +20,83 @@ UNVOICED_TO_VOICED = {u: v for v, u in VOICED_TO_UNVOICED.items()}
 DAMPED, UNVOICED = set("бгджз"), set("пхктцчсшфщ")
 FILLERS = ["<sil>", "<s>", "</s>", "[sp]", "_s", "[inh]", "[exh]", "[eee]", "[yyy]", "_ignore"]
 
-ALL_VOWELS = {*VOWELS, *IOTATED, "ї"}
-
-
-def phones(word: str | None, stressed: int | None = None, palatal: bool = True) -> list[str] | None:
-    """The phones of a word; ``stressed`` is the syllable (from 0), which a word of one syllable doesn't need."""
-    if word is None:
-        return None
-    w = word.lower()
-    places = [i for i, c in enumerate(w) if c in ALL_VOWELS]
-    accent = places[0] if len(places) == 1 else places[stressed] if stressed is not None and 0 <= stressed < len(places) else -1
-    out: list[list] = []  # base, soft (None: open), vowel, stressed
-
-    def soften() -> None:
-        if out and not out[-1][2]:
-            out[-1][1] = True
-
-    i = 0
-    while i < len(w):
-        c, step = w[i], 1
-        before = w[i - 1] if i else ""
-        if c in "- ":
-            pass
-        elif c == "ї":
-            out += [["J", None, False, False], ["I", None, True, i == accent]]
-        elif cluster := next((k for k in CLUSTERS if w.startswith(k, i)), None):
-            out += [[p.rstrip("1"), True if p.endswith("1") else None, False, False] for p in CLUSTERS[cluster].split()]
-            step = len(cluster)
-        elif c == "ь":
-            if not out or out[-1][2]:
-                return None
-            soften()
-        elif c == "'":
-            if out and not out[-1][2]:
-                out[-1][1] = False
-        elif c in IOTATED:
-            if not before or before in "- ь'" or before in ALL_VOWELS:
-                out.append(["J", None, False, False])
-            else:
-                soften()
-                if len(out) > 1 and out[-2][0] == out[-1][0]:
-                    out[-2][1] = True
-            out.append([IOTATED[c], None, True, i == accent])
-        elif c in VOWELS:
-            if c == "і":
-                soften()
-            elif c == "е" and out and not out[-1][2]:
-                out[-1][1] = False
-            out.append([VOWELS[c], None, True, i == accent])
-        elif c in CONSONANTS:
-            after = w[i + 1 :].removeprefix("ь")[:1]
-            base = CONSONANTS[c]
-            out.append([VOICED_TO_UNVOICED[base] if c in DAMPED and after and after in UNVOICED else base, None, False, False])
-        else:
-            return None
-        i += step
-    for k in range(len(out) - 2, -1, -1):
-        here, there = out[k], out[k + 1]
-        if there[1] and here[0] in SPREADS and there[0] in SPREADS:
-            here[1] = True
-        if here[0] in UNVOICED_TO_VOICED and there[0] in VOICED_TO_UNVOICED:
-            here[0] = UNVOICED_TO_VOICED[here[0]]
-    mark = lambda base, soft: base + ("1" if base in SOFT else "2" if palatal and base != "J" else "") if soft else base
-    return [base + "1" * strong if vowel else mark(base, soft) for base, soft, vowel, strong in out]
-
-
-def g2p(word: Column, stressed: Column | None = None) -> Column:
-    """array<string> of phones."""
-
-    def run(w: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([phones(x, None if pd.isna(y) else int(y)) for x, y in zip(w, s)], dtype=object)
-
-    return F.pandas_udf(run, "array<string>")(word, (F.lit(None) if stressed is None else stressed).cast("long"))
+ALL_VOWELS = "".join([*VOWELS, *IOTATED, "ї"])
+
+#: Within the rules a phone is one letter: a vowel a small one, a consonant a capital one.
+_VOWEL = {"A": "a", "E": "e", "Y": "y", "I": "i", "O": "o", "U": "u"}
+_CONSONANT = {c: c for c in "BVHGDZJKLMNPRSTF"} | {"ZH": "W", "KH": "Q", "TS": "C", "CH": "X", "SH": "Y", "DZ": "E", "DZH": "U"}
+
+
+def _letters_of(phones: str) -> str:
+    """The phones of a cluster as letters, soft ones with a tilde."""
+    return "".join(_CONSONANT[p.rstrip("1")] + "~" * p.endswith("1") for p in phones.split())
+
+
+def _any(phones) -> str:
+    return "[" + "".join(_CONSONANT[p] for p in phones) + "]"
+
+
+def _lookup(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def spelled(word: Column) -> Column:
+    """The letters of a word, small, as phones and what they do to the phone before: ``~`` softens it, ``^`` keeps it hard, ``+`` softens it and an equal one before it. ``!`` after a letter is kept."""
+    # a vowel letter with a J in it has it at a word's or part's start, after vowels, soft signs and apostrophes; elsewhere it softens
+    w = F.regexp_replace(word, f"(?<![^- ь'!{ALL_VOWELS}])([{''.join(IOTATED)}])", "J$1")
+    w = F.regexp_replace(w, f"(?<!J)([{''.join(IOTATED)}])", "+$1")
+    # voiced letters before unvoiced ones, soft or not, are unvoiced; a star marks them
+    w = F.regexp_replace(w, f"([{''.join(sorted(DAMPED))}])(?=ь?[{''.join(sorted(UNVOICED))}])", "$1*")
+    pieces = F.regexp_extract_all(w, F.lit("|".join([*CLUSTERS, f"[{''.join(sorted(DAMPED))}][*]", "."])), F.lit(0))
+    of = {k: _letters_of(v) for k, v in CLUSTERS.items()} | {f"{c}*": _CONSONANT[VOICED_TO_UNVOICED[CONSONANTS[c]]] for c in sorted(DAMPED)} | {c: _CONSONANT[p] for c, p in CONSONANTS.items()}
+    of |= {c: _VOWEL[p] for c, p in (VOWELS | IOTATED).items()} | {"і": "~i", "е": "^e", "ї": "Ji", "ь": "~", "'": "^", "J": "J", "+": "+", "!": "!"}
+    table = _lookup(of)
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(table, p), F.lit(""))), "")
+
+
+def settled(letters: Column) -> Column:
+    """Consonants with a tilde where they are soft: the last mark after a consonant counts, marks after vowels don't, and an equal consonant before one that a vowel softened is soft too."""
+    s = F.regexp_replace(letters, "(?<![A-Z~^+])[~^+]+", "")
+    s = F.regexp_replace(s, "[~^+]*([~^+])", "$1")
+    return F.translate(F.regexp_replace(s, r"([A-Z])[~^]?(?=\1[+])", "$1~"), "+^", "~")
+
+
+def assimilated(letters: Column) -> Column:
+    """Consonants that soften before soft ones of their class, and unvoiced ones that are voiced before voiced ones, through all of a row of them."""
+    soft = _any(sorted(SPREADS))
+    s = F.regexp_replace(letters, f"({soft})~?(?=(?:{soft}~?)*{soft}~)", "$1~")
+    unvoiced = _any(UNVOICED_TO_VOICED)
+    s = F.regexp_replace(s, f"({unvoiced})(?=~?(?:{unvoiced}~?)*{_any(VOICED_TO_UNVOICED)})", "$1*")
+    for u, v in UNVOICED_TO_VOICED.items():
+        s = F.replace(s, F.lit(_CONSONANT[u] + "*"), F.lit(_CONSONANT[v]))
+    return s
+
+
+def named(letters: Column, palatal: bool = True) -> Column:
+    """array<string> of phones by name."""
+    names = {c: p for p, c in _CONSONANT.items()} | {c + "~": p + ("1" if p in SOFT else "2" if palatal and p != "J" else "") for p, c in _CONSONANT.items()}
+    names |= {c: p for p, c in _VOWEL.items()} | {c + "!": p + "1" for p, c in _VOWEL.items()}
+    table = _lookup(names)
+    return F.transform(F.regexp_extract_all(letters, F.lit("[A-Z]~?|[a-z]!?"), F.lit(0)), lambda p: F.element_at(table, p))
+
+
+def g2p(word: Column, stressed: Column | None = None, palatal: bool = True) -> Column:
+    """array<string> of phones: letters to phones by the clusters and letters that a word is cut into, then softness and voice of neighbours, all as expressions. ``stressed`` is the syllable (from 0), which a word of
+    one syllable doesn't need. Null for a null word, one with an unknown letter, or with a soft sign that follows no consonant."""
+    w = F.lower(word)
+    known = "".join([*VOWELS, *IOTATED, *CONSONANTS])
+    good = w.rlike(f"^[{known}щїь' -]*$") & ~w.rlike(f"(^|[{ALL_VOWELS}])[- ']*ь")
+    syllables = F.regexp_count(w, F.lit(f"[{ALL_VOWELS}]"))
+    at = F.when(syllables == 1, F.lit(0)).otherwise(F.lit(None) if stressed is None else stressed.cast("int"))
+    place = F.when(at.isNull() | (at < 0), -1).otherwise(vowel_at(w, at))
+    marked = F.when(place >= 0, F.concat(F.substring(w, F.lit(1), place + 1), F.lit("!"), F.substring(w, place + 2, F.length(w)))).otherwise(w)
+    return F.when(good, named(assimilated(settled(spelled(marked))), palatal))
+
+
+def differing(entries: DataFrame) -> DataFrame:
+    """word, phones, rule: the entries (word, phones as text) whose phones are not those that the rules give for the word. Rules run once for each distinct word; words without phones by rule are left out."""
+    by_rule = entries.select("word").distinct().withColumn("rule", F.array_join(g2p(F.col("word")), " "))
+    return entries.join(by_rule.where("rule is not null"), "word").where(F.col("phones") != F.col("rule")).select("word", "phones", "rule")
 
 
 def strip_modifiers(phone_list: Column) -> Column:

@@ -31,19 +31,54 @@ def number_words(spark, sf_dir):
     return numerals.spelled(table(spark, sf_dir, "documents"))
 
 
-@query()
+#: Letters with marks as well, so that vowels with a J in them, щ and soft signs are there.
+MARKED, LETTERS = "äöüßéèêñóíáç", "яїющєєєнуіац"
+
+
+def pronounced_words(spark, sf_dir):
+    """Distinct words of documents in Latin letters, marked ones too, in Ukrainian letters."""
+    words = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("w")).where(F.col("w").rlike(f"^[A-Za-z{MARKED}]+$"))
+    return words.select(F.translate(F.replace(F.replace("w", F.lit("th"), F.lit("ть")), F.lit("ns"), F.lit("н'ї")), LATIN + MARKED + LATIN.upper(), CYRILLIC + LETTERS + CYRILLIC).alias("word")).distinct()
+
+
+_CODES = """w AS MATERIALIZED (SELECT DISTINCT translate(replace(replace(u, 'th', 'ть'), 'ns', 'н''ї'), 'abcdefghijklmnopqrstuvwxyzäöüßéèêñóíáçABCDEFGHIJKLMNOPQRSTUVWXYZ', 'абцдефгхіжклмнопкрстувшєизяїющєєєнуіацабцдефгхіжклмнопкрстувшєиз') AS word FROM (SELECT unnest(l) AS u FROM (
+SELECT regexp_extract_all(coalesce(text, ''), '[^.?!…_"#$%&+/:;<=>@\\\\^\\[\\](){},‚§©«»“”„‟–—*•№\\x{F009}¬\\-''’`\\t\\r\\n \\x{00A0}0-9]+') AS l FROM documents)) WHERE regexp_full_match(u, '[A-Za-zäöüßéèêñóíáç]+')),
+t AS (SELECT word, regexp_extract_all(word, 'нтськ|стськ|нтст|здж|стд|стс|стц|тьс|дз|дж|зж|сш|тс|тц|тч|щ|.') AS t FROM w),
+c AS (SELECT word, list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i] = 'ї' THEN 'Ji' WHEN t[i] = 'ь' THEN '~' WHEN t[i] = '''' THEN '^' WHEN t[i] = 'і' THEN '~i' WHEN t[i] = 'е' THEN '^e'
+  WHEN t[i] IN ('є', 'ю', 'я') THEN CASE WHEN i = 1 OR contains('ь''аеиіоуєюяї', right(t[i - 1], 1)) THEN 'J' ELSE '+' END || translate(t[i], 'єюя', 'eua')
+  WHEN t[i] IN ('а', 'и', 'о', 'у') THEN translate(t[i], 'аиоу', 'ayou')
+  WHEN t[i] = 'нтськ' THEN 'NS~K' WHEN t[i] = 'стськ' THEN 'S~K' WHEN t[i] = 'нтст' THEN 'NST' WHEN t[i] = 'здж' THEN 'WU' WHEN t[i] = 'стд' THEN 'ZD' WHEN t[i] = 'стс' THEN 'SS' WHEN t[i] = 'стц' THEN 'SC' WHEN t[i] = 'тьс' THEN 'C~'
+  WHEN t[i] = 'дз' THEN 'E' WHEN t[i] = 'дж' THEN 'U' WHEN t[i] = 'зж' THEN 'WW' WHEN t[i] = 'сш' THEN 'YY' WHEN t[i] = 'тс' THEN 'C' WHEN t[i] = 'тц' THEN 'CC' WHEN t[i] = 'тч' THEN 'XX' WHEN t[i] = 'щ' THEN 'YX'
+  WHEN t[i] IN ('б', 'г', 'д', 'ж', 'з') AND regexp_matches(array_to_string(t[i + 1 :], ''), '^ь?[пхктцчсшфщ]') THEN translate(t[i], 'бгджз', 'PQTYS') ELSE translate(t[i], 'бвгґджзйклмнпрстфхцчш', 'BVHGDWZJKLMNPRSTFQCXY') END) AS c FROM t),
+p AS (SELECT word, regexp_extract_all(array_to_string(c, ''), '[A-Z][~^+]*|[a-z]') AS p FROM c),
+q AS (SELECT word, p, array_to_string([left(x, 1) for x in p], '') AS b, [CASE WHEN length(x) > 1 THEN right(x, 1) ELSE '' END for x in p] AS e FROM p),
+s AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: e[i] IN ('~', '+') OR coalesce(b[i] = b[i + 1] AND e[i + 1] = '+', false)) AS soft FROM q),
+v AS (SELECT word, b, list_transform(range(1, len(p) + 1), lambda i: soft[i] OR len(list_filter(range(i + 1, len(p) + 1), lambda j: soft[j] AND regexp_full_match(substr(b, i, j - i + 1), '[DETCZSNL]+'))) > 0) AS soft,
+  list_transform(range(1, len(p) + 1), lambda i: CASE WHEN regexp_matches(substr(b, i), '^[PQKTCXSY]+[BHGDEUZW]') THEN translate(b[i], 'PQKTCXSY', 'BHGDEUZW') ELSE b[i] END) AS f FROM s),
+ph AS MATERIALIZED (SELECT word, CASE WHEN regexp_matches(word, '(^|[аеиіоуєюяї])[- '']*ь') THEN NULL ELSE list_transform(range(1, len(f) + 1), lambda i: CASE f[i] WHEN 'W' THEN 'ZH' WHEN 'Q' THEN 'KH' WHEN 'C' THEN 'TS' WHEN 'X' THEN 'CH' WHEN 'Y' THEN 'SH' WHEN 'E' THEN 'DZ' WHEN 'U' THEN 'DZH' ELSE upper(f[i]) END ||
+  CASE WHEN regexp_full_match(f[i], '[a-z]') THEN CASE WHEN len(regexp_extract_all(b, '[a-z]')) = 1 THEN '1' ELSE '' END WHEN soft[i] THEN CASE WHEN contains('DEZLNRSTC', f[i]) THEN '1' WHEN f[i] = 'J' THEN '' ELSE '2' END ELSE '' END) END AS phones FROM v)"""
+
+
+@query(f"WITH {_CODES} SELECT word, array_to_string(phones, ' ') AS phones FROM ph")
 def g2p(spark, sf_dir):
     """Phones of distinct words."""
-    return cyrillic_words(spark, sf_dir).select("word", F.array_join(phonetics.g2p(F.col("word")), " ").alias("phones"))
+    return pronounced_words(spark, sf_dir).select("word", F.array_join(phonetics.g2p(F.col("word")), " ").alias("phones"))
 
 
-@query()
+@query(f"WITH {_CODES}, x AS (SELECT DISTINCT word, regexp_replace(unnest(phones), '[0-9]+$', '') AS phone FROM ph) SELECT phone, count(*) AS n_words FROM x GROUP BY phone")
 def phone_inventory(spark, sf_dir):
     """Phones without their marks and how many words have them."""
-    phones = cyrillic_words(spark, sf_dir).select("word", F.explode(F.array_distinct(phonetics.strip_modifiers(phonetics.g2p(F.col("word"))))).alias("phone"))
+    phones = pronounced_words(spark, sf_dir).select("word", F.explode(F.array_distinct(phonetics.strip_modifiers(phonetics.g2p(F.col("word"))))).alias("phone"))
     return phones.groupBy("phone").agg(F.count("*").alias("n_words"))
 
 
+@query(f"""WITH {_CODES}, r AS (SELECT word, array_to_string(phones, ' ') AS rule FROM ph WHERE phones IS NOT NULL) SELECT word, replace(replace(rule, '2', ''), 'KH', 'H') AS phones, rule FROM r WHERE contains(rule, '2') OR contains(rule, 'KH')""")
+def speller_diff(spark, sf_dir):
+    """Entries of a dictionary whose phones are not those that the rules give; the dictionary has no palatal phones and another one for KH."""
+    phones = F.replace(F.array_join(phonetics.g2p(F.col("word"), palatal=False), " "), F.lit("KH"), F.lit("H"))
+    return phonetics.differing(pronounced_words(spark, sf_dir).select("word", phones.alias("phones")))
+
+
 _ENDS = f"""{_DISTINCT},
 e AS (SELECT word, unnest(range(1, 7)) AS k FROM w), f AS MATERIALIZED (SELECT word, right(word, CAST(k AS INTEGER)) AS suffix, k FROM e WHERE length(word) - k >= 2),
 s AS MATERIALIZED (SELECT suffix FROM f WHERE k >= 2 GROUP BY suffix HAVING count(*) >= 5),

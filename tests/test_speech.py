@@ -32,19 +32,6 @@ def test_zero():
     assert numerals.words(0, "card", "G", "pl") == "нулів"
 
 
-@pytest.mark.parametrize("word, want", [("єврей", "J E V R E J"), ("життя", "ZH Y T1 T1 A"), ("боротьба", "B O R O D1 B A"), ("дзвін", "DZ V2 I1 N"), ("щастя", "SH CH A S1 T1 A"), ("-", ""), ("", "")])
-def test_phones(word, want):
-    assert " ".join(phonetics.phones(word)) == want
-
-
-def test_phones_unknown():
-    assert phonetics.phones("abc") is None and phonetics.phones(None) is None and phonetics.phones("ь") is None
-
-
-def test_stress_by_dictionary():
-    assert phonetics.phones("мама", 1) == ["M", "A", "M", "A1"]
-
-
 def test_suffix_split(spark):
     words = spark.createDataFrame([("книгами",), ("он",)], "word string")
     got = phonetics.suffix_split(words, spark.createDataFrame([("ми",), ("ами",)], "suffix string"))
