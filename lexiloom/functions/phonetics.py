@@ -96,7 +96,8 @@ def g2p(word: Column, stressed: Column | None = None, palatal: bool = True) -> C
 def differing(entries: DataFrame) -> DataFrame:
     """word, phones, rule: the entries (word, phones as text) whose phones are not those that the rules give for the word. Rules run once for each distinct word; words without phones by rule are left out."""
     by_rule = entries.select("word").distinct().withColumn("rule", F.array_join(g2p(F.col("word")), " "))
-    return entries.join(by_rule.where("rule is not null"), "word").where(F.col("phones") != F.col("rule")).select("word", "phones", "rule")
+    wrong = F.coalesce(F.col("phones") != F.col("rule"), F.lit(False))  # a plain comparison would send its null checks, and the rules with them, down to every occurrence of a word
+    return entries.join(by_rule, "word").where(wrong).select("word", "phones", "rule")
 
 
 def strip_modifiers(phone_list: Column) -> Column:
