@@ -26,10 +26,10 @@ def _paths(spark, sf_dir):
     return cut.select("user_id", "segment", emission.alias("e")).withColumn("a", alignment.viterbi(F.col("e")))
 
 
-@query(f"WITH RECURSIVE {_SEGMENTS} SELECT user_id, segment, round(score, 6) AS score, starts FROM p")
+@query(f"WITH RECURSIVE {_SEGMENTS} SELECT user_id, segment, round(score, 6) AS score, array_to_string(starts, ' ') AS starts FROM p")
 def viterbi_align(spark, sf_dir):
     """three levels aligned with segments of 64 values; a segment of fewer than three values has no path."""
-    return _paths(spark, sf_dir).select("user_id", "segment", F.round("a.score", 6).alias("score"), "a.starts")
+    return _paths(spark, sf_dir).select("user_id", "segment", F.round("a.score", 6).alias("score"), F.array_join("a.starts", " ").alias("starts"))
 
 
 @query(f"""WITH RECURSIVE {_SEGMENTS}, q AS (SELECT user_id, segment, e, starts, unnest([1, 2, 3]) AS s FROM p WHERE len(starts) = 3),
