@@ -111,6 +111,19 @@ def vowel_at(word: Column, syllable: Column) -> Column:
     return F.coalesce(F.get(at, syllable.cast("int")) - 1, F.lit(-1))
 
 
+def syllable_at(word: Column, place: Column) -> Column:
+    """The syllable (from 0) whose vowel stands at a place (from 0), -1 if there is no vowel."""
+    before = F.regexp_count(F.lower(F.substring(word, F.lit(1), place.cast("int"))), F.lit(f"[{ALL_VOWELS}]"))
+    own = F.lower(F.substring(word, place.cast("int") + 1, F.lit(1))).rlike(f"^[{ALL_VOWELS}]$") & (place >= 0)
+    return F.when(F.coalesce(own, F.lit(False)), before).otherwise(-1)
+
+
+def stressed_g2p(words: DataFrame, stresses: DataFrame) -> DataFrame:
+    """word, phones of words (word) with the stress that a dictionary (word, syllable from 0; of several the first) gives; words that it lacks have none, if they have more than one syllable."""
+    one = stresses.groupBy("word").agg(F.min("syllable").alias("syllable"))
+    return words.join(one, "word", "left").select("word", g2p(F.col("word"), F.col("syllable")).alias("phones"))
+
+
 def suffix_split(words: DataFrame, suffixes: DataFrame, longest: int = 6) -> DataFrame:
     """word, stem, suffix: the longest known suffix that leaves two letters or more and doesn't start with ь or '; suffix null if none fits.
     An equality join of a word's few endings with the suffixes (word parts), no comparison of each with each."""

@@ -41,6 +41,7 @@ def pronounced_words(spark, sf_dir):
     return words.select(F.translate(F.replace(F.replace("w", F.lit("th"), F.lit("ть")), F.lit("ns"), F.lit("н'ї")), LATIN + MARKED + LATIN.upper(), CYRILLIC + LETTERS + CYRILLIC).alias("word")).distinct()
 
 
+_STRESS = "CAST(NULL AS INTEGER)"
 _CODES = """w AS MATERIALIZED (SELECT DISTINCT translate(replace(replace(u, 'th', 'ть'), 'ns', 'н''ї'), 'abcdefghijklmnopqrstuvwxyzäöüßéèêñóíáçABCDEFGHIJKLMNOPQRSTUVWXYZ', 'абцдефгхіжклмнопкрстувшєизяїющєєєнуіацабцдефгхіжклмнопкрстувшєиз') AS word FROM (SELECT unnest(l) AS u FROM (
 SELECT regexp_extract_all(coalesce(text, ''), '[^.?!…_"#$%&+/:;<=>@\\\\^\\[\\](){},‚§©«»“”„‟–—*•№\\x{F009}¬\\-''’`\\t\\r\\n \\x{00A0}0-9]+') AS l FROM documents)) WHERE regexp_full_match(u, '[A-Za-zäöüßéèêñóíáç]+')),
 t AS (SELECT word, regexp_extract_all(word, 'нтськ|стськ|нтст|здж|стд|стс|стц|тьс|дз|дж|зж|сш|тс|тц|тч|щ|.') AS t FROM w),
@@ -56,7 +57,7 @@ s AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: e[i] IN ('~', '+'
 v AS (SELECT word, b, list_transform(range(1, len(p) + 1), lambda i: soft[i] OR len(list_filter(range(i + 1, len(p) + 1), lambda j: soft[j] AND regexp_full_match(substr(b, i, j - i + 1), '[DETCZSNL]+'))) > 0) AS soft,
   list_transform(range(1, len(p) + 1), lambda i: CASE WHEN regexp_matches(substr(b, i), '^[PQKTCXSY]+[BHGDEUZW]') THEN translate(b[i], 'PQKTCXSY', 'BHGDEUZW') ELSE b[i] END) AS f FROM s),
 ph AS MATERIALIZED (SELECT word, CASE WHEN regexp_matches(word, '(^|[аеиіоуєюяї])[- '']*ь') THEN NULL ELSE list_transform(range(1, len(f) + 1), lambda i: CASE f[i] WHEN 'W' THEN 'ZH' WHEN 'Q' THEN 'KH' WHEN 'C' THEN 'TS' WHEN 'X' THEN 'CH' WHEN 'Y' THEN 'SH' WHEN 'E' THEN 'DZ' WHEN 'U' THEN 'DZH' ELSE upper(f[i]) END ||
-  CASE WHEN regexp_full_match(f[i], '[a-z]') THEN CASE WHEN len(regexp_extract_all(b, '[a-z]')) = 1 THEN '1' ELSE '' END WHEN soft[i] THEN CASE WHEN contains('DEZLNRSTC', f[i]) THEN '1' WHEN f[i] = 'J' THEN '' ELSE '2' END ELSE '' END) END AS phones FROM v)"""
+  CASE WHEN regexp_full_match(f[i], '[a-z]') THEN CASE WHEN len(regexp_extract_all(b, '[a-z]')) = 1 OR coalesce(len(regexp_extract_all(left(b, CAST(i AS INTEGER)), '[a-z]')) = 1 + CAST(NULL AS INTEGER), false) THEN '1' ELSE '' END WHEN soft[i] THEN CASE WHEN contains('DEZLNRSTC', f[i]) THEN '1' WHEN f[i] = 'J' THEN '' ELSE '2' END ELSE '' END) END AS phones FROM v)"""
 
 
 @query(f"WITH {_CODES} SELECT word, array_to_string(phones, ' ') AS phones FROM ph")
@@ -79,6 +80,20 @@ def speller_diff(spark, sf_dir):
     return phonetics.differing(pronounced_words(spark, sf_dir).select("word", phones.alias("phones")))
 
 
+@query(f"WITH {_CODES.replace(_STRESS, 'CASE WHEN length(word) % 2 = 0 THEN length(word) % 3 END')} SELECT word, array_to_string(phones, ' ') AS phones FROM ph")
+def stressed_phones(spark, sf_dir):
+    """Phones with the stress of a dictionary, which half of the words have (by their length)."""
+    words = pronounced_words(spark, sf_dir)
+    stresses = words.where(F.length("word") % 2 == 0).select("word", (F.length("word") % 3).alias("syllable"))
+    return phonetics.stressed_g2p(words, stresses).select("word", F.array_join("phones", " ").alias("phones"))
+
+
+@query(f"WITH {_CODES} SELECT word, CAST(CASE WHEN regexp_matches(substr(word, 3, 1), '[аеиіоуєюяї]') THEN len(regexp_extract_all(left(word, 2), '[аеиіоуєюяї]')) ELSE -1 END AS INTEGER) AS syllable FROM w")
+def vowel_syllables(spark, sf_dir):
+    """The syllable of the third letter, -1 if it is no vowel."""
+    return pronounced_words(spark, sf_dir).select("word", phonetics.syllable_at(F.col("word"), F.lit(2)).cast("int").alias("syllable"))
+
+
 _ENDS = f"""{_DISTINCT},
 e AS (SELECT word, unnest(range(1, 7)) AS k FROM w), f AS MATERIALIZED (SELECT word, right(word, CAST(k AS INTEGER)) AS suffix, k FROM e WHERE length(word) - k >= 2),
 s AS MATERIALIZED (SELECT suffix FROM f WHERE k >= 2 GROUP BY suffix HAVING count(*) >= 5),

@@ -100,5 +100,18 @@ def test_random_words(spark, palatal):
         assert r.p == by_letters(r.w, r.s, palatal), (r.w, r.s)
 
 
+def test_stress_of_a_dictionary(spark):
+    words = spark.createDataFrame([("мама",), ("слово",), ("сон",)], "word string")
+    got = {r.word: " ".join(r.phones) for r in P.stressed_g2p(words, spark.createDataFrame([("мама", 1), ("мама", 0), ("нема", 0)], "word string, syllable int")).collect()}
+    assert got == {"мама": "M A1 M A", "слово": "S L O V O", "сон": "S O1 N"}
+
+
+def test_syllables_and_places(spark):
+    df = spark.createDataFrame([("Їжак", 0), ("Їжак", 2), ("Їжак", 1), ("Їжак", 9), ("Їжак", -1), ("", 0)], "w string, p int")
+    assert [r[0] for r in df.select(P.syllable_at(F.col("w"), F.col("p"))).collect()] == [0, 1, -1, -1, -1, -1]
+    back = df.where("p = 2").select(P.vowel_at(F.col("w"), F.lit(1)), P.vowel_at(F.col("w"), F.lit(2))).first()
+    assert tuple(back) == (2, -1)
+
+
 def test_no_python_worker(spark):
     assert "Python" not in spark.createDataFrame([("так",)], "w string").select(P.g2p(F.col("w")))._jdf.queryExecution().toString()
