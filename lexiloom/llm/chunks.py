@@ -110,14 +110,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     table = lambda: window_table(docs, id_col, text_col, min_words)
     repeats = materialize(table().groupBy("d").agg(F.count("*").alias("m")).where("m > 1"), "repeats")
     rows = repeats.agg(F.sum("m")).first()[0] or 0
-    hot = repeats.where(F.col("m") > max(HOT_ROWS, rows / 1000)).select("d")  # at most 1000
+    ids = [r["d"] for r in repeats.where(F.col("m") > max(HOT_ROWS, rows / 1000)).select("d").collect()]  # at most 1000 numbers
+    hot = F.col("d").isin(ids) if ids else F.lit(False)
     copy, place = F.struct("k", "t", "nth"), F.struct("t", "nth")
     ends = [F.min(copy).alias("least"), F.min(place).alias("lo"), F.max(place).alias("hi")]
-    known = materialize(table().join(F.broadcast(hot), "d").groupBy("d").agg(*ends), "hot")
+    known = materialize(table().where(hot).groupBy("d").agg(*ends), "hot")
     salts = F.when(F.col("least").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     side = repeats.select("d").join(F.broadcast(known), "d", "left").select("d", F.explode(salts).alias("salt"), F.col("least").alias("least_"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
-    marked = table().join(F.broadcast(known.select("d", F.lit(True).alias("hot"))), "d", "left")
-    found = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t", "nth"), F.lit(SALTS)).cast("int")).otherwise(0)).join(side, ["d", "salt"])
+    found = table().withColumn("salt", F.when(hot, F.pmod(F.xxhash64("t", "nth"), F.lit(SALTS)).cast("int")).otherwise(0)).join(side, ["d", "salt"])
     of_digest = Window.partitionBy("d", "salt")  # all copies of a digest that isn't hot; what a hot one's copies have together is known already
     for name, end in {"least": F.min(copy), "lo": F.min(place), "hi": F.max(place)}.items():
         found = found.withColumn(name, F.coalesce(F.col(f"{name}_"), end.over(of_digest)))
