@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,7 +12,20 @@ from pyspark.sql import functions as F
 STOP = r".?!…"
 PUNCT = r"_\"#$%&+/:;<=>@\\^\[\](){},‚§©«»“”„‟–—*•№\x{F009}¬\-'’`"
 SPACE = r"\t\r\n \x{00A0}"
-TOKEN = rf"[{STOP}]|[{PUNCT}]|[{SPACE}]+|[0-9]+|[^{STOP}{PUNCT}{SPACE}0-9]+"
+
+
+def _others(marks: str) -> str:
+    """A class of the characters that a body lacks: positive, those of Latin-1 as a set that is asked first. A negated class asks each of its rarer marks about each letter, which takes six times as long."""
+    mark = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), marks) + "]")
+    found = [c for c in range(0x10000) if mark.match(chr(c))]
+    near = "".join(f"\\x{{{c:X}}}" for c in range(256) if c not in found)
+    ends = [255, *(c for c in found if c > 255), 0x110000]
+    return f"[[{near}]" + "".join(f"\\x{{{a + 1:X}}}-\\x{{{b - 1:X}}}" for a, b in zip(ends, ends[1:]) if b - a > 1) + "]"
+
+
+#: The class of the characters that are in none of these classes and no digits either.
+LETTER = _others(f"{STOP}{PUNCT}{SPACE}0-9")
+TOKEN = rf"{LETTER}+|[{SPACE}]+|[0-9]+|[{STOP}]|[{PUNCT}]"
 # Letters.
 UK_VOWELS = "аеєиіїоуюя"
 UK_CONSONANTS = "бвгґджзйклмнпрстфхцчшщ"
@@ -30,14 +44,15 @@ def tokens(text: Column) -> Column:
 
 def run_type(token: Column) -> Column:
     """stop, punct, space, digit or alpha: a token's first character tells."""
-    first = F.substring(token, 1, 1)
-    is_in = lambda body: first.rlike(f"[{body}]")
-    return F.when(is_in(STOP), "stop").when(is_in(PUNCT), "punct").when(is_in(SPACE), "space").when(is_in("0-9"), "digit").otherwise("alpha")
+    is_in = lambda body: token.rlike(f"^[{body}]")
+    first = F.substring(token, 1, 1)  # the most frequent ones are told by a comparison
+    plain = F.when(first.between("a", "z") | first.between("A", "Z"), "alpha").when(first == " ", "space").when(first.between("0", "9"), "digit")
+    return plain.when(token.rlike(f"^{LETTER}"), "alpha").when(is_in(STOP), "stop").when(is_in(PUNCT), "punct").when(is_in(SPACE), "space").otherwise("alpha")
 
 
 def skeleton(text: Column) -> tuple[Column, Column, Column]:
     """A text with each run of letters as ``a``; then also each run of blanks as one; then also each run of digits as ``0``, which leaves a character a token."""
-    letters = F.regexp_replace(text, f"[^{STOP}{PUNCT}{SPACE}0-9]+", "a")
+    letters = F.regexp_replace(text, f"{LETTER}+", "a")
     blanks = F.regexp_replace(letters, f"[{SPACE}]+", " ")
     return letters, blanks, F.regexp_replace(blanks, "[0-9]+", "0")
 
@@ -50,17 +65,16 @@ def n_of(text: Column, characters: str) -> Column:
 def sentences(text: Column, abbreviations: list[str] = ABBREVIATIONS) -> Column:
     """A text cut after each run of stops that ends a sentence, in order: after the text's start or a token of two characters or more that is no
     abbreviation. (Further stops of such a run stay with it.) What follows the last end comes last, often empty."""
-    words = f"[^{STOP}{PUNCT}{SPACE}0-9]"
-    long = f"{words}{{2}}|[0-9]{{2}}|[{SPACE}]{{2}}"
+    long = f"{LETTER}{{2}}|[0-9]{{2}}|[{SPACE}]{{2}}"
     short = "|".join(a for a in abbreviations if len(a) > 1)
-    ends = f"((?=[{STOP}])(?:^|(?<={long}))(?<!(?<!{words})(?iu:{short}))[{STOP}]+)" if short else f"((?=[{STOP}])(?:^|(?<={long}))[{STOP}]+)"
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), END, "\uFDD1"), ends, "$1" + END)
+    ends = f"[{STOP}](?<=(?:^|{long})[{STOP}])" + (f"(?<!(?<!{LETTER})(?iu:{short})[{STOP}])" if short else "") + f"[{STOP}]*"  # a stop comes first, so that nothing else is looked at elsewhere
+    marked = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit(END), F.lit("\uFDD1")), ends, "$0" + END)
     return F.split(marked, END)
 
 
 def words(sentence: Column) -> Column:
     """The tokens of a sentence that are neither stops, signs, blanks nor numbers."""
-    return F.regexp_extract_all(sentence, F.lit(f"[^{STOP}{PUNCT}{SPACE}0-9]+"), F.lit(0))
+    return F.regexp_extract_all(sentence, F.lit(f"{LETTER}+"), F.lit(0))
 
 
 def word_class(token: Column) -> Column:
@@ -123,6 +137,5 @@ def mangled(code: Column) -> Column:
 
 def unified(text: Column) -> Column:
     """Dashes as hyphens; words split by an optional hyphen and words with an apostrophe inside as one token's worth of characters."""
-    letter = f"[^{STOP}{PUNCT}{SPACE}0-9]"
-    one = F.regexp_replace(F.replace(text, F.lit("—"), F.lit("-")), f"(?<={letter})¬(?={letter})|(?<=[0-9])¬(?=[0-9])", "")
-    return F.regexp_replace(one, f"(?<={letter})[’`](?={letter})", "'")
+    one = F.regexp_replace(F.replace(text, F.lit("—"), F.lit("-")), f"¬(?:(?<={LETTER}¬)(?={LETTER})|(?<=[0-9]¬)(?=[0-9]))", "")
+    return F.regexp_replace(one, f"[’`](?<={LETTER}.)(?={LETTER})", "'")
