@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lexiloom.sources import sinks
 
 from . import corpus, reports, vocabulary
+from .shared import stored
 
 PHASES = ("train", "test")
 MANIFEST = "step string, digest string, path string"
@@ -76,8 +77,8 @@ def dictionary(words: DataFrame, entries: DataFrame, spell: Callable[[Column], C
 def models(phase: str, usage: DataFrame, bigrams: DataFrame, known: DataFrame, broken: DataFrame, removed: DataFrame, min_usage: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A phase's vocabulary (word, cnt), unigrams (word, cnt, logprob) and bigrams (w1, w2, cnt, logprob)."""
     words = reports.vocabulary_by_phase(usage, known, broken, removed, min_usage).where(F.col("phase") == phase).select("word", "cnt")
-    marked = vocabulary.with_sentence_marks(words, usage)
-    return words, vocabulary.model_unigrams(marked), corpus.lm_bigram(vocabulary.within(bigrams, marked))
+    marked = stored(vocabulary.with_sentence_marks(words, usage))
+    return words, vocabulary.model_unigrams(marked), corpus.lm_bigram(stored(vocabulary.within(bigrams, marked)))
 
 
 def build(

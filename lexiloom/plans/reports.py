@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.operators import build, corpus, reports
+from lexiloom.operators.shared import stored
 from lexiloom.plans import recordings, vocabulary
 from lexiloom.plans.catalogue import ORACLE, STREAM, query, stream, table
 
@@ -151,7 +152,7 @@ def phase_vocabulary(spark, sf_dir):
     """K2: vocabularies of training and testing; broken words are in training alone."""
     listed = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''").distinct()
     removed = table(spark, sf_dir, "conversations").where("turn = 0").select(F.explode(F.split("text", " ")).alias("word"))
-    return reports.vocabulary_by_phase(corpus.unigrams(stream(spark, sf_dir)), listed.where(F.length("word") % 3 > 0), listed.where(F.length("word") % 3 == 0), removed, 5)
+    return reports.vocabulary_by_phase(stored(corpus.unigrams(stream(spark, sf_dir))), listed.where(F.length("word") % 3 > 0), listed.where(F.length("word") % 3 == 0), removed, 5)
 
 
 @query("""WITH l AS (SELECT 'texts/' || source || CASE WHEN lang = 'de' THEN '/BROKEN' ELSE '' END AS file, doc_id FROM documents), f AS (SELECT DISTINCT file FROM l WHERE file NOT LIKE '%BROKEN%' ORDER BY file LIMIT 12)
@@ -183,11 +184,12 @@ b2 AS (SELECT p.phase, w1, w2, cnt FROM (VALUES ('train'), ('test')) p(phase), b
 UNION ALL SELECT phase, w1, w2, cnt, round(log10(0.8 * cnt / sum(cnt) OVER (PARTITION BY phase, w1)), 6) FROM b2""")
 def phase_models(spark, sf_dir):
     """K8: language models of both phases from one count of the texts."""
-    pairs = corpus.pairs(stream(spark, sf_dir))
+    pairs = stored(corpus.pairs(stream(spark, sf_dir)))
+    usage = stored(corpus.unigrams_of(pairs))
     listed = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''").distinct()
     known, broken, out = listed.where(F.length("word") % 3 > 0), listed.where(F.length("word") % 3 == 0), None
     for phase in build.PHASES:
-        _, ones, twos = build.models(phase, corpus.unigrams_of(pairs), corpus.bigrams_of(pairs), known, broken, known.limit(0), 20)
+        _, ones, twos = build.models(phase, usage, corpus.bigrams_of(pairs), known, broken, known.limit(0), 20)
         both = ones.select(F.lit(phase).alias("phase"), F.col("word").alias("w1"), F.lit(None).cast("string").alias("w2"), "cnt", "logprob").unionByName(twos.select(F.lit(phase).alias("phase"), "w1", "w2", "cnt", "logprob"))
         out = both if out is None else out.unionByName(both)
     return out
