@@ -52,6 +52,12 @@ def good_sentences(text: Column) -> Column:
     return F.filter(F.transform(good, lambda s: T.words(s)), lambda w: F.size(w) > 0)
 
 
+def sentence_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_sentences, n_words of the documents that have words in sentences without numbers and optional hyphens. The counts are made in a generator: a filter on them would be put below and find the sentences twice."""
+    counts = F.transform(F.array(good_sentences(F.col(text_col))), lambda s: F.struct(F.size(s).cast("long").alias("n_sentences"), F.size(F.flatten(s)).cast("long").alias("n_words")))
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.filter(counts, lambda c: c["n_sentences"] > 0)))
+
+
 def word_stream(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, next: the words of each document's sentences without numbers and optional hyphens, between <s> and </s>; next crosses sentence ends, not documents.
     All of it happens within the row, so counting is the first thing that is shuffled."""
@@ -74,6 +80,13 @@ def bigrams_of(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("next").isNotNull()).select(F.col("word").alias("w1"), F.col("next").alias("w2"), "cnt")
 
 
+def sizes(pairs: DataFrame) -> DataFrame:
+    """gram, n, usage: distinct unigrams and bigrams and how often they occur, from one pass over the pairs."""
+    words = pairs.groupBy("word").agg(F.sum("cnt").alias("cnt"), F.count("next").alias("n2"), F.sum(F.when(F.col("next").isNotNull(), F.col("cnt"))).alias("cnt2"))
+    one = words.agg(F.count("*").alias("n"), F.sum("cnt").alias("cnt"), F.coalesce(F.sum("n2"), F.lit(0)).alias("n2"), F.sum("cnt2").alias("cnt2"))
+    return one.selectExpr("stack(2, 1, n, cnt, 2, n2, cnt2) AS (gram, n, usage)")
+
+
 def unigrams(stream: DataFrame) -> DataFrame:
     return stream.groupBy("word").agg(F.count("*").alias("cnt"))
 

@@ -76,8 +76,7 @@ def sentences(spark, sf_dir):
 @query(f"WITH {WORDS} SELECT doc_id, count(DISTINCT sent_id) AS n_sentences, count(*) AS n_words FROM good GROUP BY doc_id")
 def sentence_filter(spark, sf_dir):
     """Sentences and words left after dropping numbers, optional hyphens and signs."""
-    found = table(spark, sf_dir, "documents").select("doc_id", corpus.good_sentences(F.col("text")).alias("found"))
-    return found.where(F.size("found") > 0).select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.size(F.flatten("found")).cast("long").alias("n_words"))
+    return corpus.sentence_counts(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {STREAM} SELECT word, cnt FROM uni")
@@ -95,9 +94,7 @@ def bigram_counts(spark, sf_dir):
 @query(f"WITH {STREAM} SELECT CAST(1 AS INTEGER) AS gram, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS usage FROM uni UNION ALL SELECT 2, count(*), CAST(sum(cnt) AS BIGINT) FROM bi")
 def ngram_sizes(spark, sf_dir):
     """E4, E5."""
-    s = corpus.pairs(stream(spark, sf_dir))
-    size = lambda df, k: df.agg(F.lit(k).alias("gram"), F.count("*").alias("n"), F.sum("cnt").alias("usage"))
-    return size(corpus.unigrams_of(s), 1).unionByName(size(corpus.bigrams_of(s), 2))
+    return corpus.sizes(corpus.pairs(stream(spark, sf_dir)))
 
 
 @query(f"WITH {STREAM} SELECT word, round(log10(cnt / (SELECT sum(cnt) FROM uni)), 6) AS logprob, round(log10(0.2), 6) AS backoff FROM uni")
