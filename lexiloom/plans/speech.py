@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import numerals, phonetics
 from lexiloom.functions import text as T
 from lexiloom.operators import corpus, speech
+from lexiloom.operators.shared import stored
 from lexiloom.plans.catalogue import STREAM, query, stream, table
 from lexiloom.sources import sinks
 from lexiloom.streaming import text
@@ -17,7 +18,7 @@ LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхіжклмно
 
 def cyrillic_words(spark, sf_dir):
     """Distinct words of documents that have Latin letters only, in Ukrainian letters."""
-    words = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("w")).where(F.col("w").rlike("^[A-Za-z]+$"))
+    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("w")).distinct().where(F.col("w").rlike("^[A-Za-z]+$"))
     return words.select(F.translate(F.lower("w"), LATIN, CYRILLIC).alias("word")).distinct()
 
 
@@ -37,7 +38,7 @@ MARKED, LETTERS = "äöüßéèêñóíáç", "яїющєєєнуіац"
 
 def pronounced_words(spark, sf_dir):
     """Distinct words of documents in Latin letters, marked ones too, in Ukrainian letters."""
-    words = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("w")).where(F.col("w").rlike(f"^[A-Za-z{MARKED}]+$"))
+    words = table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("w")).distinct().where(F.col("w").rlike(f"^[A-Za-z{MARKED}]+$"))
     return words.select(F.translate(F.replace(F.replace("w", F.lit("th"), F.lit("ть")), F.lit("ns"), F.lit("н'ї")), LATIN + MARKED + LATIN.upper(), CYRILLIC + LETTERS + CYRILLIC).alias("word")).distinct()
 
 
@@ -77,13 +78,13 @@ def phone_inventory(spark, sf_dir):
 def speller_diff(spark, sf_dir):
     """Entries of a dictionary whose phones are not those that the rules give; the dictionary has no palatal phones and another one for KH."""
     phones = F.replace(F.array_join(phonetics.g2p(F.col("word"), palatal=False), " "), F.lit("KH"), F.lit("H"))
-    return phonetics.differing(pronounced_words(spark, sf_dir).select("word", phones.alias("phones")))
+    return phonetics.differing(stored(pronounced_words(spark, sf_dir).select("word", phones.alias("phones"))))
 
 
 @query(f"WITH {_CODES.replace(_STRESS, 'CASE WHEN length(word) % 2 = 0 THEN length(word) % 3 END')} SELECT word, array_to_string(phones, ' ') AS phones FROM ph")
 def stressed_phones(spark, sf_dir):
     """Phones with the stress of a dictionary, which half of the words have (by their length)."""
-    words = pronounced_words(spark, sf_dir)
+    words = stored(pronounced_words(spark, sf_dir))
     stresses = words.where(F.length("word") % 2 == 0).select("word", (F.length("word") % 3).alias("syllable"))
     return phonetics.stressed_g2p(words, stresses).select("word", F.array_join("phones", " ").alias("phones"))
 
@@ -104,7 +105,7 @@ SELECT w.word, left(w.word, CAST(length(w.word) - coalesce(length(b.suffix), 0)
 @query(_ENDS)
 def suffix_split(spark, sf_dir):
     """Words split before the longest of the endings that five words or more share."""
-    words = cyrillic_words(spark, sf_dir)
+    words = stored(cyrillic_words(spark, sf_dir))
     ends = words.select("word", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("k")).where(F.length("word") - F.col("k") >= 2)
     return phonetics.suffix_split(words, ends.groupBy(F.expr("right(word, k)").alias("suffix")).agg(F.count("*").alias("n")).where("n >= 5"))
 
@@ -124,8 +125,9 @@ UNION ALL SELECT 3, '\\2-grams:' UNION ALL SELECT 3, CAST(lp AS VARCHAR) || ' '
 )
 def arpa_lines(spark, sf_dir):
     """B1: the lines of the language model's file."""
-    s = corpus.pairs(stream(spark, sf_dir))
-    return sinks.arpa_lines(corpus.lm_unigram(corpus.unigrams_of(s)), corpus.lm_bigram(corpus.bigrams_of(s))).select("section", "line")
+    s = stored(corpus.pairs(stream(spark, sf_dir)))
+    ones, twos = corpus.lm_unigram(stored(corpus.unigrams_of(s))), corpus.lm_bigram(corpus.bigrams_of(s))
+    return sinks.arpa_lines(ones, stored(twos)).select("section", "line")
 
 
 @query("""WITH v AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents), c AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM conversations)
