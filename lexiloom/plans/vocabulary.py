@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import corpus, vocabulary
+from lexiloom.operators.shared import stored
 from lexiloom.plans.catalogue import STREAM, query, stream, table
 
 
@@ -18,14 +19,15 @@ def utterances(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.utterance_words(F.col("text"))).alias("pos", "code"))
 
 
-def chosen(spark, sf_dir):
-    pairs = corpus.pairs(stream(spark, sf_dir))
-    usage = corpus.unigrams_of(pairs).withColumn("phones", F.array_distinct(F.filter(F.split("word", ""), lambda c: c != "")))
+def chosen(spark, sf_dir, pairs=None):
+    """The vocabulary and the usage it is chosen by, which is stored, as both read it; ``pairs``: counts to take it from, else the texts."""
+    counts = corpus.unigrams(stream(spark, sf_dir)) if pairs is None else corpus.unigrams_of(pairs)
+    usage = stored(counts).withColumn("phones", F.array_distinct(F.filter(F.split("word", ""), lambda c: c != "")))
     known = words_of(spark, sf_dir).distinct()
     dictionary = known.select("word", F.lower("word").alias("code"))
     denied = words_of(spark, sf_dir, "part", "p_name").distinct()
     train = known.select(F.explode(F.split("word", "")).alias("phone")).where("phone <> ''").distinct()
-    return vocabulary.choose(usage, dictionary, denied, train, 10, 2000), usage, pairs
+    return vocabulary.choose(usage, dictionary, denied, train, 10, 2000), usage
 
 
 _CHOSEN = f"""{STREAM}, k AS MATERIALIZED (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''),
@@ -46,14 +48,15 @@ def vocabulary_choice(spark, sf_dir):
 @query(f"WITH {_CHOSEN}, s AS (SELECT word, greatest(cnt, 1) AS cnt FROM seed) SELECT word, cnt, round(log10(cnt / (SELECT sum(cnt) FROM s)), 6) AS logprob FROM s")
 def vocabulary_unigrams(spark, sf_dir):
     """K3, K4, K5: the model's unigrams with sentence marks."""
-    return vocabulary.model_unigrams(vocabulary.with_sentence_marks(*chosen(spark, sf_dir)[:2]))
+    return vocabulary.model_unigrams(stored(vocabulary.with_sentence_marks(*chosen(spark, sf_dir))))
 
 
 @query(f"WITH {_CHOSEN}, b AS (SELECT * FROM bi WHERE w1 IN (SELECT word FROM seed) AND w2 IN (SELECT word FROM seed)) SELECT w1, w2, cnt, round(log10(0.8 * cnt / sum(cnt) OVER (PARTITION BY w1)), 6) AS logprob FROM b")
 def vocabulary_bigrams(spark, sf_dir):
     """Bigrams of the vocabulary's words; the sums are over the vocabulary alone."""
-    words, usage, pairs = chosen(spark, sf_dir)
-    return corpus.lm_bigram(vocabulary.within(corpus.bigrams_of(pairs), vocabulary.with_sentence_marks(words, usage)))
+    pairs = stored(corpus.pairs(stream(spark, sf_dir)))
+    words = stored(vocabulary.with_sentence_marks(*chosen(spark, sf_dir, pairs)))
+    return corpus.lm_bigram(stored(vocabulary.within(corpus.bigrams_of(pairs), words)))
 
 
 @query(f"WITH {STREAM}, k AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> '') SELECT coalesce(k.word, uni.word) AS word, coalesce(cnt, 0) AS cnt FROM k FULL JOIN uni ON k.word = uni.word")
