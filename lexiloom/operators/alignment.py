@@ -12,7 +12,7 @@ from math import log, pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, stored
 
 LOWEST = float("-inf")
 
@@ -21,32 +21,25 @@ def viterbi(emission: Column) -> Column:
     """struct(score, starts): of the best path through emission[frame][state], log-probabilities, its score and the first frame of each state; where staying is as good as moving on, a path
     stays. With fewer frames than states, or no states, score is null and starts empty."""
     none = F.lit(LOWEST)
-    first = F.get(emission, F.lit(0))
-    states = F.size(first)
 
-    def add(a: Column, e: Column) -> Column:
+    def add(a: Column, e: Column) -> Column:  # v and starts: of the best path to each state; t: frames so far
         below = lambda s: F.coalesce(F.get(a["v"], s - 1), none)
         v = F.transform(e, lambda x, s: F.greatest(F.get(a["v"], s), below(s)) + x)
-        moved = F.array_join(F.transform(a["v"], lambda x, s: F.when(below(s) > x, "1").otherwise("0")), "")
-        return F.struct(v.alias("v"), F.array_append(a["moved"], moved).alias("moved"))
+        moved = lambda s: F.array_append(F.get(a["starts"], s - 1), a["t"])
+        starts = F.transform(a["starts"], lambda own, s: F.when(below(s) > F.get(a["v"], s), moved(s)).otherwise(own))
+        return F.struct(v.alias("v"), starts.alias("starts"), (a["t"] + 1).alias("t"))
 
-    start = F.struct(F.transform(first, lambda x, s: F.when(s == 0, x).otherwise(none)).alias("v"), F.array().cast("array<string>").alias("moved"))
-    best = F.aggregate(F.slice(emission, F.lit(2), F.size(emission)), start, add)
+    def best(e: Column) -> Column:
+        first = F.get(e, F.lit(0))
+        states = F.size(first)
+        v, starts = F.transform(first, lambda x, s: F.when(s == 0, x).otherwise(none)), F.transform(first, lambda _: F.array(F.lit(0)))
+        start = F.struct(v.alias("v"), starts.alias("starts"), F.lit(1).alias("t"))
+        last = lambda a: F.struct(F.get(a["v"], states - 1).alias("score"), F.get(a["starts"], states - 1).alias("starts"))
+        found = F.aggregate(F.slice(e, F.lit(2), F.size(e)), start, add, last)
+        nothing = F.struct(F.lit(None).cast("double").alias("score"), F.array().cast("array<int>").alias("starts"))
+        return F.when((F.size(e) > 0) & (F.size(e) >= states) & (states > 0), found).otherwise(nothing)
 
-    def back(best: Column) -> Column:
-        def step(a: Column, t: Column) -> Column:  # t frames from the start were left by the t-th move
-            moved = F.substring(F.get(best["moved"], t - 1), a["s"] + 1, F.lit(1)) == "1"
-            on = F.struct((a["s"] - 1).alias("s"), F.array_prepend(a["starts"], t).alias("starts"))
-            return F.when(moved, on).otherwise(a)
-
-        frames = F.when(F.size(emission) > 1, F.sequence(F.size(emission) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        from_last = F.struct((states - 1).alias("s"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(frames, from_last, step, lambda a: F.array_prepend(a["starts"], F.lit(0)))
-        return F.struct(F.get(best["v"], states - 1).alias("score"), starts.alias("starts"))
-
-    found = F.get(F.transform(F.array(best), back), F.lit(0))  # an array of one, so that the path is worked out once
-    nothing = F.struct(F.lit(None).cast("double").alias("score"), F.array().cast("array<int>").alias("starts"))
-    return F.when((F.size(emission) > 0) & (F.size(emission) >= states) & (states > 0), found).otherwise(nothing)
+    return F.get(F.transform(F.array(emission), best), F.lit(0))  # an array of one, so that emission is worked out once, however often it is read
 
 
 def log_normal(x: Column, mean: Column, var: Column) -> Column:
@@ -89,22 +82,25 @@ def align(utterances: DataFrame, model: DataFrame) -> DataFrame:
     met = utterances.crossJoin(F.broadcast(one)).withColumn("own", F.transform("states", lambda s: F.try_element_at("model", s)))
     path = viterbi(emissions(F.col("frames"), F.col("own")))
     known = F.forall("own", lambda m: m.isNotNull()) & (F.size("states") > 0)
-    found = met.withColumn("path", F.when(known, path))
+    found = met.withColumn("path", F.explode(F.array(F.when(known, path))))  # a generator: filters stay above it, in a projection they would find the path again
     return found.select(*utterances.columns, "path.score", F.coalesce("path.starts", F.array().cast("array<int>")).alias("starts"))
 
 
 def by_state(aligned: DataFrame) -> DataFrame:
     """state, x, score: every frame of aligned utterances with its state; the path's score stands beside its first frame, 0 beside others."""
-    t = aligned.where(F.size("starts") > 0).select("states", "starts", "score", F.posexplode("frames").alias("t", "x"))
-    return t.select(F.element_at("states", F.size(F.filter("starts", lambda s: s <= F.col("t")))).alias("state"), "x", F.when(F.col("t") == 0, F.col("score")).otherwise(0.0).alias("score"))
+    runs = aligned.select("frames", "states", "starts", "score", F.posexplode("starts").alias("s", "start"))
+    stop = F.coalesce(F.get("starts", F.col("s") + 1), F.size("frames"))
+    run = F.slice("frames", F.col("start") + 1, stop - F.col("start"))
+    t = runs.select(F.get("states", F.col("s")).alias("state"), "start", "score", F.posexplode(run).alias("t", "x"))
+    return t.select("state", "x", F.when(F.col("start") + F.col("t") == 0, F.col("score")).otherwise(0.0).alias("score"))
 
 
 def train(utterances: DataFrame, rounds: int = 10, least_gain: float = 1e-6, least_variance: float = 1e-3) -> tuple[DataFrame, list[float]]:
     """A model of the states of ``utterances`` and the score of all paths in each round, which never falls: starts from equal shares of the frames, then aligns and updates until a round gains less than
-    ``least_gain`` of the score's size. Utterances with fewer frames than states, or with nulls in frames, take no part. A round is one pass over the frames; each round's model is
-    cut from its lineage, and the score alone reaches the driver."""
+    ``least_gain`` of the score's size. Utterances with fewer frames than states, or with nulls in frames, take no part. What does is stored once, a round is one pass over it; each round's
+    model is cut from its lineage, and the score alone reaches the driver."""
     bad = F.exists("frames", lambda f: f.isNull() | F.exists(f, lambda x: x.isNull() | F.isnan(x)))
-    use = utterances.where((F.size("states") > 0) & (F.size("frames") >= F.size("states")) & ~bad)
+    use = stored(utterances.where((F.size("states") > 0) & (F.size("frames") >= F.size("states")) & ~bad).select("frames", "states"))
     equal = F.transform("states", lambda _, s: F.floor((s * F.size("frames") + F.size("states") - 1) / F.size("states")).cast("int"))
     model, scores = checkpointed(_statistics(by_state(use.withColumn("starts", equal).withColumn("score", F.lit(0.0))), least_variance)), []
     for _ in range(rounds):

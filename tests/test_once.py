@@ -9,7 +9,7 @@ import lexiloom.plans.reports  # noqa: F401
 import lexiloom.plans.speech  # noqa: F401
 import lexiloom.plans.vocabulary  # noqa: F401
 from lexiloom.functions import text as T
-from lexiloom.operators import corpus
+from lexiloom.operators import alignment, corpus
 from lexiloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +64,30 @@ def test_letters_are_told_soon(spark):
         return min(times)
 
     assert least(T.words(F.col("t"))) < 0.7 * least(F.regexp_extract_all("t", F.lit(NEGATED + "+"), F.lit(0)))
+
+
+def test_paths_are_found_once(spark):
+    u = spark.createDataFrame([([[0.0], [1.0]], ["a", "b"])], "frames array<array<double>>, states array<string>")
+    model = spark.createDataFrame([("a", [0.0], [1.0]), ("b", [1.0], [1.0])], "state string, mean array<double>, var array<double>")
+    assert plan(alignment.by_state(alignment.align(u, model))).count("ln(") == 1  # of the density, in the emissions of each path
+
+
+def test_training_reads_utterances_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        read.add(1)
+        return [[float(i)], [float(i + 5)]], ["a", "b"]
+
+    u = spark.createDataFrame(spark.sparkContext.range(12, numSlices=2).map(counted), "frames array<array<double>>, states array<string>")
+    model, scores = alignment.train(u, rounds=3, least_gain=-1.0)
+    assert sorted((r.state, r.n, r.mean) for r in model.collect()) == [("a", 12, [5.5]), ("b", 12, [10.5])] and len(scores) == 3
+    assert read.value == 12
+
+
+def test_impossible_paths_and_equal_starts(spark):
+    lowest = float("-inf")
+    df = spark.createDataFrame([([[lowest, lowest]] * 3,), ([[0.0, lowest], [lowest, 0.0], [0.0, 1.0]],)], "e array<array<double>>")
+    assert [(r[0].score, r[0].starts) for r in df.select(alignment.viterbi(F.col("e"))).collect()] == [(lowest, [0]), (1.0, [0, 1])]
+    rows = spark.createDataFrame([([[1.0], [2.0]], ["a", "b"], [0, 0], -3.0)], "frames array<array<double>>, states array<string>, starts array<int>, score double")
+    assert sorted(map(tuple, alignment.by_state(rows).collect())) == [("b", [1.0], -3.0), ("b", [2.0], 0.0)]
