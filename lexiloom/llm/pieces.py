@@ -7,9 +7,12 @@ of a character that no piece has.
 
 from __future__ import annotations
 
+from functools import cached_property, lru_cache
 from math import log
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -35,6 +38,21 @@ class Pieces:
         self.text = {i: t for t, (i, _) in self.of.items()}
         self.value = {i: b for b, (i, _) in self.byte.items()}
 
+    @cached_property
+    def nodes(self) -> tuple[Table, np.ndarray, np.ndarray]:
+        """A trie of the pieces: (node << 21 | character) -> node, and the nodes' ids (-1 where no piece ends) and log probabilities."""
+        nodes, ids, logs = {}, [-1], [0.0]
+        for text, (piece, log) in self.of.items():
+            node = 0
+            for c in text:
+                if (to := nodes.get(key := node << 21 | ord(c))) is None:
+                    to = nodes[key] = len(ids)
+                    ids.append(-1)
+                    logs.append(0.0)
+                node = to
+            ids[node], logs[node] = piece, log
+        return Table(np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int64)), np.array(ids), np.array(logs)
+
     def whole(self, char: str) -> tuple[tuple[int, ...], float]:
         """The byte pieces of a character and their log probability."""
         parts = [self.byte[b] for b in char.encode("utf-8", "replace")]
@@ -55,6 +73,22 @@ def pretokens(text: object) -> list[str]:
     return [SPACE + w for w in text.split(" ")]
 
 
+def coded_pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``pretokens`` of many texts: the distinct ones, the numbers of those that all texts have in a row, and how many each text has."""
+    filled = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+    words = pc.split_pattern(texts if pc.all(filled, min_count=0).as_py() else texts.filter(filled), " ")
+    n = np.zeros(len(texts), np.int64)
+    n[filled.to_numpy(zero_copy_only=False)] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    codes = words.flatten().dictionary_encode()
+    return pc.binary_join_element_wise(SPACE, codes.dictionary, ""), codes.indices.to_numpy(zero_copy_only=False), n
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str | None = None) -> Pieces:
+    """The pieces of a model, read once by a worker for all its tasks."""
+    return Pieces(path)
+
+
 class Table:
     """Numbers by distinct keys, in arrays: open addressing."""
 
@@ -96,10 +130,14 @@ def n_bytes(char: np.ndarray) -> np.ndarray:
 class Trie:
     """A trie of distinct, sorted, non-empty words. Node 0 is the root; nodes are numbered by depth, ``ends`` are the words' nodes."""
 
-    def __init__(self, words: list[str]):
-        sizes = np.array([len(w) for w in words])
+    def __init__(self, words: list[str] | pa.Array):
+        if isinstance(words, list):
+            sizes, text = np.array([len(w) for w in words]), "".join(words)
+        else:
+            sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "")[0].as_py()
         begin = np.cumsum(sizes) - sizes
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         word = np.repeat(np.arange(len(words)), sizes)
         place = np.arange(len(chars)) - begin[word]
         there = (word > 0) & (place < sizes[word - 1])

@@ -11,8 +11,8 @@ largest bound holds the next segmentation, which is then drawn in it. The (k+1)-
 kappa gives each one's inclusion score, 1 - exp(-exp(log p - kappa)), and its logarithm, as the score itself is 0 in doubles for long texts.
 
 The lattice of a text is a chain of pre-tokens; what a piece may be depends on
-the rest of its pre-token alone, so states are such rests, shared by all places where
-a pre-token occurs, with their backward masses computed once, for all new pre-tokens of a batch together. All texts of a batch are
+the rest of its pre-token alone, so states are such rests, shared by all places in an Arrow batch where
+a pre-token occurs, with their backward masses computed once, for the new pre-tokens of ``BATCH_CHARS`` characters together. Texts of ``SEARCH_CHARS`` characters are
 searched together, in flat arrays. Draws are hashes of (row key,
 text, sample, place, step), and what is summed along a text is in whole numbers, so a row gives the same samples wherever it runs.
 
@@ -20,7 +20,7 @@ Two bounds of the arithmetic, the same for texts of any length: a state's arcs h
 states have under a hundred arcs); and decisions are regions only as long as the found segmentation up to them has a probability above exp(-100 - 50 k) within its own region. A further sample that shares
 more of it than that would be missed; the chance that one of k samples does so is below k exp(-100 - 50 k), about 10**-108 for k = 3.
 
-One narrow pass, no shuffle; a task keeps ``STATES`` states at most before it starts anew.
+One narrow pass, no shuffle; each Arrow batch has states of its own, and starts anew before ``BATCH_CHARS`` more characters once it has over ``STATES``.
 Edge cases: null and empty texts have one segmentation, the empty one (score 1); where
 fewer than k segmentations exist, all are emitted, with inclusion 1; rows that agree in id and text get the same samples.
 """
@@ -32,15 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix64, slices, unit
-from .pieces import Pieces, Table, Trie, n_bytes, pretokens
+from .pieces import Pieces, Trie, coded_pretokens, n_bytes, pieces_of
 
 SAMPLES, STATES = 3, 1_200_000
-BATCH_CHARS = 2 << 20
+BATCH_CHARS, SEARCH_CHARS = 2 << 20, 1 << 19  # characters whose pre-tokens are added together, and those searched together
 LOG_ONE, CUT_BITS = 2.0**32, 36  # logarithms and shares as whole numbers
 
 
@@ -50,29 +51,19 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """States (rests of pre-tokens) and their arcs (pieces), the most probable first, as flat arrays, grown on demand. State 0 is the end of a pre-token."""
+    """States (rests of pre-tokens) and their arcs (pieces), the most probable first, as flat arrays, grown on demand. State 0 is the end of a pre-token.
+    Of an arc: the state after it and its first arc (-1 at the end), the logarithms of its probability and of the state's other arcs', where its share ends, its piece."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        nodes, ids, logs = {}, [-1], [0.0]  # a trie of the pieces: (node, character) -> node
-        for text, (piece, log) in pieces.of.items():
-            node = 0
-            for c in text:
-                if (to := nodes.get(key := node << 21 | ord(c))) is None:
-                    to = nodes[key] = len(ids)
-                    ids.append(-1)
-                    logs.append(0.0)
-                node = to
-            ids[node], logs[node] = piece, log
-        self.child = Table(np.array(list(nodes), np.int64), np.array(list(nodes.values()), np.int64))
-        self.node_id, self.node_log = np.array(ids), np.array(logs)
+        self.child, self.node_id, self.node_log = pieces.nodes
         self.byte_log = next(iter(pieces.byte.values()))[1]
+        kinds = {"first": np.int64, "n": np.int32, "next": np.int32, "to": np.int32, "log": np.int64, "others": np.float64, "cut": np.int64, "piece": np.int32}
+        self.room = {name: np.empty(1 << 16, kind) for name, kind in kinds.items()}
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        kinds = {"first": np.int64, "n": np.int32, "next": np.int32, "log": np.int64, "cut": np.int64, "piece": np.int32, "state": np.int32}
-        self.room = {name: np.zeros(1024, kind) for name, kind in kinds.items()}
         self.n_states = self.n_arcs = 0
         self.extend(np.zeros(1, np.int64), {})
 
@@ -83,7 +74,9 @@ class Lattice:
             values = more.get(name, room[:0])
             size = self.n_states if name in ("first", "n") else self.n_arcs
             if size + len(values) > len(room):
-                self.room[name] = room = np.concatenate([room[:size], np.zeros(size + len(values), room.dtype)])
+                old, self.room[name] = room, np.empty(2 * (size + len(values)), room.dtype)
+                room = self.room[name]
+                room[:size] = old[:size]
             room[size : size + len(values)] = values
             setattr(self, f"a_{name}", room[: size + len(values)])
         self.n_states += len(n)
@@ -110,15 +103,24 @@ class Lattice:
         return found
 
     def add(self, words: list[str]) -> None:
-        """States of the pre-tokens that are new, one for each distinct rest of them, with the log mass (beta) of all ways from there to the end."""
-        words = list(set(words) - self.index.keys())
-        if not words:
-            return
-        back = sorted(w[::-1] for w in words)
-        trie = Trie(back)
+        """Pre-tokens into the index, with their states."""
+        if new := set(words) - self.index.keys():
+            back = sorted(w[::-1] for w in new)
+            self.index |= zip((w[::-1] for w in back), self.grow(Trie(back)).tolist())
+
+    def states(self, words: pa.Array) -> np.ndarray:
+        """New states of distinct pre-tokens, which do not go into the index."""
+        out = np.zeros(len(words), np.int64)
+        if len(words):
+            back = pc.utf8_reverse(words)
+            order = pc.array_sort_indices(back)
+            out[order.to_numpy()] = self.grow(Trie(back.take(order)))
+        return out
+
+    def grow(self, trie: Trie) -> np.ndarray:
+        """States of all rests of words, given as a trie of them read backwards, with the log mass (beta) of all ways from there to the end; the words' states."""
         found = self.match(trie)
         base = self.n_states - 1  # what is added to a node; the root is state 0
-        self.index |= zip((w[::-1] for w in back), (base + trie.ends).tolist())
         n = np.zeros(len(trie.char), np.int64)
         for start, *_ in found:
             n[start] += 1
@@ -148,41 +150,49 @@ class Lattice:
         total = np.cumsum(share)
         cut = np.minimum(total - np.repeat((total - share)[first], n), 1 << CUT_BITS)
         cut[first + n - 1] = 1 << CUT_BITS
-        self.extend(n, {"next": np.where(to > 0, base + to, 0), "log": np.rint(log * LOG_ONE).astype(np.int64), "cut": cut, "piece": ids, "state": base + 1 + state})
+        whole = np.rint(log * LOG_ONE)
+        alone = np.repeat(n, n) == 1
+        others = np.where(alone, -np.inf, np.log(np.maximum(1 - np.exp(whole / LOG_ONE), 1e-300)))
+        head = np.append(-1, self.n_arcs + first)[to]
+        self.extend(n, {"next": np.where(to > 0, base + to, 0), "to": head, "log": whole.astype(np.int64), "others": others, "cut": cut, "piece": ids})
+        return base + trie.ends
 
     def draw(self, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each start state, the number of arcs to the end of its pre-token, and the arcs of all in order."""
-        live, step, found = np.arange(len(states)), 0, []
-        state, n = states, np.zeros(len(states), np.int64)
-        while True:
-            go = state != 0
-            live, state = live[go], state[go]
-            if not len(live):
-                break
-            u = (mix64(keys[live] + U64(step * 0x9E3779B1)) >> U64(64 - CUT_BITS)).astype(np.int64)
-            arc = self.a_first[state]
-            past = np.flatnonzero(u >= self.a_cut[arc])
+        n, step, found = np.zeros(len(states), np.int64), 0, []
+        live = np.flatnonzero(states)
+        arc, keys = self.a_first.take(states.take(live)), keys.take(live)
+        while len(live):
+            u = (mix64(keys + U64(step * 0x9E3779B1)) >> U64(64 - CUT_BITS)).view(np.int64)
+            past = np.flatnonzero(u >= self.a_cut.take(arc))
+            if len(past):
+                u = u.take(past)
             while len(past):
-                arc[past] += 1
-                past = past[u[past] >= self.a_cut[arc[past]]]
+                at = arc.take(past) + 1
+                arc[past] = at
+                more = np.flatnonzero(u >= self.a_cut.take(at))
+                past, u = past.take(more), u.take(more)
             found.append((live, arc))
-            n[live] += 1
-            state = self.a_next[arc]
             step += 1
+            n[live] = step
+            arc = self.a_to.take(arc)
+            go = np.flatnonzero(arc >= 0)
+            live, arc, keys = live.take(go), arc.take(go), keys.take(go)
         first, out = np.cumsum(n) - n, np.zeros(int(n.sum()), np.int64)
         for step, (live, arc) in enumerate(found):
-            out[first[live] + step] = arc
+            out[first.take(live) + step] = arc
         return n, out
 
 
-def gumbel_below(phi: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """The maximum of a region of log mass ``phi``, given that its parent's is ``top``."""
-    return -np.logaddexp(-top, np.log(-np.log(u)) - phi)
+def below(g: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """The maximum of a region from its draw ``g``, a Gumbel about the region's log mass, given that its parent's is ``top``."""
+    return -np.logaddexp(-top, -g)
 
 
 class Search:
     """The segmentations found so far of many texts: arcs in a row, and by segmentation its text, place, bound (perturbed log
-    probability) and open regions. A region leaves the segmentation at a place and takes none of the arcs that others have taken there."""
+    probability) and open regions. A region leaves the segmentation at a place and takes none of the arcs that others have taken there.
+    Regions of a segmentation have the same parent, so the one with the largest draw has the largest bound, and only that draw is put below the parent's."""
 
     def __init__(self, lattice: Lattice, states: np.ndarray, sizes: np.ndarray, keys: np.ndarray, k: int):
         self.lattice, self.states, self.sizes, self.keys, self.k = lattice, states, sizes, keys, k
@@ -191,7 +201,7 @@ class Search:
         self.g = np.zeros(0)
         whole = np.zeros(0, np.int64)
         self.text, self.off, self.size, self.log, self.g_off, self.g_size, self.shared = (whole,) * 7
-        self.top = self.best = np.zeros(0)
+        self.top = self.most = self.best = np.zeros(0)  # bound; the largest draw of its open regions, and the bound that this gives
         self.without = np.zeros((0, k), np.int64)
         self.of = np.full((k, len(sizes)), -1)  # by sample and text
 
@@ -213,20 +223,21 @@ class Search:
         old = self.of[best.argmax(0)[text], text]
         g_at = ranges(self.g_off[old], self.g_size[old])
         cut = np.cumsum(self.g_size[old]) - self.g_size[old]
-        hit = np.flatnonzero(self.g[g_at] == np.repeat(self.best[old], self.g_size[old]))
+        hit = np.flatnonzero(self.g[g_at] == np.repeat(self.most[old], self.g_size[old]))
         owner = np.searchsorted(cut, hit, "right") - 1
         hit = hit[np.append(True, owner[1:] != owner[:-1])]
         inside = hit - cut  # the place among the segmentation's regions
         top = self.best[old]
         self.g[g_at[hit]] = -np.inf
-        self.best[old] = np.maximum.reduceat(self.g[g_at], cut)
+        self.most[old] = np.maximum.reduceat(self.g[g_at], cut)
+        self.best[old] = below(self.most[old], self.top[old])
         kept = self.shared[old] + inside
         base = self.arcs[self.off[old] + kept]
         without = np.where((inside == 0)[:, None], self.without[old], -1)
         without = np.hstack([base[:, None], without[:, : self.k - 1]])
 
         a = self.lattice
-        state = a.a_state[base]
+        state = np.searchsorted(a.a_first, base, "right") - 1
         many = a.a_n[state]
         option, owner = ranges(a.a_first[state], many), np.repeat(np.arange(len(base)), many)
         p = np.exp(a.a_log[option] / LOG_ONE)
@@ -269,30 +280,30 @@ class Search:
         else:
             arcs = drawn
 
-        log = a.a_log[arcs]
+        log = a.a_log.take(arcs)
         total = np.concatenate([[0], np.cumsum(log)])
         # beyond here there are regions enough before, and a region has no mass to speak of (an arc's logarithm is -25 or more)
         deep = np.searchsorted(-total, -total[off] + int((100 + 50 * self.k) * LOG_ONE), "right")
         g_size = np.maximum(np.minimum(deep, off + size) - off - kept, 0)
         g_off = np.cumsum(g_size) - g_size
-        open_, owner = ranges(off + kept, g_size), np.repeat(np.arange(len(text)), g_size)
-        before = (total[open_] - total[off][owner]) / LOG_ONE
+        open_ = ranges(off + kept, g_size)
+        phi = (total[open_] - np.repeat(total[off], g_size)) / LOG_ONE + a.a_others.take(arcs[open_])
         heads = g_off[g_size > 0]
-        taken, left = np.exp(log[open_] / LOG_ONE), a.a_n[a.a_state[arcs[open_]]] - 1
         if one:
-            there = without[g_size > 0] >= 0
-            taken[heads] += np.where(there, np.exp(a.a_log[np.maximum(without[g_size > 0], 0)] / LOG_ONE), 0).sum(1)
-            left[heads] -= there.sum(1)
-        several = left > 0
-        phi = before + np.log(np.maximum(1 - taken, 1e-300))
-        u = unit(mix64(self.keys[text][owner] + U64(r * 104729 + 13) + ranges(np.zeros(len(text), np.int64), g_size).astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
-        g = np.where(several, gumbel_below(phi, top[owner], u), -np.inf)
-        best = np.full(len(text), -np.inf)
+            fewer, at = without[g_size > 0], open_[heads]
+            there = fewer >= 0
+            taken = np.exp(log[at] / LOG_ONE) + np.where(there, np.exp(a.a_log[np.maximum(fewer, 0)] / LOG_ONE), 0).sum(1)
+            left = a.a_n[np.searchsorted(a.a_first, arcs[at], "right") - 1] - 1 - there.sum(1)
+            before = (total[at] - total[off[g_size > 0]]) / LOG_ONE
+            phi[heads] = np.where(left > 0, before + np.log(np.maximum(1 - taken, 1e-300)), -np.inf)
+        u = unit(mix64(np.repeat(self.keys[text] + U64(r * 104729 + 13), g_size) + ranges(np.zeros(len(text), np.int64), g_size).view(U64) * U64(0xC2B2AE3D27D4EB4F)))
+        g = phi - np.log(-np.log(u))
+        most = np.full(len(text), -np.inf)
         if len(heads):
-            best[g_size > 0] = np.maximum.reduceat(g, heads)
+            most[g_size > 0] = np.maximum.reduceat(g, heads)
 
         self.of[r, text] = len(self.text) + np.arange(len(text))
-        for name, more in {"text": text, "off": off + len(self.arcs), "size": size, "log": total[off + size] - total[off], "g_off": g_off + len(self.g), "g_size": g_size, "shared": kept, "top": top, "best": best, "without": without, "arcs": arcs, "g": g}.items():
+        for name, more in {"text": text, "off": off + len(self.arcs), "size": size, "log": total[off + size] - total[off], "g_off": g_off + len(self.g), "g_size": g_size, "shared": kept, "top": top, "most": most, "best": below(most, top), "without": without, "arcs": arcs, "g": g}.items():
             self.grow(name, more)
 
 
@@ -316,7 +327,7 @@ def top_k(lattice: Lattice, states: np.ndarray, sizes: np.ndarray, keys: np.ndar
 
 def ids_of(lattice: Lattice, arcs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids along the arcs, and how many there are for each run of so many arcs; a character that no piece has gives its bytes' pieces."""
-    ids = lattice.a_piece[arcs]
+    ids = lattice.a_piece.take(arcs)
     ends = np.cumsum(sizes)
     spelled = np.flatnonzero(ids < 0)
     if not len(spelled):
@@ -332,30 +343,39 @@ def ids_of(lattice: Lattice, arcs: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return out.astype(np.int32), upto[ends] - upto[ends - sizes]
 
 
-def sample(docs: DataFrame, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
-    """``id_col``, sample (1 to k, best first), ids (array of int), log_prob, perturbed, inclusion, log_inclusion: a row for each segmentation."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(Pieces(model_path))
-        for batch in batches:
-            texts, names = batch.column("t").to_pylist(), batch.column("id").to_pylist()
-            for part in slices(texts, [len(t or "") for t in texts], BATCH_CHARS):
-                if lattice.n_states > STATES:
-                    lattice.reset()
-                split = [pretokens(t) for t in texts[part]]
-                words = [w for s in split for w in s]
-                lattice.add(words)
-                states = np.fromiter(map(lattice.index.__getitem__, words), np.int64, len(words))
-                keys = np.array([xxhash.xxh64_intdigest(f"{i}|{t}".encode("utf-8", "replace"), seed) for i, t in zip(names[part], texts[part])], U64)
-                got = top_k(lattice, states, np.array([len(s) for s in split]), keys, k)
+def sampled(batches: Iterator[pa.RecordBatch], k: int, seed: int, model_path: str | None) -> Iterator[pa.RecordBatch]:
+    """``sample`` of the rows of one task: k (kept as it is), id (as text), t (text)."""
+    lattice = Lattice(pieces_of(model_path))
+    for batch in batches:
+        texts, names = batch.column("t").to_pylist(), batch.column("id").to_pylist()
+        sizes = [len(t or "") for t in texts]
+        words, codes, n_words = coded_pretokens(batch.column("t"))
+        upto = np.concatenate([[0], np.cumsum(n_words)])
+        state_of = np.full(len(words), -1)
+        lattice.reset()
+        for whole in slices(texts, sizes, BATCH_CHARS):
+            if lattice.n_states > STATES:
+                lattice.reset()
+                state_of[:] = -1
+            there = np.zeros(len(words), bool)
+            there[codes[upto[whole.start] : upto[whole.stop]]] = True
+            new = np.flatnonzero(there & (state_of < 0))
+            state_of[new] = lattice.states(words.take(pa.array(new)))
+            for part in slices(texts[whole], sizes[whole], SEARCH_CHARS):
+                own = slice(whole.start + part.start, whole.start + part.stop)
+                keys = np.array([xxhash.xxh64_intdigest(f"{i}|{t}".encode("utf-8", "replace"), seed) for i, t in zip(names[own], texts[own])], U64)
+                got = top_k(lattice, state_of[codes[upto[own.start] : upto[own.stop]]], n_words[own], keys, k)
                 ids, n = ids_of(lattice, got["arcs"][ranges(got["off"], got["size"])], got["size"])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
-                columns = [batch.column("k").take(pa.array(got["text"] + part.start)), pa.array(got["sample"], pa.int32()), lists]
+                columns = [batch.column("k").take(pa.array(got["text"] + own.start)), pa.array(got["sample"], pa.int32()), lists]
                 columns += map(pa.array, (got["log_p"], got["score"], np.exp(got["log_inclusion"]), got["log_inclusion"]))
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "sample", "ids", "log_prob", "perturbed", "inclusion", "log_inclusion"])
 
+
+def sample(docs: DataFrame, k: int = SAMPLES, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
+    """``id_col``, sample (1 to k, best first), ids (array of int), log_prob, perturbed, inclusion, log_inclusion: a row for each segmentation."""
     kept = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("t"))
-    out = kept.mapInArrow(run, f"k {dict(kept.dtypes)['k']}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, log_inclusion double")
+    out = kept.mapInArrow(lambda batches: sampled(batches, k, seed, model_path), f"k {dict(kept.dtypes)['k']}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, log_inclusion double")
     return out.withColumnRenamed("k", id_col)
 
 
@@ -364,7 +384,7 @@ def decode(sampled: DataFrame, id_col: str = "doc_id", model_path: str | None =
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = Pieces(model_path)
+        pieces = pieces_of(model_path)
         for ids in batches:
             yield pd.Series([pieces.decode(x)[1:] for x in ids], dtype=object)
 
